@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recallium.llm import fuzzyhash, mixing, packing, quality, tokencount
+from recallium.llm import fuzzyhash, hmm, mixing, packing, quality, tokencount, toxicity
 from recallium.llm.common import documents
 
 
@@ -17,6 +17,10 @@ def _vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_hidden_markov_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.score(documents(spark, sf_dir), hmm.fold(7, 2))
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), _vocabulary("word_bpe_49k.json"))
 
@@ -25,6 +29,12 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.token_counts(documents(spark, sf_dir), _vocabulary("piece_bpe_32k.model"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = documents(spark, sf_dir), toxicity.fold(5)
+    model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), held_out)
+    return toxicity.score(docs, model, held_out)
+
+
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = mixing.mix(documents(spark, sf_dir))
     return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
@@ -39,7 +49,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_best_fit_packing, op4_token_counts, op7_source_mixing, op8_document_fingerprints, op9_quality_rules)}
+    return {f.__name__: f for f in (op2_hidden_markov_scores, op3_best_fit_packing, op4_token_counts, op5_toxicity, op7_source_mixing, op8_document_fingerprints, op9_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
