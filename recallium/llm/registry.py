@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recallium.llm import fuzzyhash, hmm, mixing, packing, quality, tokencount, toxicity
+from recallium.llm import fuzzyhash, hmm, licenses, mixing, packing, quality, tokencount, toxicity
 from recallium.llm.common import documents
 
 
@@ -48,8 +48,12 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(documents(spark, sf_dir))
 
 
+def op10_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_hidden_markov_scores, op3_best_fit_packing, op4_token_counts, op5_toxicity, op7_source_mixing, op8_document_fingerprints, op9_quality_rules)}
+    return {f.__name__: f for f in (op2_hidden_markov_scores, op3_best_fit_packing, op4_token_counts, op5_toxicity, op7_source_mixing, op8_document_fingerprints, op9_quality_rules, op10_license_scans)}
 
 
 def oracle_sql() -> dict[str, str]:
