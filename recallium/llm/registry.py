@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recallium.llm import fuzzyhash, hmm, licenses, mixing, packing, quality, tokencount, toxicity
+from recallium.llm import fuzzyhash, hmm, licenses, mixing, packing, quality, substrings, tokencount, toxicity
 from recallium.llm.common import documents
 
 
@@ -17,6 +17,10 @@ def _vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.digests(documents(spark, sf_dir))
+
+
 def op2_hidden_markov_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hmm.score(documents(spark, sf_dir), hmm.fold(7, 2))
 
@@ -53,7 +57,7 @@ def op10_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_hidden_markov_scores, op3_best_fit_packing, op4_token_counts, op5_toxicity, op7_source_mixing, op8_document_fingerprints, op9_quality_rules, op10_license_scans)}
+    return {f.__name__: f for f in (op1_suffix_array_dedup, op2_hidden_markov_scores, op3_best_fit_packing, op4_token_counts, op5_toxicity, op7_source_mixing, op8_document_fingerprints, op9_quality_rules, op10_license_scans)}
 
 
 def oracle_sql() -> dict[str, str]:
