@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recallium.llm import fuzzyhash, hmm, licenses, mixing, packing, quality, substrings, tokencount, toxicity
+from recallium.llm import fuzzyhash, hmm, licenses, mixing, ngramjoin, packing, quality, substrings, tokencount, toxicity
 from recallium.llm.common import documents
 
 
@@ -39,6 +39,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model, held_out)
 
 
+def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngramjoin.classes(documents(spark, sf_dir))
+
+
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = mixing.mix(documents(spark, sf_dir))
     return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
@@ -57,7 +61,7 @@ def op10_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_suffix_array_dedup, op2_hidden_markov_scores, op3_best_fit_packing, op4_token_counts, op5_toxicity, op7_source_mixing, op8_document_fingerprints, op9_quality_rules, op10_license_scans)}
+    return {f.__name__: f for f in (op1_suffix_array_dedup, op2_hidden_markov_scores, op3_best_fit_packing, op4_token_counts, op5_toxicity, op6_ngram_jaccard_join, op7_source_mixing, op8_document_fingerprints, op9_quality_rules, op10_license_scans)}
 
 
 def oracle_sql() -> dict[str, str]:
