@@ -337,6 +337,26 @@ def score(docs: DataFrame, model: Model, held_out) -> DataFrame:
     return with_id(docs, held_out.alias("held_out")).mapInArrow(run, SCHEMA)
 
 
+def reject(docs: DataFrame, model: Model) -> DataFrame:
+    """docs without the rows that the model predicts to be toxic; all columns stay."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        odds_of = Memo(m.odds)
+        for whole in batches:
+            for at in range(0, whole.num_rows, 2000):
+                batch = whole.slice(at, 2000)
+                words = [t.split() for t in utf8(batch.column("text"))]
+                sizes = np.array([len(x) for x in words], np.int64)
+                odds = np.fromiter((o for x in words for o in map(odds_of.__getitem__, x)), float, int(sizes.sum()))
+                clean = document_features(marginals(odds, sizes, m.moves), sizes) @ m.doc < 0
+                odds_of.trim()
+                yield batch.filter(pa.array(clean))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def fold(of: int, is_: int = 0):
     """crc32 of the id as text, modulo; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % of == is_
