@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from recallium.llm.common import WORD
+from recallium.llm.common import WORD, Staged
 
 WEIGHTS = (5.0, 2.0, 1.0)
 CAP = 3.0
@@ -87,7 +87,8 @@ def _join(rows: DataFrame, sources: DataFrame) -> DataFrame:
 
 def mix(docs: DataFrame) -> DataFrame:
     """doc_id, size, source_size, target, copies of each row."""
-    sized = docs.select("doc_id", F.col("source").cast("string").alias("source"), size_of(F.col("text")).alias("size"))
+    # texts are read once; what follows works on the three columns written here
+    sized = Staged(docs.select("doc_id", F.col("source").cast("string").alias("source"), size_of(F.col("text")).alias("size")), "sizes").df
     plan = _sources(sized)
     rows = _join(sized, plan)
     drawn = F.element_at(F.array(*draws(F.col("doc_id"))), F.col("seed") + 1)
