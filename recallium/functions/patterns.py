@@ -5,6 +5,9 @@ same patterns keep their short form for engines whose boundaries are ASCII."""
 
 from __future__ import annotations
 
+import functools
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -75,9 +78,56 @@ def b(pattern: str) -> str:
     return pattern.replace(r"\b", r"(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))")
 
 
+@functools.cache
+def needed(pattern: str) -> frozenset[str] | None:
+    """Lower-case strings of which a match holds at least one; None where none can be told."""
+    try:
+        tree = re._parser.parse(pattern)
+    except re.error:
+        return None
+
+    def strength(found: frozenset[str]) -> int:
+        return min(map(len, found))
+
+    def of(items) -> frozenset[str] | None:
+        best, run = None, ""
+
+        def offer(found):
+            nonlocal best
+            if found and (best is None or strength(found) > strength(best)):
+                best = found
+
+        for op, arg in [*items, (None, None)]:
+            if op is re._constants.LITERAL:
+                run += chr(arg).lower()
+                continue
+            if run:
+                offer(frozenset([run]))
+                run = ""
+            if op is re._constants.SUBPATTERN:
+                offer(of(arg[3]))
+            elif op is re._constants.BRANCH:
+                each = [of(x) for x in arg[1]]
+                if all(each):
+                    offer(frozenset().union(*each))
+            elif op in (re._constants.MAX_REPEAT, re._constants.MIN_REPEAT) and arg[0] >= 1:
+                offer(of(arg[2]))
+        return best
+
+    found = of(tree)
+    return found if found and (strength(found) >= 2 or not any(x.isalnum() for x in found)) else None
+
+
+def gated(text: Column, lower: Column, pattern: str, flags: str) -> Column:
+    """The pattern's search behind a search for the strings it needs, which is far cheaper; anchored patterns fail fast anyway."""
+    hit, strings = text.rlike(flags + b(pattern)), None if pattern.startswith("^") else needed(pattern)
+    return hit if strings is None else functools.reduce(lambda x, y: x | y, (F.contains(lower, F.lit(x)) for x in sorted(strings))) & hit
+
+
 def any_of(text: Column, patterns: list[str], flags: str = "(?i)") -> Column:
-    """Whether one of the patterns is found; one alternation, so a text is scanned once."""
-    return text.rlike(flags + "|".join(f"(?:{b(p)})" for p in patterns))
+    """Whether one of the patterns is found."""
+    lower = F.lower(text)
+    return F.coalesce(functools.reduce(lambda x, y: x | y, (gated(text, lower, p, flags) for p in patterns)), F.lit(False) & text.isNotNull())
 
 
 def any_sql(text: str, patterns: list[str], flags: str = "(?i)") -> str:
@@ -122,8 +172,10 @@ def first_sql(text: str, rules: list[tuple], default: str) -> str:
 
 
 def redact(text: Column) -> Column:
+    lower = F.lower(text)
     for p in SECRETS:
-        text = F.regexp_replace(text, b(p), "[REDACTED]")
+        here = functools.reduce(lambda x, y: x | y, (F.contains(lower, F.lit(x)) for x in sorted(needed(p) or [""])))
+        text = F.when(here, F.regexp_replace(text, b(p), "[REDACTED]")).otherwise(text)
     return text
 
 

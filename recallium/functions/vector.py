@@ -49,9 +49,10 @@ def _knn_block(corpus: DataFrame, block: list[tuple], k: int) -> DataFrame:
             if not batch.num_rows or not qids:
                 continue
             ids = np.array(batch.column("id").to_pylist(), np.int64)
-            vectors = batch.column("vector").to_pylist()
-            fit = [len(v or ()) == m.shape[1] for v in vectors]
-            x = np.array([v if ok else [0.0] * m.shape[1] for v, ok in zip(vectors, fit, strict=True)], float)
+            column = batch.column("vector")
+            fit = np.array(column.value_lengths().fill_null(0)) == m.shape[1]
+            x = np.zeros((batch.num_rows, m.shape[1]))
+            x[fit] = column.filter(pa.array(fit)).flatten().to_numpy(zero_copy_only=False).reshape(-1, m.shape[1])
             norms = np.linalg.norm(x, axis=1, keepdims=True)
             cos = np.round(m @ (x / np.where(norms > 0, norms, 1)).T, 12)
             order = np.argsort(ids, kind="stable")

@@ -1,6 +1,7 @@
 """Hand-computed values of the scoring kernels, edge cases of vectors and rules, and streaming against batch."""
 
 import math
+import shutil
 
 import pytest
 from pyspark.sql import functions as F
@@ -94,8 +95,10 @@ def test_stream_equals_batch(spark, tmp_path):
     from recallium.streaming import sessions
 
     source = "/root/testdata/sf0.001"
-    events = sessions.read_events(spark, f"{source}/events.parquet")
-    stream = sessions.rate_limited(events).writeStream.format("memory").queryName("passed").option("checkpointLocation", str(tmp_path)).trigger(availableNow=True).start()
+    (tmp_path / "in").mkdir()
+    shutil.copy(f"{source}/events.parquet", tmp_path / "in")
+    events = sessions.read_events(spark, str(tmp_path / "in"))
+    stream = sessions.rate_limited(events).writeStream.format("memory").queryName("passed").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
     stream.awaitTermination(120)
     from recallium import registry
 
