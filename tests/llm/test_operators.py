@@ -25,7 +25,7 @@ def prose(n):
 PASSAGE, LONG = prose(110), prose(9000)
 NEAR = prose(300).split()
 TEXTS = [None, "", " \n", "one", "two words", prose(60), prose(500), LONG, LONG, f"{prose(50)} {PASSAGE} {prose(40)}", f"{PASSAGE} {prose(80)}", " ".join(NEAR), " ".join(NEAR[:290] + ["x", "y"] + NEAR[290:]), " ".join(NEAR[5:])]
-TEXTS += ["ß€😀 " * 150, "a" * 900, prose(200) + "\nLicensed under the Apache License, Version 2.0.\n", "line again here\n" * 80, prose(120), prose(120) + " <|endoftext|> <s>"]
+TEXTS += ["ß€😀 " * 150, "a" * 900, prose(200) + "\nLicensed under the Apache License, Version 2.0.\n", "line again here\n" * 80, prose(120), prose(120) + " <|endoftext|> <s> e\u0301 caf\u00c9! don't \u0130x _a."]
 ROWS = [(i, t, "en", ["a", "b", None][i % 3], len(t or ""), "r", 1, 2, 3) for i, t in enumerate(TEXTS)]
 ROWS += [ROWS[6], (None, TEXTS[5], None, "a", None, None, None, None, None), (6, "other text of a repeated id", None, "b", None, None, None, None, None)]
 
