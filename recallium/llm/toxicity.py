@@ -21,6 +21,7 @@ from __future__ import annotations
 import math
 import re
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -33,6 +34,7 @@ from pyspark.sql import functions as F
 from recallium.llm.common import Memo, utf8, with_id
 
 BUCKETS = 1 << 17
+WIDTH = 9  # the most features of a word
 _LETTERS = re.compile(r"[^\W\d_]+")
 _TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -204,56 +206,55 @@ def lexicon(rows: DataFrame, s: Settings) -> list[str]:
 def fit(texts: list[tuple[bytes, int]], marks: list[str], s: Settings, prior: float) -> Model:
     """The field on token labels, then the document score on text labels. prior: the share of toxic texts before sampling."""
     model, known = Model(), set(marks)
-    flat: dict[bytes, list[int]] = {}
-    label: dict[bytes, int] = {}
-    sequences, tokens_y, text_y = [], [], []
-    for text, y in texts:
+    vocabulary: dict[bytes, int] = {}
+    marked, flat = bytearray(), array("i")  # of each word: has it a mark; its buckets, filled up to WIDTH
+    sequences, text_y = [], []
+    for text, toxic in texts:
         words = text.split()
         if not words:
             continue
-        for w in set(words).difference(flat):
-            word = letters(w)
-            fs = features(word) if word else []
-            flat[w] = [bucket(f) for f in fs]
-            label[w] = int(any(f in known for f in fs))
-        marked = [label[w] if y else 0 for w in words]
-        sequences.append(words)
-        tokens_y.append(marked)
-        text_y.append(1 if y else 0)
+        for w in words:
+            if w not in vocabulary:
+                vocabulary[w] = len(vocabulary)
+                word = letters(w)
+                fs = features(word) if word else []
+                flat.extend([bucket(f) for f in fs] + [BUCKETS] * (WIDTH - len(fs)))
+                marked.append(any(f in known for f in fs))
+        sequences.append(np.fromiter(map(vocabulary.__getitem__, words), np.int32, len(words)))
+        text_y.append(1 if toxic else 0)
     if not sequences:
         model.doc[0] = math.log((prior + 1e-6) / (1 - prior + 1e-6)) if 0 < prior < 1 else 0.0
         return model
-    vocabulary = {w: i for i, w in enumerate(flat)}
-    width = max(1, max(map(len, flat.values())))
-    table = np.full((len(vocabulary), width), BUCKETS, np.int64)
-    for w, i in vocabulary.items():
-        table[i, : len(flat[w])] = flat[w]
+    label = np.frombuffer(marked, np.uint8)
+    columns = np.ascontiguousarray(np.frombuffer(flat, np.int32).reshape(-1, WIDTH).T)
+    del vocabulary, flat
 
-    def laid(which):
-        sizes = np.array([len(x) for x in which], np.int64)
-        return np.fromiter((vocabulary[w] for x in which for w in x), np.int64, int(sizes.sum())), sizes
+    def summed(w):
+        out = np.zeros(columns.shape[1])
+        for column in columns:
+            out += w[column]
+        return out
 
     # a toxic text in which nothing is marked says nothing about its tokens
-    cut = [
-        (x[i : i + s.segment], m[i : i + s.segment])
-        for y, x, m in zip(text_y, sequences, tokens_y, strict=True) if not y or any(m)
-        for i in range(0, len(x), s.segment)
-    ]
-    ids, sizes = laid([x for x, _ in cut])
-    y = np.fromiter((v for _, m in cut for v in m), np.int64, len(ids))
+    cut = [(x, toxic) for toxic, x in zip(text_y, sequences, strict=True) if not toxic or label[x].any()]
+    ids = np.concatenate([x for x, _ in cut] or [np.zeros(0, np.int32)])
+    sizes = np.array([min(s.segment, len(x) - i) for x, _ in cut for i in range(0, len(x), s.segment)], np.int64)
+    y = np.concatenate([label[x] * toxic for x, toxic in cut] or [np.zeros(0)]).astype(np.int64)
     if y.any():
         first = np.zeros(len(ids), bool)
         first[np.concatenate(([0], np.cumsum(sizes)[:-1]))] = True
         right = np.flatnonzero(~first)
         seen = np.bincount(2 * y[right - 1] + y[right], minlength=4).reshape(2, 2).astype(float)
         w, grad2, moves2, bias2 = np.zeros(BUCKETS + 1), np.full(BUCKETS + 1, 1e-8), np.full((2, 2), 1e-8), 1e-8
-        yv = np.bincount(ids, weights=y, minlength=len(vocabulary))
+        yv = np.bincount(ids, weights=y, minlength=len(label))
         for epoch in range(s.epochs):
             w[BUCKETS] = 0
-            odds = model.bias + w[table].sum(1)[ids]
+            odds = model.bias + summed(w)[ids]
             p = marginals(odds, sizes, model.moves)
             g = np.zeros(BUCKETS + 1)
-            np.add.at(g, table, (yv - np.bincount(ids, weights=p, minlength=len(vocabulary)))[:, None])
+            error = yv - np.bincount(ids, weights=p, minlength=len(label))
+            for column in columns:
+                g += np.bincount(column, weights=error, minlength=BUCKETS + 1)
             g -= 0.05 * w
             grad2 += g * g
             w += 0.5 * g / np.sqrt(grad2)
@@ -265,9 +266,9 @@ def fit(texts: list[tuple[bytes, int]], marks: list[str], s: Settings, prior: fl
                 moves2 += gm * gm
                 model.moves = model.moves + 0.2 * gm / np.sqrt(moves2)
         model.unary = w[:BUCKETS].copy()
-    ids, sizes = laid(sequences)
+    ids, sizes = np.concatenate(sequences), np.array([len(x) for x in sequences], np.int64)
     w = np.append(model.unary, 0.0)
-    x = document_features(marginals(model.bias + w[table].sum(1)[ids], sizes, model.moves), sizes)
+    x = document_features(marginals(model.bias + summed(w)[ids], sizes, model.moves), sizes)
     ty = np.array(text_y, float)
     share = ty.mean()
     weight = np.where(ty > 0, prior / max(share, 1e-9), (1 - prior) / max(1 - share, 1e-9))
