@@ -306,3 +306,15 @@ def test_pipeline_stages(spark):
     assert names == ["toxicity", "ngram_jaccard_join", "suffix_array_dedup", "source_mixing", "best_fit_packing"]
     rows = corpus_pipeline.run(spark, "/root/testdata/sf0.001").collect()
     assert rows and {"doc_id", "piece", "sequence_id", "offset", "length"} <= set(rows[0].asDict())
+
+
+@pytest.mark.parametrize("most", [250_000, 3])
+def test_forms_give_the_ids_of_the_library(most):
+    tokenizer = packing.WordTokenizer(vocabulary("word_bpe_49k.json"), most, joined=4)
+    texts = ["", "<|ENDOFTEXT|> a<|endoftext|>b", "don't DON'T É'LL'S İx, ΑΣ Σ, café! CAFÉ! e!́ ×, ÷! ß, ẞ.", "≮a a≮ ﬁ! \x1cq a\x1f! it'sx 'sa a'", PASSAGE, PASSAGE.upper() + ","]
+    for _ in range(2):
+        forms = tokenizer.forms([t.encode() for t in texts])
+        tokenizer.learn(forms)
+        for text, f in zip(texts, forms, strict=True):
+            assert np.frombuffer(tokenizer.ids(f), "<u4").tolist() == tokenizer.model.encode(text, add_special_tokens=False).ids
+    assert packing.WordTokenizer.forms([]) == []
