@@ -35,6 +35,7 @@ from recallium.llm.common import Memo, utf8, with_id
 
 BUCKETS = 1 << 17
 WIDTH = 9  # the most features of a word
+BLOCK = 100_000  # tokens that the fit looks at side by side
 _LETTERS = re.compile(r"[^\W\d_]+")
 _TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -203,6 +204,19 @@ def lexicon(rows: DataFrame, s: Settings) -> list[str]:
     return [r["feature"] for r in best.orderBy(F.desc("low"), F.desc("pos"), "feature").limit(s.lexicon).collect()]
 
 
+def _blocks(sequences: list[tuple[np.ndarray, int]], most: int) -> Iterator[list[tuple[np.ndarray, int]]]:
+    """Runs of sequences of about so many tokens, so that what a pass holds at once is bounded."""
+    part, held = [], 0
+    for x in sequences:
+        part.append(x)
+        held += len(x[0])
+        if held >= most:
+            yield part
+            part, held = [], 0
+    if part:
+        yield part
+
+
 def fit(texts: list[tuple[bytes, int]], marks: list[str], s: Settings, prior: float) -> Model:
     """The field on token labels, then the document score on text labels. prior: the share of toxic texts before sampling."""
     model, known = Model(), set(marks)
@@ -236,39 +250,52 @@ def fit(texts: list[tuple[bytes, int]], marks: list[str], s: Settings, prior: fl
         return out
 
     # a toxic text in which nothing is marked says nothing about its tokens
-    cut = [(x, toxic) for toxic, x in zip(text_y, sequences, strict=True) if not toxic or label[x].any()]
-    ids = np.concatenate([x for x, _ in cut] or [np.zeros(0, np.int32)])
-    sizes = np.array([min(s.segment, len(x) - i) for x, _ in cut for i in range(0, len(x), s.segment)], np.int64)
-    y = np.concatenate([label[x] * toxic for x, toxic in cut] or [np.zeros(0)]).astype(np.int64)
-    if y.any():
-        first = np.zeros(len(ids), bool)
-        first[np.concatenate(([0], np.cumsum(sizes)[:-1]))] = True
-        right = np.flatnonzero(~first)
-        seen = np.bincount(2 * y[right - 1] + y[right], minlength=4).reshape(2, 2).astype(float)
+    cut = [(x[i : i + s.segment], toxic) for toxic, x in zip(text_y, sequences, strict=True) if not toxic or label[x].any() for i in range(0, len(x), s.segment)]
+    blocks = [(np.concatenate([x for x, _ in part]), np.array([len(x) for x, _ in part], np.int64)) for part in _blocks(cut, BLOCK)]
+    marks_in = [np.concatenate([label[x] * np.uint8(toxic) for x, toxic in part]) for part in _blocks(cut, BLOCK)]
+    total = sum(int(y.sum()) for y in marks_in)
+    if total:
+        seen = np.zeros((2, 2))
+        yv = np.zeros(len(label))
+        for (ids, sizes), y in zip(blocks, marks_in, strict=True):
+            first = np.zeros(len(ids), bool)
+            first[np.cumsum(sizes)[:-1]] = True
+            first[0] = True
+            right = np.flatnonzero(~first)
+            seen += np.bincount(2 * y[right - 1] + y[right], minlength=4).reshape(2, 2)
+            yv += np.bincount(ids, weights=y, minlength=len(label))
+        del cut, marks_in
         w, grad2, moves2, bias2 = np.zeros(BUCKETS + 1), np.full(BUCKETS + 1, 1e-8), np.full((2, 2), 1e-8), 1e-8
-        yv = np.bincount(ids, weights=y, minlength=len(label))
         for epoch in range(s.epochs):
             w[BUCKETS] = 0
-            odds = model.bias + summed(w)[ids]
-            p = marginals(odds, sizes, model.moves)
+            of_word = model.bias + summed(w)
+            error, gb, met = yv.copy(), float(total), np.zeros((2, 2))
+            for ids, sizes in blocks:
+                odds = of_word[ids]
+                p = marginals(odds, sizes, model.moves)
+                error -= np.bincount(ids, weights=p, minlength=len(label))
+                gb -= float(p.sum())
+                if epoch % 3 == 0:
+                    met += _pairs(odds, sizes, model.moves, p)
             g = np.zeros(BUCKETS + 1)
-            error = yv - np.bincount(ids, weights=p, minlength=len(label))
             for column in columns:
                 g += np.bincount(column, weights=error, minlength=BUCKETS + 1)
             g -= 0.05 * w
             grad2 += g * g
             w += 0.5 * g / np.sqrt(grad2)
-            gb = float(y.sum() - p.sum())
             bias2 += gb * gb
             model.bias += 0.5 * gb / math.sqrt(bias2)
             if epoch % 3 == 0:
-                gm = seen - _pairs(odds, sizes, model.moves, p) - 0.5 * model.moves
+                gm = seen - met - 0.5 * model.moves
                 moves2 += gm * gm
                 model.moves = model.moves + 0.2 * gm / np.sqrt(moves2)
         model.unary = w[:BUCKETS].copy()
-    ids, sizes = np.concatenate(sequences), np.array([len(x) for x in sequences], np.int64)
-    w = np.append(model.unary, 0.0)
-    x = document_features(marginals(model.bias + summed(w)[ids], sizes, model.moves), sizes)
+    of_word = model.bias + summed(np.append(model.unary, 0.0))
+    parts = []
+    for part in _blocks([(x, 0) for x in sequences], BLOCK):
+        sizes = np.array([len(x) for x, _ in part], np.int64)
+        parts.append(document_features(marginals(of_word[np.concatenate([x for x, _ in part])], sizes, model.moves), sizes))
+    x = np.concatenate(parts)
     ty = np.array(text_y, float)
     share = ty.mean()
     weight = np.where(ty > 0, prior / max(share, 1e-9), (1 - prior) / max(1 - share, 1e-9))
