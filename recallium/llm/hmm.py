@@ -3,7 +3,9 @@
 Tokens are words and one end a text. The model has a few latent states; a state emits one of a fixed number of classes
 (a hash of the word), and a class emits its words in proportion to their training counts plus one, with one unseen word
 a class. So log P(text) = log P(classes), by the scaled forward recursion, + the sum over tokens of
-log((c + 1) / (count of the class + 1)); the first part needs no vocabulary, the second is a sum of counts.
+log((c + 1) / (count of the class + its distinct words + 1)), which sums to 1 over the words of the class and the unseen
+one; the end is the only token of its class, with probability 1 there. The first part needs no vocabulary, the second is
+a sum of counts.
 
 Training is Baum-Welch. Each iteration is one distributed pass over all training texts: tasks run forward and backward
 recursions over their texts side by side and emit expected counts in blocks of classes; the blocks are summed across
@@ -236,13 +238,14 @@ def score(docs: DataFrame, held_out, s: Settings = Settings()) -> DataFrame:
         total = kinds = 0
         for batch in batches:
             for w, c in zip(batch.column("word").to_pylist(), batch.column("n").to_pylist(), strict=True):
-                n[class_of(w)] += c
+                n[class_of(w)] += c if w == END else c + 1
                 total += c
                 kinds += 1
         yield pa.RecordBatch.from_arrays([pa.array([n.tobytes()], pa.binary()), pa.array([total], pa.int64()), pa.array([kinds], pa.int64())], ["n", "total", "kinds"])
 
     # one row of fixed size from each part of the counts
     parts = counts.coalesce(64).mapInArrow(classes, "n binary, total long, kinds long").collect()
+    # in each class the weights c + 1 of its words, but for the unseen one; the end has no unseen word beside it
     of_class = sum((np.frombuffer(bytes(r["n"]), "<f8") for r in parts), np.zeros(CLASSES))
     n_all, n_kinds = sum(r["total"] for r in parts), sum(r["kinds"] for r in parts)
     top = counts.orderBy(F.desc("n"), "word").limit(s.frequent).collect() if s.frequent else []

@@ -9,6 +9,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from recallium.llm import fuzzyhash, hmm, licenses, mixing, ngramjoin, packing, quality, substrings, tokencount, toxicity
 from recallium.llm.graph import components
@@ -102,6 +103,23 @@ def test_hidden_markov_scores(docs, empty):
     assert hmm.score(empty, hmm.fold(7, 2)).count() == 0
 
 
+def test_words_of_a_class_sum_to_one(spark):
+    at: dict[int, list[str]] = {}
+    for i in range(4000):
+        at.setdefault(hmm.class_of(f"w{i}".encode()), []).append(f"w{i}")
+    a, b, unseen = next(x for x in at.values() if len(x) > 2)[:3]
+    texts = [(1, f"{a} {a} {b} other"), (2, f"{a} more"), (3, a), (4, b), (5, unseen), (6, "")]
+    docs, held_out = spark.createDataFrame(texts, "doc_id long, text string"), F.col("doc_id") > 2
+    s = hmm.Settings(states=2)
+    m, _ = hmm.train(docs.where(~held_out), s)
+    scores = {r["doc_id"]: r["score"] for r in hmm.score(docs, held_out, s).collect()}
+    c = hmm.class_of(a.encode())
+    classes = hmm.forward(m, np.array([c, 0]), np.array([2]))[0] / math.log(10)
+    shares = [10 ** (scores[i] - classes) for i in (3, 4, 5)]
+    assert shares == pytest.approx([4 / 7, 2 / 7, 1 / 7]) and sum(shares) == pytest.approx(1)
+    assert scores[6] == pytest.approx(hmm.forward(m, np.array([0]), np.array([1]))[0] / math.log(10))
+
+
 def test_forward_recursion_sums_over_paths():
     m = hmm.fresh(3)
     classes = np.array([5, 9, 5, 0])
