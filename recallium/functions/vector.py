@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +38,15 @@ def knn(corpus: DataFrame, queries: DataFrame, k: int, id_column: str = "doc_id"
     return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).withColumnRenamed("id", id_column)
 
 
+def over_blocks(queries: DataFrame, run: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The rows that run gives for all queries (with a qid), in blocks of about QUERY_BLOCK; each query is in one block, by a hash."""
+    blocks, out = max(1, -(-queries.count() // QUERY_BLOCK)), None
+    for i in range(blocks):
+        part = run(queries.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == i))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def _knn_block(corpus: DataFrame, block: list[tuple], k: int) -> DataFrame:
     shared = corpus.sparkSession.sparkContext.broadcast(block)
 

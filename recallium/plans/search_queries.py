@@ -94,20 +94,22 @@ _LEX = "least(0.95, 0.72 + 0.02 * length(q.text))"
 @query(f"""WITH {_QT}, m AS (SELECT q.qid, d.doc_id, greatest(CASE WHEN contains(lower(d.text), lower(q.text)) THEN {_LEX} ELSE 0 END, CASE WHEN contains(lower(d.text[1:60]), lower(q.text)) THEN {_LEX} * 0.98 ELSE 0 END) AS s
  FROM documents d, qt q WHERE contains(lower(d.text), lower(q.text))) SELECT qid, doc_id, round(CAST(s AS DOUBLE), 6) AS score FROM m QUALIFY row_number() OVER (PARTITION BY qid ORDER BY s DESC, doc_id) <= {POOL}""")
 def lexical_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Substring hits; used where the index is missing. The queries are a block that is broadcast, bounded like those of k-NN."""
-    asked = text_queries(spark, sf_dir).select("qid", F.lower("text").alias("q")).limit(V.QUERY_BLOCK)
+    """Substring hits; used where the index is missing. The queries are broadcast in blocks, like those of k-NN."""
+    asked = text_queries(spark, sf_dir).select("qid", F.lower("text").alias("q"))
     docs = base(spark, sf_dir).select("doc_id", F.lower("text").alias("t"))
-    hits = docs.join(F.broadcast(asked), F.contains("t", "q"))
     score = F.least(F.lit(0.95), 0.72 + 0.02 * F.length("q"))
     best = F.greatest(score, F.when(F.contains(F.substring("t", 1, 60), F.col("q")), score * 0.98).otherwise(0.0))
-    return S.top(hits.withColumn("score", best), "score", POOL).select("qid", "doc_id", F.round("score", 6).alias("score"))
+    hits = V.over_blocks(asked, lambda block: docs.join(F.broadcast(block), F.contains("t", "q")).select("qid", "doc_id", best.alias("score")))
+    return S.top(hits, "score", POOL).select("qid", "doc_id", F.round("score", 6).alias("score"))
 
 
 @query(f"""WITH {VECTORS_SQL}, {_QV} SELECT c.doc_id, round(max({_COS}), 6) AS best, max({_COS}) >= 0.35 AS is_noise FROM vectors c, qv q GROUP BY 1""")
 def noise_bank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nearness to the closest noise prototype (a bounded bank), lowered threshold for these vectors."""
-    bank = vector_queries(spark, sf_dir).limit(V.QUERY_BLOCK).select(F.col("vector").alias("p"))
-    near = with_vectors(spark, sf_dir).select("doc_id", "vector").join(F.broadcast(bank), F.lit(True)).groupBy("doc_id").agg(F.max(V.cosine(F.col("vector"), F.col("p"))).alias("m"))
+    """Nearness to the closest noise prototype, lowered threshold for these vectors; the bank is broadcast in blocks."""
+    rows, bank = with_vectors(spark, sf_dir).select("doc_id", "vector"), vector_queries(spark, sf_dir).withColumnRenamed("vector", "p")
+    best = F.max(V.cosine(F.col("vector"), F.col("p"))).alias("m")
+    parts = V.over_blocks(bank, lambda block: rows.join(F.broadcast(block), F.lit(True)).groupBy("doc_id").agg(best))
+    near = parts.groupBy("doc_id").agg(F.max("m").alias("m"))
     return near.select("doc_id", F.round("m", 6).alias("best"), (F.col("m") >= 0.35).alias("is_noise"))
 
 
@@ -187,7 +189,8 @@ def store_duplicate_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {VECTORS_SQL}, {_QV}, n AS (SELECT q.qid, max({_COS}) AS m FROM vectors c, qv q WHERE c.vector <> q.vector AND c.ts <= {NOW} GROUP BY 1) SELECT qid, round(1 - greatest(0, m), 6) AS novelty FROM n")
 def admission_novelty(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One minus the nearest cosine among other vectors; the queries are a bounded block."""
-    asked = vector_queries(spark, sf_dir).limit(V.QUERY_BLOCK).withColumnRenamed("vector", "q")
-    rows = with_vectors(spark, sf_dir).where(F.col("ts") <= NOW).join(F.broadcast(asked), F.col("vector") != F.col("q"))
-    return rows.groupBy("qid").agg(F.max(V.cosine(F.col("vector"), F.col("q"))).alias("m")).select("qid", F.round(1 - F.greatest(F.lit(0.0), "m"), 6).alias("novelty"))
+    """One minus the nearest cosine among other vectors; the queries are broadcast in blocks."""
+    asked = vector_queries(spark, sf_dir).withColumnRenamed("vector", "q")
+    rows = with_vectors(spark, sf_dir).where(F.col("ts") <= NOW).select("vector")
+    near = V.over_blocks(asked, lambda block: rows.join(F.broadcast(block), F.col("vector") != F.col("q")))
+    return near.groupBy("qid").agg(F.max(V.cosine(F.col("vector"), F.col("q"))).alias("m")).select("qid", F.round(1 - F.greatest(F.lit(0.0), "m"), 6).alias("novelty"))

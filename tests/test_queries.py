@@ -7,6 +7,7 @@ import duckdb
 import pytest
 
 from recallium import registry
+from recallium.functions import vector
 
 DIR = "/root/testdata/sf0.001"
 
@@ -40,3 +41,11 @@ def test_query(spark, duck, name):
         return
     found = duck.execute(sql)
     assert table(df.columns, rows) == table([d[0] for d in found.description], found.fetchall())
+
+
+@pytest.mark.parametrize("name", ["lexical_fallback", "noise_bank", "admission_novelty"])
+def test_all_blocks_of_queries_count(spark, duck, name, monkeypatch):
+    monkeypatch.setattr(vector, "QUERY_BLOCK", 4)
+    df = registry.queries()[name](spark, DIR)
+    found = duck.execute(registry.oracle_sql()[name])
+    assert table(df.columns, df.collect()) == table([d[0] for d in found.description], found.fetchall())
