@@ -47,8 +47,6 @@ class Settings:
 
     sample_toxic: int = 2000
     sample_clean: int = 2000
-    candidates: int = 60_000
-    lexicon: int = 4_000
     least_texts: int = 4
     epochs: int = 45
     segment: int = 100
@@ -171,29 +169,32 @@ def _labelled(docs: DataFrame, labels: DataFrame, seed_column) -> DataFrame:
 def lexicon(rows: DataFrame, s: Settings) -> list[str]:
     """Features that mark toxic tokens, from the document frequencies over all rows (text, toxic)."""
 
-    def counted(wanted: set | None):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            of = Memo(lambda t: [f for f in features(letters(t)) if wanted is None or f in wanted] if letters(t) else [])
-            pos, neg = Counter(), Counter()
-            for batch in batches:
-                for text, y in zip(utf8(batch.column("text")), batch.column("toxic").to_pylist(), strict=True):
-                    (pos if y else neg).update({f for t in set(text.split()) for f in of[t]})
-                of.trim()
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = Memo(lambda t: features(letters(t)) if letters(t) else [])
+        pos, neg = Counter(), Counter()
+
+        def out():
             keys = list(pos.keys() | neg.keys())
             for i in range(0, len(keys), 100_000):
                 k = keys[i : i + 100_000]
                 yield pa.RecordBatch.from_arrays([pa.array(k, pa.string()), pa.array([pos[x] for x in k], pa.int64()), pa.array([neg[x] for x in k], pa.int64())], ["feature", "pos", "neg"])
 
-        return run
+        for batch in batches:
+            for text, y in zip(utf8(batch.column("text")), batch.column("toxic").to_pylist(), strict=True):
+                (pos if y else neg).update({f for t in set(text.split()) for f in of[t]})
+                if len(pos) + len(neg) > 600_000:
+                    yield from out()
+                    pos.clear()
+                    neg.clear()
+            of.trim()
+        yield from out()
 
     schema = "feature string, pos long, neg long"
     total = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     n_pos, n_neg = sum(n for y, n in total.items() if y), total.get(0, 0)
     if not n_pos or not n_neg:
         return []
-    first = rows.where("toxic <> 0").mapInArrow(counted(None), schema).groupBy("feature").agg(F.sum("pos").alias("pos"))
-    wanted = {r["feature"] for r in first.where(F.col("pos") >= s.least_texts).orderBy(F.desc("pos"), "feature").limit(s.candidates).collect()}
-    both = rows.mapInArrow(counted(wanted), schema).groupBy("feature").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    both = rows.mapInArrow(counted, schema).groupBy("feature").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).where(F.col("pos") >= s.least_texts)
     # the lower end of a Wilson interval of the share of toxic texts among those with the feature
     n, z = F.col("pos") + F.col("neg"), 2.5
     share = F.col("pos") / n
@@ -201,7 +202,7 @@ def lexicon(rows: DataFrame, s: Settings) -> list[str]:
     prior = n_pos / (n_pos + n_neg)
     least = min(0.9, max(3 * prior, 0.5 if prior < 0.3 else (1 + prior) / 2))
     best = both.withColumn("low", low).where((F.col("low") > least * 0.7) & (share > max(0.8, least)))
-    return [r["feature"] for r in best.orderBy(F.desc("low"), F.desc("pos"), "feature").limit(s.lexicon).collect()]
+    return [r["feature"] for r in best.orderBy(F.desc("low"), F.desc("pos"), "feature").collect()]
 
 
 def _blocks(sequences: list[tuple[np.ndarray, int]], most: int) -> Iterator[list[tuple[np.ndarray, int]]]:

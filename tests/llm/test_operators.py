@@ -193,6 +193,21 @@ def test_toxicity_learns_marked_words(spark):
     assert {r["score"] for r in toxicity.score(docs, blank, held).collect()} == {0.5}
 
 
+def test_lexicon_finds_rare_marks_behind_many_common_features(spark):
+    gen = random.Random(3)
+    common = " ".join("".join(gen.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(10)) for _ in range(12_000))
+    rows = [(f"{common} {'grumzlet' if i < 6 else ''}", 1) for i in range(8)] + [(common, 0)] * 30
+    assert "w:grumzlet" in toxicity.lexicon(spark.createDataFrame(rows, "text string, toxic int"), toxicity.Settings())
+
+
+def test_lexicon_keeps_every_mark(spark):
+    gen = random.Random(4)
+    bad = ["".join(gen.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(9)) for _ in range(1000)]
+    rows = [(" ".join(bad), 1)] * 8 + [("plain words", 0)] * 30
+    marks = toxicity.lexicon(spark.createDataFrame(rows, "text string, toxic int"), toxicity.Settings())
+    assert set(marks) == {f for w in bad for f in toxicity.features(w)} and len(marks) > 4000
+
+
 def test_marginals_against_enumeration():
     odds, moves = np.array([0.3, -1.0, 2.0]), np.array([[0.5, -0.2], [0.1, 0.7]])
     weight = {}
