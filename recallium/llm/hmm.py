@@ -9,7 +9,8 @@ a sum of counts.
 
 Training is Baum-Welch. Each iteration is one distributed pass over all training texts: tasks run forward and backward
 recursions over their texts side by side and emit expected counts in blocks of classes; the blocks are summed across
-tasks by key. The first parameters come from the same recursions over a bounded sample of texts.
+tasks by key. Iterations go on until the likelihood of all training texts settles. Only their starting point comes from a
+bounded sample of different texts.
 
 Word counts are exact over all training texts. The most frequent words, a bounded number, are broadcast; counts of the
 others reach their texts by a join.
@@ -44,9 +45,9 @@ FREQUENT = 1 << 18
 @dataclass(frozen=True)
 class Settings:
     states: int = STATES
-    iterations: int = 2
+    #: Training ends when an iteration over all texts raises the log-likelihood by less than this share of it.
+    tolerance: float = 1e-4
     sample_texts: int = 2000
-    sample_tokens: int = 400
     sample_iterations: int = 12
     frequent: int = FREQUENT
 
@@ -187,20 +188,27 @@ def _iterate(rows: DataFrame, m: Hmm) -> tuple[Hmm, float]:
 def train(rows: DataFrame, s: Settings = Settings()) -> tuple[Hmm, list[float]]:
     """The model of the texts in rows and the log-likelihood before each distributed iteration."""
     m = fresh(s.states)
-    by = F.xxhash64("text")
-    sample = [(r["t"] or "").encode() for r in rows.orderBy(by).limit(s.sample_texts).select(F.substring("text", 1, 12 * s.sample_tokens).alias("t")).collect()]
-    if sample:
-        laid = _laid([b" ".join(x.split()[: s.sample_tokens]) for x in sample], Memo(class_of))
-        for _ in range(s.sample_iterations):
-            f, mv, e, _ll = expected(m, *laid)
-            m = updated(f, mv, e)
-    history = []
-    for _ in range(s.iterations):
+    parts = [_laid(x, Memo(class_of)) for x in _sample(rows, s)]
+    for _ in range(s.sample_iterations if parts else 0):
+        sums = [expected(m, *laid) for laid in parts]
+        m = updated(*(sum(x[i] for x in sums) for i in range(3)))
+    history: list[float] = []
+    while len(history) < 2 or history[-1] - history[-2] > s.tolerance * abs(history[-2]):
         m, ll = _iterate(rows, m)
         history.append(ll)
     return m, history
 
 
+def _sample(rows: DataFrame, s: Settings) -> list[list[bytes]]:
+    """Different whole texts, those of the lowest hashes, a hundred at a time."""
+    hashed = rows.select(F.xxhash64("text").alias("h"), "text")
+    lowest = [r["h"] for r in hashed.select("h").distinct().orderBy("h").limit(s.sample_texts).collect()] if s.sample_iterations else []
+    if not lowest:
+        return []
+    texts = [(r["text"] or "").encode() for r in hashed.where(F.col("h") <= lowest[-1]).dropDuplicates(["h"]).orderBy("h").collect()]
+    return [texts[i : i + 100] for i in range(0, len(texts), 100)]
+
+
 def word_counts(rows: DataFrame) -> DataFrame:
     """word (binary), n over all rows, the end included; tasks count before the shuffle."""
 

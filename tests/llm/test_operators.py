@@ -136,6 +136,13 @@ def test_baum_welch_raises_the_likelihood(docs):
     assert (lambda h: h[1] > h[0])(hmm.train(docs.select("text"), hmm.Settings(sample_iterations=1))[1])
 
 
+def test_training_goes_on_until_the_likelihood_settles(docs):
+    s = hmm.Settings(sample_iterations=0)
+    h = hmm.train(docs.select("text"), s)[1]
+    gains = [(b - a) / abs(a) for a, b in zip(h, h[1:], strict=False)]
+    assert gains[-1] <= 1e-4 and all(x > 1e-4 for x in gains[:-1])
+
+
 def test_packing_is_gapless_and_tight(docs, empty):
     path = vocabulary("word_bpe_49k.json")
     from tokenizers import Tokenizer
