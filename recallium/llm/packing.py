@@ -185,59 +185,65 @@ def best_fit(counts: dict[int, int], capacity: int) -> Counter:
     return out
 
 
-def improve(bins: Counter, capacity: int, rounds: int = 20_000, width: int = 64) -> Counter:
+def improve(bins: Counter, capacity: int) -> Counter:
     """Local search among the underfull bins; keeps every piece, never adds a bin.
 
-    The emptiest bin gives pieces away: to each other underfull bin, fullest first, it moves a piece, or exchanges one of
-    its pieces for a shorter one, or two for one, if that raises the sum of squared fills. Such a step makes the fuller bin
-    fuller; it ends when the least number of bins is reached or no step helps. width bounds the bins that are tried."""
+    The emptiest bins give pieces away: to the other underfull bins, fullest first, they move a piece, or exchange one of
+    their pieces for a shorter one, or two for one, if that raises the sum of squared fills. Such a step makes the fuller
+    bin fuller, and is done for as many bins of these contents as there are; it ends when the least number of bins is
+    reached or no step helps."""
     bins = Counter({b: n for b, n in bins.items() if n})
-    total = sum(sum(b) * n for b, n in bins.items())
-    least = -(-total // capacity)
-
-    def take(content: tuple) -> None:
-        bins[content] -= 1
-        if not bins[content]:
-            del bins[content]
-
-    barren: set = set()
-    for _ in range(rounds):
-        if sum(bins.values()) <= least:
-            break
-        open_bins = sorted((b for b in bins if sum(b) < capacity and b not in barren), key=lambda b: (sum(b), b))
-        if not open_bins:
-            break
-        giver = open_bins[0]
-        step = None
-        others = sorted((b for b in bins if sum(b) < capacity and (b != giver or bins[b] > 1)), key=lambda b: (-sum(b), b))[:width]
-        gives = sorted(set(giver), reverse=True)
-        pairs = sorted({(x, y) for i, x in enumerate(giver) for y in giver[i + 1 :]}, key=sum, reverse=True)[:200]
-        for taker in others:
-            free, fill_g, fill_t = capacity - sum(taker), sum(giver), sum(taker)
+    number, least = sum(bins.values()), -(-sum(sum(b) * n for b, n in bins.items()) // capacity)
+
+    def step_of(giver: tuple, takers: list[tuple]) -> tuple | None:
+        """The best step to the fullest taker that has one."""
+        have, fill_g = Counter(giver), sum(giver)
+        gives = sorted(have, reverse=True)
+        pairs = [(x, y) for i, x in enumerate(gives) for y in gives[i:] if x != y or have[x] > 1]
+        for taker in takers:
+            fill_t = sum(taker)
+            free, best = capacity - fill_t, None
+            # a step moves d with max(0, fill_g - fill_t) < d <= free
+            if free <= fill_g - fill_t or (taker == giver and bins[giver] < 2):
+                continue
+            backs = set(taker)
             options = [((x,), ()) for x in gives if x <= free]
-            options += [((x,), (y,)) for x in gives for y in set(taker) if y < x <= free + y]
-            options += [((x, y), (z,)) for x, y in pairs for z in set(taker) if z < x + y <= free + z]
+            options += [((x,), (y,)) for x in gives for y in backs if y < x <= free + y]
+            options += [((x, y), (z,)) for x, y in pairs for z in backs if z < x + y <= free + z]
             for out, back in options:
                 d = sum(out) - sum(back)
                 gain = (fill_t + d) ** 2 + (fill_g - d) ** 2 - fill_t**2 - fill_g**2
-                if d > 0 and gain > 0 and (step is None or gain > step[0]):
-                    step = (gain, taker, out, back)
-            if step:
-                break
-        if step is None:
-            barren.add(giver)
-            continue
-        _, taker, out, back = step
-        take(giver)
-        take(taker)
-        for content, lose, win in ((giver, out, back), (taker, back, out)):
-            rest = list(content)
-            for x in lose:
-                rest.remove(x)
-            new = tuple(sorted([*rest, *win], reverse=True))
-            if new:
-                bins[new] += 1
-        barren.clear()
+                if gain > 0 and (best is None or gain > best[0]):
+                    best = (gain, taker, out, back)
+            if best:
+                return best
+        return None
+
+    def underfull() -> list[tuple]:
+        return sorted((b for b in bins if sum(b) < capacity), key=lambda b: (-sum(b), b))
+
+    helped = True
+    while helped and number > least:
+        helped = False
+        takers = underfull()
+        for giver in reversed(takers):
+            while bins[giver] and number > least and (step := step_of(giver, takers)):
+                _, taker, out, back = step
+                n = bins[giver] // 2 if taker == giver else min(bins[giver], bins[taker])
+                for content, lose, win in ((giver, out, back), (taker, back, out)):
+                    rest = list(content)
+                    for x in lose:
+                        rest.remove(x)
+                    new = tuple(sorted([*rest, *win], reverse=True))
+                    bins[content] -= n
+                    if new:
+                        bins[new] += n
+                    else:
+                        number -= n
+                for content in {giver, taker}:
+                    if not bins[content]:
+                        del bins[content]
+                helped, takers = True, underfull()
     return bins
 
 

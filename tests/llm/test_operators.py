@@ -169,6 +169,17 @@ def test_local_search_empties_bins():
     assert sum(packing.best_fit({7: 100, 3: 100}, 10).values()) == 100
 
 
+def test_local_search_has_no_limits():
+    pieces = lambda bins: sum((Counter({x: n * b.count(x) for x in set(b)}) for b, n in bins.items()), Counter())
+    many = Counter({(6, 3): 50_000, (4, 3): 50_000, (1,): 50_000})
+    out = packing.improve(many, 10)
+    assert sum(out.values()) == 87_500 and pieces(out) == pieces(many)
+    # the only bin with room for the piece of 30 lies behind more than a hundred fuller ones
+    fuller = Counter({(1000 - f - i, i): 1 for f in range(1, 29) for i in (40, 41, 42, 43)} | {(30,): 1, (970,): 1})
+    out = packing.improve(fuller, 1000)
+    assert any(30 in b and len(b) > 1 for b in out) and sum(out.values()) <= 113 and pieces(out) == pieces(fuller)
+
+
 def test_token_counts_equal_the_library(docs, empty):
     path = vocabulary("piece_bpe_32k.model")
     import sentencepiece
