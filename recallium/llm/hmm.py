@@ -1,16 +1,17 @@
 """Language-model scores from a hidden Markov model.
 
-Tokens are words and one end a text. The model has a few latent states; a state emits one of a fixed number of classes
+Tokens are words with A-Z lowered, and one end a text. The model has a few latent states; a state emits one of a fixed number of classes
 (a hash of the word), and a class emits its words in proportion to their training counts plus one, with one unseen word
 a class. So log P(text) = log P(classes), by the scaled forward recursion, + the sum over tokens of
 log((c + 1) / (count of the class + its distinct words + 1)), which sums to 1 over the words of the class and the unseen
 one; the end is the only token of its class, with probability 1 there. The first part needs no vocabulary, the second is
 a sum of counts.
 
-Training is Baum-Welch. Each iteration is one distributed pass over all training texts: tasks run forward and backward
-recursions over their texts side by side and emit expected counts in blocks of classes; the blocks are summed across
-tasks by key. Iterations go on until the likelihood of all training texts settles. Only their starting point comes from a
-bounded sample of different texts.
+Training is Baum-Welch from a random start. The classes of all training texts, two bytes a token, are written once; each
+iteration is one distributed pass over them: tasks run forward and backward recursions over their texts side by side and
+emit expected counts by class, which are summed across tasks by key. Iterations go on until the likelihood of all training
+texts settles. A text of more than `segment` tokens is trained on as segments of so many tokens; all but its first start from
+the states' overall shares. Scores are of whole texts.
 
 Word counts are exact over all training texts. The most frequent words, a bounded number, are broadcast; counts of the
 others reach their texts by a join.
@@ -35,11 +36,11 @@ from pyspark.sql import functions as F
 
 from recallium.llm.common import Memo, Staged, utf8, with_id
 
-STATES, CLASSES, BLOCKS = 8, 1 << 14, 64
+STATES, CLASSES = 8, 1 << 14
 #: The end of a text as a token; no word holds white space.
 END = b"\n"
 #: Words broadcast with their counts.
-FREQUENT = 1 << 18
+FREQUENT = 1 << 16
 
 
 @dataclass(frozen=True)
@@ -47,18 +48,18 @@ class Settings:
     states: int = STATES
     #: Training ends when an iteration over all texts raises the log-likelihood by less than this share of it.
     tolerance: float = 1e-4
-    sample_texts: int = 2000
-    sample_iterations: int = 12
+    segment: int = 1024
     frequent: int = FREQUENT
 
 
 @dataclass
 class Hmm:
-    """start[s], moves[s][t], emit[class][s]; all probabilities. The end is class 0, which no word has."""
+    """start[s], moves[s][t], emit[class][s], share[s] of all tokens; all probabilities. The end is class 0, which no word has."""
 
     start: np.ndarray
     moves: np.ndarray
     emit: np.ndarray
+    share: np.ndarray
 
 
 def class_of(word: bytes) -> int:
@@ -69,146 +70,178 @@ def fresh(states: int, seed: int = 11) -> Hmm:
     rng = np.random.default_rng(seed)
     emit = rng.gamma(1.0, 1.0, (CLASSES, states)) + 0.2
     moves = np.full((states, states), 0.1 / states) + 0.9 * np.eye(states)
-    return Hmm(np.full(states, 1 / states), moves, emit / emit.sum(0))
-
-
-def _order(sizes: np.ndarray):
-    order = np.argsort(-sizes, kind="stable")
-    starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))[order]
-    long = sizes[order]
-    longest = int(long[0]) if len(long) else 0
-    return order, starts, longest, np.searchsorted(-long, -np.arange(longest), side="left")
-
-
-def forward(m: Hmm, classes: np.ndarray, sizes: np.ndarray, keep: bool = False):
-    """log P of each sequence (laid end to end); with keep also the scaled forward vectors and the scales of all tokens."""
-    order, starts, longest, alive = _order(sizes)
-    total = np.zeros(len(sizes))
-    alphas = np.empty((len(classes), len(m.start))) if keep else None
-    scales = np.empty(len(classes)) if keep else None
-    a = None
-    for t in range(longest):
-        n = alive[t]
-        at = starts[:n] + t
-        a = (m.start if t == 0 else a[:n] @ m.moves) * m.emit[classes[at]]
-        c = a.sum(1)
-        a /= c[:, None]
-        total[:n] += np.log(c)
+    even = np.full(states, 1 / states)
+    return Hmm(even, moves, emit / emit.sum(0), even)
+
+
+class Laid:
+    """Sequences side by side in the order of time: the tokens of step t are one run, those of the longest sequences first."""
+
+    def __init__(self, classes: np.ndarray, sizes: np.ndarray):
+        """classes: the sequences end to end."""
+        self.order = np.argsort(-sizes, kind="stable")
+        long = sizes[self.order]
+        starts = (np.cumsum(sizes) - sizes)[self.order]
+        self.steps = int(long[0]) if len(long) else 0
+        self.alive = np.searchsorted(-long, -np.arange(self.steps), side="left")  # how many sequences are longer than t
+        self.at = np.cumsum(self.alive) - self.alive
+        sequence = np.arange(len(classes)) - np.repeat(self.at, self.alive)
+        self.classes = classes[starts[sequence] + np.repeat(np.arange(self.steps), self.alive)]
+
+
+def _forward(m: Hmm, laid: Laid, start: np.ndarray | None, keep: bool):
+    """log P in the order of laid; with keep also the scaled forward vectors, the scales and the emissions of all tokens.
+    start: the distribution of the first state of each sequence, where it isn't the model's."""
+    kind = np.float32 if keep else np.float64
+    moves, emit = m.moves.astype(kind), m.emit.astype(kind)
+    total, ones = np.zeros(laid.alive[0] if laid.steps else 0), np.ones(len(moves), kind)
+    alphas = np.empty((len(laid.classes), len(moves)), kind) if keep else None
+    scales, emitted = (np.empty(len(laid.classes), kind), emit[laid.classes]) if keep else (None, None)
+    a = (np.broadcast_to(m.start, (len(total), len(moves))) if start is None else start).astype(kind)
+    for t, (n, at) in enumerate(zip(laid.alive.tolist(), laid.at.tolist(), strict=True)):
+        new = alphas[at : at + n] if keep else np.empty((n, len(moves)), kind)
+        if t:
+            np.matmul(a[:n], moves, out=new)
+        else:
+            new[:] = a
+        new *= emitted[at : at + n] if keep else emit[laid.classes[at : at + n]]
+        c = new @ ones
+        new /= c[:, None]
         if keep:
-            alphas[at], scales[at] = a, c
-    out = np.zeros(len(sizes))
-    out[order] = total
-    return (out, alphas, scales) if keep else out
-
-
-def expected(m: Hmm, classes: np.ndarray, sizes: np.ndarray):
-    """Sums over the sequences: of starts, of moves, of emissions by class, and log P."""
-    loglik, alphas, scales = forward(m, classes, sizes, keep=True)
-    order, starts, longest, alive = _order(sizes)
-    k = len(m.start)
-    moves, gammas, b = np.zeros((k, k)), np.empty_like(alphas), None
-    for t in range(longest - 1, -1, -1):
-        n = alive[t]
-        at = starts[:n] + t
-        beta = np.ones((n, k))
-        if b is not None and len(b):
-            # b: emission * beta / scale of the next token
-            live = len(b)
-            beta[:live] = b @ m.moves.T
-            moves += alphas[at[:live]].T @ b
-        gammas[at] = alphas[at] * beta
-        b = m.emit[classes[at]] * beta / scales[at][:, None]
-    firsts = gammas[starts[: alive[0]]].sum(0) if longest else np.zeros(k)
-    emit = np.stack([np.bincount(classes, weights=gammas[:, s], minlength=CLASSES) for s in range(k)], 1)
-    return firsts, moves * m.moves, emit, float(loglik.sum())
+            scales[at : at + n] = c
+        else:
+            total[:n] += np.log(c)
+        a = new
+    return (alphas, scales, emitted) if keep else total
+
+
+def forward(m: Hmm, classes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """log P of each sequence; the sequences are laid end to end."""
+    laid, out = Laid(classes, sizes), np.zeros(len(sizes))
+    out[laid.order] = _forward(m, laid, None, False)
+    return out
+
+
+def expected(m: Hmm, classes: np.ndarray, sizes: np.ndarray, begins: np.ndarray | None = None):
+    """Sums over the sequences: of starts, of moves, of emissions by class, and log P. begins: which sequences are the
+    beginning of a text (all); the others start from the states' overall shares and add nothing to the starts."""
+    laid, k = Laid(classes, sizes), len(m.start)
+    if not laid.steps:
+        return np.zeros(k), np.zeros((k, k)), np.zeros((CLASSES, k)), 0.0
+    first = np.ones(len(sizes), bool) if begins is None else begins[laid.order]
+    alphas, scales, emitted = _forward(m, laid, np.where(first[: laid.alive[0], None], m.start, m.share), True)
+    back, moves, b = m.moves.T.astype(np.float32).copy(), np.zeros((k, k)), None
+    loglik = float(np.log(scales, dtype=np.float64).sum())
+    emitted /= scales[:, None]
+    for n, at in zip(laid.alive[::-1].tolist(), laid.at[::-1].tolist(), strict=True):
+        here, e = alphas[at : at + n], emitted[at : at + n]
+        if b is None:
+            b = e
+            continue
+        live = len(b)
+        moves += here[:live].T @ b
+        beta = b @ back
+        e[:live] *= beta
+        here[:live] *= beta  # the posterior of the state, from here on
+        b = e
+    firsts = alphas[: laid.alive[0]][first[: laid.alive[0]]].sum(0, dtype=np.float64)
+    emit = np.stack([np.bincount(laid.classes, weights=alphas[:, s], minlength=CLASSES) for s in range(k)], 1)
+    return firsts, moves * m.moves, emit, loglik
 
 
 def updated(firsts: np.ndarray, moves: np.ndarray, emit: np.ndarray) -> Hmm:
     """The parameters that expected counts give, lightly smoothed: a class keeps some of its overall share in every state."""
-    firsts, moves = firsts + 0.1, moves + 0.1
+    firsts, moves, share = firsts + 0.1, moves + 0.1, emit.sum(0) + 0.1
     overall = emit.sum(1) + 0.5
     emit = emit + 50.0 * (overall / overall.sum())[:, None]
-    return Hmm(firsts / firsts.sum(), moves / moves.sum(1, keepdims=True), emit / emit.sum(0))
+    return Hmm(firsts / firsts.sum(), moves / moves.sum(1, keepdims=True), emit / emit.sum(0), share / share.sum())
 
 
-def _laid(texts: list[bytes], of: Memo) -> tuple[np.ndarray, np.ndarray]:
-    words = [t.split() for t in texts]
-    sizes = np.array([len(x) + 1 for x in words], np.int64)
-    flat: list[int] = []
-    for x in words:
-        flat += map(of.__getitem__, x)
-        flat.append(0)
-    return np.array(flat, np.int64), sizes
+def words_of(text: bytes) -> list[bytes]:
+    return text.lower().split()  # of bytes, lower() changes A-Z only
 
 
-def _groups(batches: Iterator[pa.RecordBatch], most: int = 1 << 20) -> Iterator[pa.Table]:
+def _slices(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
+    """Runs of items of at most so much together, or of one."""
+    at, size = 0, 0
+    for i, n in enumerate(sizes):
+        if size and size + n > most:
+            yield at, i
+            at, size = i, 0
+        size += n
+    if at < len(sizes):
+        yield at, len(sizes)
+
+
+def _groups(batches: Iterator[pa.RecordBatch], most: int = 1 << 23) -> Iterator[pa.RecordBatch]:
     """Batches in slices of bounded text."""
     for batch in batches:
-        sizes, at, size = [len(x) for x in utf8(batch.column("text"))], 0, 0
-        for i, n in enumerate(sizes):
-            size += n
-            if size > 8 * most:
-                yield batch.slice(at, i + 1 - at)
-                at, size = i + 1, 0
-        if at < batch.num_rows:
-            yield batch.slice(at)
+        for a, b in _slices([len(x) for x in utf8(batch.column("text"))], most):
+            yield batch.slice(a, b - a)
 
 
-def _iterate(rows: DataFrame, m: Hmm) -> tuple[Hmm, float]:
-    """One Baum-Welch iteration over all rows."""
-    shared, k = rows.sparkSession.sparkContext.broadcast(m), len(m.start)
-    step = CLASSES // BLOCKS
+def classes_of(rows: DataFrame) -> DataFrame:
+    """tokens (the classes of a text, the end included, two bytes each) of each row."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, of = shared.value, Memo(class_of)
-        firsts, moves, emit, loglik = np.zeros(k), np.zeros((k, k)), np.zeros((CLASSES, k)), 0.0
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = Memo(class_of)
         for part in _groups(batches):
-            f, mv, e, ll = expected(model, *_laid(utf8(part.column("text")), of))
-            firsts, moves, emit, loglik = firsts + f, moves + mv, emit + e, loglik + ll
+            yield pa.RecordBatch.from_arrays([pa.array([np.array([*map(of.__getitem__, words_of(t)), 0], "<u2").tobytes() for t in utf8(part.column("text"))], pa.binary())], ["tokens"])
             of.trim()
-        values = [emit[i * step : (i + 1) * step].astype("<f8").tobytes() for i in range(BLOCKS)]
-        values.append(np.concatenate([firsts, moves.ravel(), [loglik]]).astype("<f8").tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(range(BLOCKS + 1), pa.int32()), pa.array(values, pa.binary())], ["block", "counts"])
 
-    def add(key, table):
-        total = np.sum([np.frombuffer(x, "<f8") for x in table.column("counts").to_pylist()], axis=0)
-        return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([total.tobytes()], pa.binary())})
+    return rows.select("text").mapInArrow(run, "tokens binary")
+
+
+def _segments(texts: list[bytes], segment: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The classes end to end, the sizes of the segments, which of these begin a text."""
+    sizes, begins = [], []
+    for x in texts:
+        n = len(x) // 2
+        whole, rest = divmod(n, segment)
+        sizes += [segment] * whole + [rest] * (rest > 0)
+        begins += [True] + [False] * (whole + (rest > 0) - 1)
+    return np.frombuffer(b"".join(texts), "<u2"), np.array(sizes, np.int64), np.array(begins, bool)
 
-    schema = "block int, counts binary"
-    summed = rows.select("text").mapInArrow(count, schema).groupBy("block").applyInArrow(add, schema)
-    got = {r["block"]: np.frombuffer(bytes(r["counts"]), "<f8") for r in summed.collect()}  # of fixed size
+
+def _iterate(tokens: DataFrame, m: Hmm, segment: int) -> tuple[Hmm, float]:
+    """One Baum-Welch iteration over all rows."""
+    shared, k = tokens.sparkSession.sparkContext.broadcast(m), len(m.start)
+    names = [f"s{i}" for i in range(k)]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        firsts, moves, emit, loglik = np.zeros(k), np.zeros((k, k)), np.zeros((CLASSES, k)), 0.0
+        for batch in batches:
+            texts = utf8(batch.column("tokens"))
+            for a, b in _slices([len(x) for x in texts], 2_000_000):
+                f, mv, e, ll = expected(model, *_segments(texts[a:b], segment))
+                firsts, moves, emit, loglik = firsts + f, moves + mv, emit + e, loglik + ll
+        # below the classes: the starts, the moves, the likelihood
+        found = np.flatnonzero(emit.any(1))
+        values = np.concatenate([emit[found], firsts[None], moves, np.full((1, k), loglik)])
+        keys = np.concatenate([found, np.arange(CLASSES, CLASSES + k + 2)])
+        yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int32)), *(pa.array(np.ascontiguousarray(values[:, i])) for i in range(k))], ["key", *names])
+
+    counted = tokens.mapInArrow(count, f"key int, {', '.join(f'{x} double' for x in names)}")
+    got = counted.groupBy("key").agg(*(F.sum(x).alias(x) for x in names)).toArrow()  # of fixed size at most
     shared.unpersist()
-    if not got:
+    sums = np.zeros((CLASSES + k + 2, k))
+    sums[got.column("key").to_numpy()] = np.stack([got.column(x).to_numpy() for x in names], 1)
+    if not got.num_rows or not sums[:CLASSES].any():
         return m, 0.0
-    emit = np.concatenate([got[i].reshape(step, k) for i in range(BLOCKS)])
-    last = got[BLOCKS]
-    return updated(last[:k], last[k : k + k * k].reshape(k, k), emit), float(last[-1])
+    return updated(sums[CLASSES], sums[CLASSES + 1 : CLASSES + 1 + k], sums[:CLASSES]), float(sums[-1, 0])
 
 
 def train(rows: DataFrame, s: Settings = Settings()) -> tuple[Hmm, list[float]]:
-    """The model of the texts in rows and the log-likelihood before each distributed iteration."""
-    m = fresh(s.states)
-    parts = [_laid(x, Memo(class_of)) for x in _sample(rows, s)]
-    for _ in range(s.sample_iterations if parts else 0):
-        sums = [expected(m, *laid) for laid in parts]
-        m = updated(*(sum(x[i] for x in sums) for i in range(3)))
-    history: list[float] = []
+    """The model of the texts in rows and the log-likelihood before each iteration."""
+    tokens, m, history = Staged(classes_of(rows), "hmm-classes"), fresh(s.states), []
     while len(history) < 2 or history[-1] - history[-2] > s.tolerance * abs(history[-2]):
-        m, ll = _iterate(rows, m)
+        m, ll = _iterate(tokens.df, m, s.segment)
         history.append(ll)
+    tokens.drop()
     return m, history
 
 
-def _sample(rows: DataFrame, s: Settings) -> list[list[bytes]]:
-    """Different whole texts, those of the lowest hashes, a hundred at a time."""
-    hashed = rows.select(F.xxhash64("text").alias("h"), "text")
-    lowest = [r["h"] for r in hashed.select("h").distinct().orderBy("h").limit(s.sample_texts).collect()] if s.sample_iterations else []
-    if not lowest:
-        return []
-    texts = [(r["text"] or "").encode() for r in hashed.where(F.col("h") <= lowest[-1]).dropDuplicates(["h"]).orderBy("h").collect()]
-    return [texts[i : i + 100] for i in range(0, len(texts), 100)]
-
-
 def word_counts(rows: DataFrame) -> DataFrame:
     """word (binary), n over all rows, the end included; tasks count before the shuffle."""
 
@@ -223,7 +256,7 @@ def word_counts(rows: DataFrame) -> DataFrame:
 
         for batch in batches:
             for t in utf8(batch.column("text")):
-                found.update(t.split())
+                found.update(words_of(t))
                 found[END] += 1
                 if len(found) > 600_000:
                     yield from out()
@@ -233,6 +266,22 @@ def word_counts(rows: DataFrame) -> DataFrame:
     return rows.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def _frequent(counts: DataFrame, most: int) -> dict[bytes, int]:
+    """The most frequent words with their counts, so many at most: those above the least count, by steps of an eighth of a
+    power of two, that few enough words reach."""
+    step = F.floor(F.log2("n") * 8).cast("int")
+    total, least = 0, None
+    for r in counts.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("words")).orderBy(F.desc("step")).collect():
+        total += r["words"]
+        if total > most:
+            break
+        least = r["step"]
+    if least is None:
+        return {}
+    found = counts.where(step >= least).toArrow()
+    return dict(zip(found.column("word").to_pylist(), found.column("n").to_pylist(), strict=True))
+
+
 def score(docs: DataFrame, held_out, s: Settings = Settings()) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each row."""
     spark = docs.sparkSession
@@ -240,51 +289,45 @@ def score(docs: DataFrame, held_out, s: Settings = Settings()) -> DataFrame:
     training = rows.where(~F.col("held_out"))
     model, _ = train(training, s)
     counts = Staged(word_counts(training), "hmm-counts").df
-
-    def classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = np.zeros(CLASSES)
-        total = kinds = 0
-        for batch in batches:
-            for w, c in zip(batch.column("word").to_pylist(), batch.column("n").to_pylist(), strict=True):
-                n[class_of(w)] += c if w == END else c + 1
-                total += c
-                kinds += 1
-        yield pa.RecordBatch.from_arrays([pa.array([n.tobytes()], pa.binary()), pa.array([total], pa.int64()), pa.array([kinds], pa.int64())], ["n", "total", "kinds"])
-
-    # one row of fixed size from each part of the counts
-    parts = counts.coalesce(64).mapInArrow(classes, "n binary, total long, kinds long").collect()
     # in each class the weights c + 1 of its words, but for the unseen one; the end has no unseen word beside it
-    of_class = sum((np.frombuffer(bytes(r["n"]), "<f8") for r in parts), np.zeros(CLASSES))
-    n_all, n_kinds = sum(r["total"] for r in parts), sum(r["kinds"] for r in parts)
-    top = counts.orderBy(F.desc("n"), "word").limit(s.frequent).collect() if s.frequent else []
-    shared = spark.sparkContext.broadcast((model, {bytes(r["word"]): r["n"] for r in top}, of_class))
+    is_end = F.col("word") == F.lit(bytearray(END))
+    kind = F.when(is_end, 0).otherwise(F.crc32("word") % (CLASSES - 1) + 1).cast("int").alias("kind")
+    sums = counts.groupBy(kind).agg(F.sum(F.col("n") + F.when(is_end, 0).otherwise(1)).alias("weight"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("kinds")).toArrow()
+    of_class = np.zeros(CLASSES)
+    of_class[sums.column("kind").to_numpy()] = sums.column("weight").to_numpy()
+    n_all, n_kinds = (int(np.sum(sums.column(c).to_numpy())) if sums.num_rows else 0 for c in ("n", "kinds"))
+    top = _frequent(counts, s.frequent)
+    shared = spark.sparkContext.broadcast((model, top, of_class))
     least = math.log10(n_all + 1 * (n_kinds + 1))
     whole = len(top) == n_kinds  # no word is left for the join
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, frequent, by_class = shared.value
         log_class = np.log10(by_class + 1)
-        logs = {w: math.log10(c + 1) for w, c in frequent.items()}
+        # places in the table of frequent words; its last row is for all others
+        place = {w: i for i, w in enumerate(frequent)}
+        rare_at = len(place)
+        logs = np.array([math.log10(c + 1) for c in frequent.values()] + [0.0])
+        kinds = np.array([class_of(w) for w in frequent] + [0], np.int64)
         of = Memo(class_of)
         for part in _groups(batches):
-            texts = utf8(part.column("text"))
-            laid, sizes = _laid(texts, of)
-            hidden = forward(m, laid, sizes) / math.log(10)
-            starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-            hidden -= np.add.reduceat(log_class[laid], starts) if len(starts) else 0.0
-            known, sums, rare = [], [], []
-            for t in texts:
-                words = t.split()
-                words.append(END)
-                found = [logs[w] for w in words if w in logs]
-                known.append(len(found))
-                sums.append(math.fsum(found))
-                rest = Counter(w for w in words if w not in logs) if len(found) < len(words) and not whole else {}
-                rare.append([{"w": w, "n": n} for w, n in rest.items()])
+            texts = [[*words_of(t), END] for t in utf8(part.column("text"))]
+            sizes = np.array([len(x) for x in texts], np.int64)
+            starts = np.cumsum(sizes) - sizes
+            at = np.fromiter((place.get(w, rare_at) for x in texts for w in x), np.int64, int(sizes.sum()))
+            laid, other = kinds[at], np.flatnonzero(at == rare_at)
+            rare: list[Counter] = [Counter() for _ in texts]
+            for i, t in zip((np.searchsorted(starts, other, side="right") - 1).tolist(), other.tolist(), strict=True):
+                word = texts[i][t - starts[i]]
+                laid[t] = of[word]
+                if not whole:
+                    rare[i][word] += 1
             of.trim()
+            hidden = forward(m, laid, sizes) / math.log(10) - np.add.reduceat(log_class[laid], starts)
+            sums, known = np.add.reduceat(logs[at], starts), np.add.reduceat((at != rare_at).astype(np.int64), starts)
             kind = pa.list_(pa.struct([("w", pa.binary()), ("n", pa.int64())]))
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), part.column("held_out"), pa.array(sizes), pa.array(known, pa.int64()), pa.array(sums, pa.float64()), pa.array(hidden), pa.array(rare, kind)],
+                [part.column("doc_id"), part.column("held_out"), pa.array(sizes), pa.array(known), pa.array(sums), pa.array(hidden), pa.array([[{"w": w, "n": n} for w, n in x.items()] for x in rare], kind)],
                 ["doc_id", "held_out", "n_tokens", "known", "sums", "hidden", "rare"],
             )
 
