@@ -6,6 +6,7 @@ import contextlib
 import tempfile
 import uuid
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -70,3 +71,22 @@ class Memo(dict):
     def trim(self) -> None:
         if len(self) > self.limit:
             self.clear()
+
+
+class Laid:
+    """Sequences that are laid end to end, side by side in the order of time: the tokens of step t are one run, those of the
+    longest sequences first. places: where each such token is in the end-to-end order."""
+
+    def __init__(self, sizes: np.ndarray):
+        self.order = np.argsort(-sizes, kind="stable")
+        long = sizes[self.order]
+        starts = (np.cumsum(sizes) - sizes)[self.order]
+        steps = int(long[0]) if len(long) else 0
+        self.alive = np.searchsorted(-long, -np.arange(steps), side="left")  # how many sequences are longer than t
+        self.at = np.cumsum(self.alive) - self.alive
+        sequence = np.arange(int(self.alive.sum())) - np.repeat(self.at, self.alive)
+        self.places = starts[sequence] + np.repeat(np.arange(steps), self.alive)
+
+    def steps(self) -> list[tuple[int, int]]:
+        """(number of sequences, first place) of each step."""
+        return list(zip(self.alive.tolist(), self.at.tolist(), strict=True))

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recallium.llm.common import Memo, Staged, utf8, with_id
+from recallium.llm.common import Laid, Memo, Staged, utf8, with_id
 
 STATES, CLASSES = 8, 1 << 14
 #: The end of a text as a token; no word holds white space.
@@ -74,37 +74,22 @@ def fresh(states: int, seed: int = 11) -> Hmm:
     return Hmm(even, moves, emit / emit.sum(0), even)
 
 
-class Laid:
-    """Sequences side by side in the order of time: the tokens of step t are one run, those of the longest sequences first."""
-
-    def __init__(self, classes: np.ndarray, sizes: np.ndarray):
-        """classes: the sequences end to end."""
-        self.order = np.argsort(-sizes, kind="stable")
-        long = sizes[self.order]
-        starts = (np.cumsum(sizes) - sizes)[self.order]
-        self.steps = int(long[0]) if len(long) else 0
-        self.alive = np.searchsorted(-long, -np.arange(self.steps), side="left")  # how many sequences are longer than t
-        self.at = np.cumsum(self.alive) - self.alive
-        sequence = np.arange(len(classes)) - np.repeat(self.at, self.alive)
-        self.classes = classes[starts[sequence] + np.repeat(np.arange(self.steps), self.alive)]
-
-
-def _forward(m: Hmm, laid: Laid, start: np.ndarray | None, keep: bool):
-    """log P in the order of laid; with keep also the scaled forward vectors, the scales and the emissions of all tokens.
+def _forward(m: Hmm, laid: Laid, classes: np.ndarray, start: np.ndarray | None, keep: bool):
+    """classes: in the order of laid. log P of the sequences in that order; with keep also the scaled forward vectors, the scales and the emissions of all tokens.
     start: the distribution of the first state of each sequence, where it isn't the model's."""
     kind = np.float32 if keep else np.float64
     moves, emit = m.moves.astype(kind), m.emit.astype(kind)
-    total, ones = np.zeros(laid.alive[0] if laid.steps else 0), np.ones(len(moves), kind)
-    alphas = np.empty((len(laid.classes), len(moves)), kind) if keep else None
-    scales, emitted = (np.empty(len(laid.classes), kind), emit[laid.classes]) if keep else (None, None)
+    total, ones = np.zeros(laid.alive[0] if len(classes) else 0), np.ones(len(moves), kind)
+    alphas = np.empty((len(classes), len(moves)), kind) if keep else None
+    scales, emitted = (np.empty(len(classes), kind), emit[classes]) if keep else (None, None)
     a = (np.broadcast_to(m.start, (len(total), len(moves))) if start is None else start).astype(kind)
-    for t, (n, at) in enumerate(zip(laid.alive.tolist(), laid.at.tolist(), strict=True)):
+    for t, (n, at) in enumerate(laid.steps()):
         new = alphas[at : at + n] if keep else np.empty((n, len(moves)), kind)
         if t:
             np.matmul(a[:n], moves, out=new)
         else:
             new[:] = a
-        new *= emitted[at : at + n] if keep else emit[laid.classes[at : at + n]]
+        new *= emitted[at : at + n] if keep else emit[classes[at : at + n]]
         c = new @ ones
         new /= c[:, None]
         if keep:
@@ -117,23 +102,24 @@ def _forward(m: Hmm, laid: Laid, start: np.ndarray | None, keep: bool):
 
 def forward(m: Hmm, classes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """log P of each sequence; the sequences are laid end to end."""
-    laid, out = Laid(classes, sizes), np.zeros(len(sizes))
-    out[laid.order] = _forward(m, laid, None, False)
+    laid, out = Laid(sizes), np.zeros(len(sizes))
+    out[laid.order] = _forward(m, laid, classes[laid.places], None, False)
     return out
 
 
 def expected(m: Hmm, classes: np.ndarray, sizes: np.ndarray, begins: np.ndarray | None = None):
     """Sums over the sequences: of starts, of moves, of emissions by class, and log P. begins: which sequences are the
     beginning of a text (all); the others start from the states' overall shares and add nothing to the starts."""
-    laid, k = Laid(classes, sizes), len(m.start)
-    if not laid.steps:
+    laid, k = Laid(sizes), len(m.start)
+    classes = classes[laid.places]
+    if not len(classes):
         return np.zeros(k), np.zeros((k, k)), np.zeros((CLASSES, k)), 0.0
     first = np.ones(len(sizes), bool) if begins is None else begins[laid.order]
-    alphas, scales, emitted = _forward(m, laid, np.where(first[: laid.alive[0], None], m.start, m.share), True)
+    alphas, scales, emitted = _forward(m, laid, classes, np.where(first[: laid.alive[0], None], m.start, m.share), True)
     back, moves, b = m.moves.T.astype(np.float32).copy(), np.zeros((k, k)), None
     loglik = float(np.log(scales, dtype=np.float64).sum())
     emitted /= scales[:, None]
-    for n, at in zip(laid.alive[::-1].tolist(), laid.at[::-1].tolist(), strict=True):
+    for n, at in reversed(laid.steps()):
         here, e = alphas[at : at + n], emitted[at : at + n]
         if b is None:
             b = e
@@ -145,7 +131,7 @@ def expected(m: Hmm, classes: np.ndarray, sizes: np.ndarray, begins: np.ndarray
         here[:live] *= beta  # the posterior of the state, from here on
         b = e
     firsts = alphas[: laid.alive[0]][first[: laid.alive[0]]].sum(0, dtype=np.float64)
-    emit = np.stack([np.bincount(laid.classes, weights=alphas[:, s], minlength=CLASSES) for s in range(k)], 1)
+    emit = np.stack([np.bincount(classes, weights=alphas[:, s], minlength=CLASSES) for s in range(k)], 1)
     return firsts, moves * m.moves, emit, loglik
 
 

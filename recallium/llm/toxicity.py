@@ -1,7 +1,7 @@
 """Toxic spans by a linear-chain conditional random field.
 
 Labels are given for documents, the field needs them for tokens. They are derived in two steps. First, over all
-labelled training texts (equal texts count once), document frequencies of words, word heads and word tails are counted on
+sampled training texts (equal texts count once), document frequencies of words, word heads and word tails are counted on
 either side; a feature that is far more frequent in toxic texts than chance allows marks the tokens that have it. Then the
 field (states clean, toxic) is fitted to the token labels of a bounded sample of these texts by gradient ascent on the
 conditional log-likelihood. Its features are the word, heads and tails of it and its shape, hashed; so inflected forms
@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recallium.llm.common import Memo, utf8, with_id
+from recallium.llm.common import Laid, Memo, Staged, utf8, with_id
 
 BUCKETS = 1 << 17
 WIDTH = 9  # the most features of a word
@@ -42,9 +42,13 @@ _TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
 
 @dataclass(frozen=True)
 class Settings:
-    """The bounds of what is fitted on a sample of texts (chosen by a hash of the text); the field is fitted on segments of
-    so many tokens, the document score on whole texts."""
+    """The bounds of what is learned from. labelled_toxic and labelled_clean: about so many labelled training documents, those
+    of the lowest hashes of their ids, are read for the lexicon (all, if there are fewer). sample_toxic and sample_clean: so
+    many of their texts, chosen by a hash of the text, are fitted on, the field on segments of so many tokens, the document
+    score on whole texts."""
 
+    labelled_toxic: int = 10_000
+    labelled_clean: int = 20_000
     sample_toxic: int = 2000
     sample_clean: int = 2000
     least_texts: int = 4
@@ -61,7 +65,8 @@ def features(word: str) -> list[str]:
 
 
 def letters(token: bytes) -> str:
-    return "".join(_LETTERS.findall(token.decode())).lower()
+    word = token.decode()
+    return (word if word.isalpha() else "".join(_LETTERS.findall(word))).lower()
 
 
 def bucket(feature: str) -> int:
@@ -77,72 +82,54 @@ class Model:
     moves: np.ndarray = field(default_factory=lambda: np.zeros((2, 2)))
     doc: np.ndarray = field(default_factory=lambda: np.zeros(4))
 
-    def odds(self, token: bytes) -> float:
-        word = letters(token)
-        return self.bias + (float(self.unary[[bucket(f) for f in features(word)]].sum()) if word else 0.0)
+    def odds(self) -> Memo:
+        """The log-odds of a token on its own."""
+        weights, bias = self.unary.tolist(), self.bias
 
+        def of(token: bytes) -> float:
+            word = letters(token)
+            return bias + sum([weights[bucket(f)] for f in features(word)]) if word else bias
 
-def _joined(a: np.ndarray, m: np.ndarray) -> np.ndarray:
-    """Log-odds after a step, from log-odds before it; m[a][b] as in Model.moves."""
-    return np.logaddexp(a + m[1, 1], m[0, 1]) - np.logaddexp(a + m[1, 0], m[0, 0])
+        return Memo(of)
+
+
+def _recursions(odds: np.ndarray, laid: Laid, moves: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """In the order of laid: the odds of each token on its own, those with all that stands before it, and the factor that what
+    stands behind it adds. A step takes odds r to (a r + b) / (c r + d), which lies between b / d and a / c, so nothing grows along
+    a sequence."""
+    own = np.exp(np.clip(odds[laid.places], -300, 300))
+    (d, b), (c, a) = np.exp(moves)
+    before, behind, steps = own.copy(), np.ones(len(own)), laid.steps()
+    for (_, last), (n, at) in zip(steps, steps[1:], strict=False):
+        r = before[last : last + n]
+        before[at : at + n] *= (a * r + b) / (c * r + d)
+    for (n, at), (_, last) in zip(steps[:0:-1], steps[-2::-1], strict=True):
+        r = own[at : at + n] * behind[at : at + n]
+        behind[last : last + n] = (a * r + c) / (b * r + d)
+    return own, before, behind
 
 
 def marginals(odds: np.ndarray, sizes: np.ndarray, moves: np.ndarray) -> np.ndarray:
-    """P(toxic) of every token of several sequences laid end to end: forward-backward in log-odds, sequences side by side."""
-    order = np.argsort(-sizes, kind="stable")
-    starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))[order]
-    long = sizes[order]
-    forward, back = np.empty(len(odds)), np.empty(len(odds))
-    longest = int(long[0]) if len(long) else 0
-    alive = np.searchsorted(-long, -np.arange(longest), side="left")  # how many sequences are longer than t
-    state = None
-    for t in range(longest):
-        at = starts[: alive[t]] + t
-        state = odds[at] if t == 0 else odds[at] + _joined(state[: alive[t]], moves)
-        forward[at] = state
-    after = moves.T
-    state = np.zeros(0)
-    for t in range(longest - 1, -1, -1):
-        n = alive[t]
-        value = np.zeros(n)
-        if len(state):
-            value[: len(state)] = _joined(state, after)
-        at = starts[:n] + t
-        back[at] = value
-        state = value + odds[at]
+    """P(toxic) of every token of several sequences laid end to end, by the forward and backward recursions."""
+    laid, out = Laid(sizes), np.empty(len(odds))
+    _, before, behind = _recursions(odds, laid, moves)
     with np.errstate(over="ignore"):
-        return 1.0 / (1.0 + np.exp(-(forward + back)))
+        both = before * behind
+        out[laid.places] = both / (1 + both)
+    out[np.isnan(out)] = 1.0  # infinite odds
+    return out
 
 
-def _pairs(odds, sizes, moves, p):
-    """Expected transitions, as a 2x2 matrix, and log partition per the same recursions (for training)."""
-    starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-    first = np.zeros(len(odds), bool)
-    first[starts[sizes > 0]] = True
-    left = np.flatnonzero(~first) - 1
-    right = left + 1
-    # P(y_t, y_t+1) is proportional to alpha_t * move * psi * beta; both one-sided log-odds are found from the marginal pass
-    forward, back = _directed(odds, sizes, moves)
-    f, b = forward[left], back[right] + odds[right]
-    s = np.stack([np.full(len(f), moves[0, 0]), moves[0, 1] + b, moves[1, 0] + f, moves[1, 1] + f + b])
-    s = np.exp(s - s.max(0))
-    return (s / s.sum(0)).sum(1).reshape(2, 2)
-
-
-def _directed(odds, sizes, moves):
-    starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-    order = np.argsort(-sizes, kind="stable")
-    starts, long = starts[order], sizes[order]
-    forward, back = np.empty(len(odds)), np.zeros(len(odds))
-    longest = int(long[0]) if len(long) else 0
-    alive = np.searchsorted(-long, -np.arange(longest), side="left")
-    for t in range(longest):
-        at = starts[: alive[t]] + t
-        forward[at] = odds[at] if t == 0 else odds[at] + _joined(forward[at - 1], moves)
-    for t in range(longest - 2, -1, -1):
-        at = starts[: alive[t + 1]] + t
-        back[at] = _joined(back[at + 1] + odds[at + 1], moves.T)
-    return forward, back
+def _pairs(odds: np.ndarray, sizes: np.ndarray, moves: np.ndarray) -> np.ndarray:
+    """Expected transitions, as a 2x2 matrix (for training)."""
+    laid = Laid(sizes)
+    own, before, behind = _recursions(odds, laid, moves)
+    steps, m, out = laid.steps(), np.exp(moves), np.zeros((2, 2))
+    for (_, last), (n, at) in zip(steps, steps[1:], strict=False):
+        f, b = before[last : last + n], own[at : at + n] * behind[at : at + n]
+        s = np.stack([np.full(n, m[0, 0]), m[0, 1] * b, m[1, 0] * f, m[1, 1] * f * b])
+        out += (s / s.sum(0)).sum(1).reshape(2, 2)
+    return out
 
 
 def document_features(p: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -159,15 +146,26 @@ def document_features(p: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return out
 
 
-def _labelled(docs: DataFrame, labels: DataFrame, seed_column) -> DataFrame:
-    """text, toxic of each different labelled training text."""
-    y = labels.where(F.col("toxic").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
-    rows = with_id(docs).where(seed_column).join(y, "doc_id").where(F.length("text") > 0)
-    return rows.groupBy(F.md5(F.col("text").cast("binary")).alias("key")).agg(F.max("toxic").alias("toxic"), F.first("text").alias("text"))
+def _labelled(docs: DataFrame, labels: DataFrame, held_out, s: Settings) -> tuple[Staged, dict[int, int]]:
+    """key, toxic, text of each different text among the sampled documents; how many labelled training documents there are of
+    either kind. Ids meet labels first, so that no text but those of the sample moves."""
+    y = labels.where(F.col("toxic").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max((F.col("toxic") != 0).cast("int")).alias("toxic"))
+    rows = with_id(docs, held_out.alias("held_out")).where("not held_out and length(text) > 0")
+    ids = Staged(rows.select("doc_id").distinct().join(y.hint("merge"), "doc_id"), "toxic-ids")
+    total = {r["toxic"]: r["n"] for r in ids.df.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    # a hash below a share of the range of hashes
+    below = {t: int(-(2.0**63) + 2.0**64 * min(1.0, most / max(1, total.get(t, 0)))) for t, most in ((1, s.labelled_toxic), (0, s.labelled_clean))}
+    below = {t: min(x, (1 << 63) - 1) for t, x in below.items()}
+    chosen = ids.df.where(F.xxhash64("doc_id") <= F.when(F.col("toxic") == 1, below[1]).otherwise(below[0]).cast("long"))
+    texts = rows.join(F.broadcast(chosen), "doc_id")  # of bounded size
+    sample = Staged(texts.groupBy(F.md5(F.col("text").cast("binary")).alias("key")).agg(F.max("toxic").alias("toxic"), F.first("text").alias("text")), "toxic-sample")
+    ids.drop()
+    return sample, total
 
 
-def lexicon(rows: DataFrame, s: Settings) -> list[str]:
-    """Features that mark toxic tokens, from the document frequencies over all rows (text, toxic)."""
+def lexicon(rows: DataFrame, s: Settings, clean_weight: float = 1.0) -> list[str]:
+    """Features that mark toxic tokens, from the document frequencies over all rows (text, toxic). A clean row stands for
+    clean_weight rows."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = Memo(lambda t: features(letters(t)) if letters(t) else [])
@@ -191,10 +189,10 @@ def lexicon(rows: DataFrame, s: Settings) -> list[str]:
 
     schema = "feature string, pos long, neg long"
     total = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-    n_pos, n_neg = sum(n for y, n in total.items() if y), total.get(0, 0)
+    n_pos, n_neg = sum(n for y, n in total.items() if y), total.get(0, 0) * clean_weight
     if not n_pos or not n_neg:
         return []
-    both = rows.mapInArrow(counted, schema).groupBy("feature").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).where(F.col("pos") >= s.least_texts)
+    both = rows.mapInArrow(counted, schema).groupBy("feature").agg(F.sum("pos").alias("pos"), (F.sum("neg") * F.lit(float(clean_weight))).alias("neg")).where(F.col("pos") >= s.least_texts)
     # the lower end of a Wilson interval of the share of toxic texts among those with the feature
     n, z = F.col("pos") + F.col("neg"), 2.5
     share = F.col("pos") / n
@@ -277,7 +275,7 @@ def fit(texts: list[tuple[bytes, int]], marks: list[str], s: Settings, prior: fl
                 error -= np.bincount(ids, weights=p, minlength=len(label))
                 gb -= float(p.sum())
                 if epoch % 3 == 0:
-                    met += _pairs(odds, sizes, model.moves, p)
+                    met += _pairs(odds, sizes, model.moves)
             g = np.zeros(BUCKETS + 1)
             for column in columns:
                 g += np.bincount(column, weights=error, minlength=BUCKETS + 1)
@@ -312,18 +310,37 @@ def fit(texts: list[tuple[bytes, int]], marks: list[str], s: Settings, prior: fl
 
 def train(docs: DataFrame, labels: DataFrame, held_out, s: Settings = Settings()) -> Model:
     """held_out: a boolean column over docs; its rows are never learned from."""
-    rows = _labelled(docs, labels, ~held_out).cache()
-    try:
-        total = {r["y"]: r["n"] for r in rows.groupBy((F.col("toxic") != 0).alias("y")).agg(F.count(F.lit(1)).alias("n")).collect()}
-        n = sum(total.values())
-        marks = lexicon(rows.withColumn("toxic", (F.col("toxic") != 0).cast("int")), s)
-        sample = []
-        for toxic, most in ((True, s.sample_toxic), (False, s.sample_clean)):
-            part = rows.where((F.col("toxic") != 0) == toxic).where(F.length("text") <= 20_000)
-            sample += [(r["text"].encode(), int(toxic)) for r in part.orderBy("key").limit(most).select("text").collect()]
-    finally:
-        rows.unpersist()
-    return fit(sample, marks, s, total.get(True, 0) / n if n else 0.5)
+    stored, total = _labelled(docs, labels, held_out, s)
+    rows = stored.df
+    read = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    share = {t: min(1.0, most / max(1, total.get(t, 0))) for t, most in ((1, s.labelled_toxic), (0, s.labelled_clean))}
+    weight = share[1] / share[0]
+    marks = lexicon(rows, s, weight)
+    sample = []
+    for toxic, most in ((1, s.sample_toxic), (0, s.sample_clean)):
+        part = rows.where((F.col("toxic") == toxic) & (F.length("text") <= 20_000))
+        keys = [r["key"] for r in part.select("key").orderBy("key").limit(most).collect()]
+        if keys:
+            sample += [(r["text"].encode(), toxic) for r in part.where(F.col("key") <= keys[-1]).orderBy("key").select("text").collect()]
+    stored.drop()
+    n = read.get(1, 0) + read.get(0, 0) * weight
+    return fit(sample, marks, s, read.get(1, 0) / n if n else 0.5)
+
+
+def _whole(batches: Iterator[pa.RecordBatch], m: Model) -> Iterator[tuple]:
+    """(batch, sizes, marginals, document scores as log-odds) of parts of batches."""
+    odds_of = m.odds()
+    for whole in batches:
+        for at in range(0, whole.num_rows, 2000):
+            batch = whole.slice(at, 2000)
+            words = [t.split() for t in utf8(batch.column("text"))]
+            sizes = np.array([len(x) for x in words], np.int64)
+            flat: list[float] = []
+            for x in words:
+                flat += map(odds_of.__getitem__, x)
+            p = marginals(np.array(flat), sizes, m.moves)
+            yield batch, sizes, p, document_features(p, sizes) @ m.doc
+            odds_of.trim()
 
 
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int, n_toxic long, spans array<struct<start:long,end:long,p:double>>"
@@ -334,34 +351,25 @@ def score(docs: DataFrame, model: Model, held_out) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        odds_of = Memo(m.odds)
-        for whole in batches:
-            for at in range(0, whole.num_rows, 2000):
-                batch = whole.slice(at, 2000)
-                words = [t.split() for t in utf8(batch.column("text"))]
-                sizes = np.array([len(x) for x in words], np.int64)
-                odds = np.fromiter((o for x in words for o in map(odds_of.__getitem__, x)), float, int(sizes.sum()))
-                p = marginals(odds, sizes, m.moves)
-                scores = 1 / (1 + np.exp(-np.clip(document_features(p, sizes) @ m.doc, -30, 30)))
-                hits = np.flatnonzero(p >= 0.5)
-                ends = np.cumsum(sizes)
-                owner = np.searchsorted(ends, hits, side="right")
-                spans: list[list] = [[] for _ in words]
-                texts = batch.column("text")
-                for i in np.unique(owner).tolist():
-                    places = [x.span() for x in _TOKEN.finditer(texts[i].as_py())]
-                    base = int(ends[i] - sizes[i])
-                    spans[i] = [{"start": places[h - base][0], "end": places[h - base][1], "p": float(p[h])} for h in hits[owner == i].tolist()]
-                odds_of.trim()
-                kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("p", pa.float64())]))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column("doc_id"), batch.column("held_out"), pa.array(scores), pa.array((scores >= 0.5).astype(np.int32)),
-                        pa.array([len(x) for x in spans], pa.int64()), pa.array(spans, kind),
-                    ],
-                    ["doc_id", "held_out", "score", "predicted", "n_toxic", "spans"],
-                )
+        for batch, sizes, p, odds in _whole(batches, shared.value):
+            scores = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
+            hits = np.flatnonzero(p >= 0.5)
+            ends = np.cumsum(sizes)
+            owner = np.searchsorted(ends, hits, side="right")
+            spans: list[list] = [[] for _ in sizes]
+            texts = batch.column("text")
+            for i in np.unique(owner).tolist():
+                places = [x.span() for x in _TOKEN.finditer(texts[i].as_py())]
+                base = int(ends[i] - sizes[i])
+                spans[i] = [{"start": places[h - base][0], "end": places[h - base][1], "p": float(p[h])} for h in hits[owner == i].tolist()]
+            kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("p", pa.float64())]))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("doc_id"), batch.column("held_out"), pa.array(scores), pa.array((scores >= 0.5).astype(np.int32)),
+                    pa.array([len(x) for x in spans], pa.int64()), pa.array(spans, kind),
+                ],
+                ["doc_id", "held_out", "score", "predicted", "n_toxic", "spans"],
+            )
 
     return with_id(docs, held_out.alias("held_out")).mapInArrow(run, SCHEMA)
 
@@ -371,17 +379,8 @@ def reject(docs: DataFrame, model: Model) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        odds_of = Memo(m.odds)
-        for whole in batches:
-            for at in range(0, whole.num_rows, 2000):
-                batch = whole.slice(at, 2000)
-                words = [t.split() for t in utf8(batch.column("text"))]
-                sizes = np.array([len(x) for x in words], np.int64)
-                odds = np.fromiter((o for x in words for o in map(odds_of.__getitem__, x)), float, int(sizes.sum()))
-                clean = document_features(marginals(odds, sizes, m.moves), sizes) @ m.doc < 0
-                odds_of.trim()
-                yield batch.filter(pa.array(clean))
+        for batch, _, _, odds in _whole(batches, shared.value):
+            yield batch.filter(pa.array(odds < 0))
 
     return docs.mapInArrow(run, docs.schema)
 
