@@ -12,6 +12,10 @@
    that carry suffix tuples and common-prefix values, in bounded memory.
 4. Runs of repeated starts become byte ranges of each occurrence; texts that occur twice are repeated as a whole.
 
+digests() reports two lengths. It finds what repeats at `PASSAGE` bytes in all texts; a string of 400 bytes that occurs elsewhere
+lies in such a range of 400 bytes or more, and so does its other occurrence, so the steps run again with 400 over these
+ranges alone.
+
 Every comparison that decides is one of bytes; hashes only bring candidates together (contexts and equal texts are
 identified by 128-bit digests).
 
@@ -37,8 +41,10 @@ from pyspark.sql import functions as F
 from recallium.llm.common import Staged, utf8
 
 LENGTH, K = 400, 144
-#: Contexts induced at once with numpy; a larger group of one hash is induced on disk.
-MOST = 60_000
+#: A passage: what strings of so many bytes that occur elsewhere cover, if it has so many words.
+PASSAGE, PASSAGE_WORDS = 200, 50
+#: Groups of one hash with more contexts than this are induced on disk; smaller ones with numpy, about so many contexts at once.
+MOST, BLOCK = 2048, 30_000
 #: Repeated hashes up to which a bit field of at most 2^27 bits selects anchors; more are joined.
 FILTERED = 1 << 23
 _TEXT = 1 << 23
@@ -290,7 +296,7 @@ def _induced(contexts: DataFrame, length: int, most: int) -> DataFrame:
             if last is not None and x[1] == last[1]:
                 continue  # the same context from another task
             if last is None or x[0] != last[0]:
-                if len(held) >= most // 2:
+                if len(held) >= BLOCK:
                     yield from block(held)
                     held = []
                 start = len(held)
@@ -328,12 +334,10 @@ def _induced(contexts: DataFrame, length: int, most: int) -> DataFrame:
     return contexts.mapInArrow(run, "ck binary, d1 int, d2 int")
 
 
-def repeated_ranges(docs: DataFrame, length: int = LENGTH, k: int | None = None, most: int = MOST, filtered: int = FILTERED) -> DataFrame:
-    """row (a struct of all columns of docs), text, whole (the text occurs twice), ranges (starts and ends of repeated bytes, unmerged)."""
+def _repeated(texts: DataFrame, length: int, k: int | None, most: int, filtered: int) -> tuple[DataFrame, list[Staged]]:
+    """texts (tid, text; rows may repeat) -> (tid, start, end) of repeated bytes, unmerged, and the stored tables it reads."""
     k = k or max(1, length * K // LENGTH)
-    tid = F.unhex(F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"))).alias("tid")
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), tid)
-    texts = rows.where(F.octet_length("text") >= length).select("tid", "text")
+    texts = texts.where(F.octet_length("text") >= length)
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, n = [], 0
@@ -357,7 +361,7 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, k: int | None = None,
     repeated = Staged(found.groupBy("h").agg(F.min("loc").alias("a"), F.max("loc").alias("b")).where("a < b").select("h"), "anchors")
     n = repeated.df.count()
     # the anchors to keep: by a bit field of bounded size, or, where there are more hashes, by their places
-    bits = docs.sparkSession.sparkContext.broadcast(_bits(repeated.df, n)) if n <= filtered else None
+    bits = texts.sparkSession.sparkContext.broadcast(_bits(repeated.df, n)) if n <= filtered else None
     chosen = texts
     if bits is None:
         places = found.join(repeated.df, "h", "left_semi").groupBy("tid").agg(F.collect_set("place").alias("places"))
@@ -392,7 +396,9 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, k: int | None = None,
         if out:
             yield batch()
 
-    kept = Staged(chosen.mapInArrow(second, "h long, ck binary, tid binary, loc long, place long, dmin int, dmax int, left binary, right binary"), "contexts").df
+    contexts_of = Staged(chosen.mapInArrow(second, "h long, ck binary, tid binary, loc long, place long, dmin int, dmax int, left binary, right binary"), "contexts")
+    kept = contexts_of.df
+    repeated.drop()
     contexts = kept.where(F.col("right").isNotNull()).select("h", "ck", "left", "right", "dmin", "dmax")
     runs = _induced(contexts.repartition("h").sortWithinPartitions("h", "right", "ck"), length, most)
     runs = runs.groupBy("ck").agg(F.collect_list(F.struct("d1", "d2")).alias("runs"))
@@ -401,57 +407,143 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, k: int | None = None,
     every = F.array(F.struct(F.col("dmin").alias("d1"), F.col("dmax").alias("d2")))
     spans = kept.select("ck", "tid", "place", "dmin", "dmax").join(known, "ck").select("tid", "place", F.explode(F.when(F.col("twice"), every).otherwise(F.col("runs"))).alias("r"))
     spans = spans.select("tid", (F.col("place") - F.col("r.d2")).alias("start"), (F.col("place") - F.col("r.d1") + length).alias("end"))
+    return spans.distinct(), [contexts_of]
+
+
+def _ranges(rows: DataFrame, length: int, k: int | None, most: int, filtered: int) -> Staged:
+    """rows (tid, text) -> tid, n (rows with this text), ranges (starts and ends of repeated bytes, unmerged), for texts that
+    occur twice or have ranges."""
+    spans, read = _repeated(rows, length, k, most, filtered)
     # one aggregation by text: how many rows have it, and its ranges
-    both = rows.select("tid", F.lit(1).alias("n"), F.lit(None).cast("struct<start:bigint,end:bigint>").alias("r")).unionByName(
-        spans.distinct().select("tid", F.lit(0).alias("n"), F.struct("start", "end").alias("r"))
-    )
+    none = F.lit(None).cast("struct<start:bigint,end:bigint>").alias("r")
+    both = rows.select("tid", F.lit(1).alias("n"), none).unionByName(spans.select("tid", F.lit(0).alias("n"), F.struct("start", "end").alias("r")))
     info = both.groupBy("tid").agg(F.sum("n").alias("n"), F.collect_list("r").alias("ranges")).where((F.col("n") > 1) | (F.size("ranges") > 0))
-    return rows.join(info, "tid", "left").select("row", "text", ((F.col("n") > 1) & (F.octet_length("text") >= length)).alias("whole"), "ranges")
+    out = Staged(info, "ranges")
+    for x in read:
+        x.drop()
+    return out
+
+
+def _tid(text):
+    return F.unhex(F.md5(text.cast("binary"))).alias("tid")
+
+
+def repeated_ranges(docs: DataFrame, length: int = LENGTH, k: int | None = None, most: int = MOST, filtered: int = FILTERED) -> DataFrame:
+    """row (a struct of all columns of docs), text, tid, whole (the text occurs twice), ranges (starts and ends of repeated
+    bytes, unmerged)."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), text.alias("text"), _tid(text))
+    info = _ranges(rows.select("tid", "text"), length, k, most, filtered).df
+    whole = ((F.col("n") > 1) & (F.octet_length("text") >= length)).alias("whole")
+    return rows.join(info, "tid", "left").select("row", "text", "tid", whole, "ranges")
 
 
-def cut(data: bytes, whole: bool | None, ranges: list | None) -> tuple[bytes, int]:
-    """The remaining bytes and the number of maximal removed runs."""
+def merged(size: int, whole: bool | None, ranges: list | None) -> list[tuple[int, int]]:
+    """Maximal runs of repeated bytes."""
     if whole:
-        return b"", 1
-    kept, at, spans, end = [], 0, 0, -1
+        return [(0, size)]
+    out: list[tuple[int, int]] = []
     for a, b in sorted((r["start"], r["end"]) for r in ranges or ()):
-        if a > end:
-            spans += 1
-            kept.append(data[at:a])
-            end = b
-        end = max(end, b)
-        at = end
-    kept.append(data[at:])
-    return b"".join(kept), spans
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
 
 
-def digests(docs: DataFrame, **options) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each row."""
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+def cut(data: bytes, runs: list[tuple[int, int]]) -> bytes:
+    """The remaining bytes."""
+    kept, at = [], 0
+    for a, b in runs:
+        kept.append(data[at:a])
+        at = b
+    return b"".join([*kept, data[at:]])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def passages(data: bytes, runs: list[tuple[int, int]], least_words: int) -> list[tuple[int, int]]:
+    return [(a, b) for a, b in runs if len(data[a:b].split(None, least_words)) >= least_words]
+
+
+_RUNS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+_RUNS_SQL = "array<struct<start:bigint,end:bigint>>"
+
+
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    kinds = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_(), _RUNS_SQL: _RUNS}
+    names = [x.split(maxsplit=1) for x in schema.split(", ")]
+    cols = list(zip(*rows, strict=True)) if rows else [()] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(cols, names, strict=True)], [n for n, _ in names])
+
+
+def _shown(runs: list[tuple[int, int]]) -> list[dict]:
+    return [{"start": a, "end": b} for a, b in runs]
+
+
+def _rows(batch: pa.RecordBatch, *names: str) -> Iterator[tuple]:
+    yield from zip(*(utf8(batch.column(c)) if c == "text" else batch.column(c).to_pylist() for c in names), strict=True)
+
+
+def digests(docs: DataFrame, length: int = LENGTH, passage: int = PASSAGE, least_words: int = PASSAGE_WORDS, **options) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and removed (the byte ranges) of each row, at `length` bytes. Beside them
+    n_passages, passage_bytes and passages (byte ranges): what strings of `passage` bytes that occur elsewhere cover, in
+    runs of at least so many words. passage is at most length."""
+    found = repeated_ranges(docs, passage, **options).select(F.col("row.doc_id").cast("long").alias("doc_id"), "text", "tid", "whole", "ranges")
+    schema = f"doc_id long, tid binary, n_bytes long, whole boolean, n_passages long, passage_bytes long, passages {_RUNS_SQL}, sha string, text binary, runs {_RUNS_SQL}"
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for i, t, tid, w, r in _rows(batch, "doc_id", "text", "tid", "whole", "ranges"):
+                found = passages(t, merged(len(t), w, r), least_words)
+                # of a text that occurs twice, what other texts have counts for these
+                runs = [x for x in merged(len(t), False, r) if x[1] - x[0] >= length]
+                out.append((i, tid, len(t), bool(w) and len(t) >= length, len(found), sum(b - a for a, b in found), _shown(found), None if runs else hashlib.sha256(t).hexdigest(), t if runs else None, _shown(runs)))
+            yield _batch(out, schema)
+
+    covered = Staged(found.mapInArrow(first, schema), "covered").df
+
+    def cuts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for tid, t, runs in _rows(batch, "tid", "text", "runs"):
+                out += [(tid, r["start"], t[r["start"] : r["end"]]) for r in runs]
+            yield _batch(out, "of binary, first long, text binary")
+
+    long = covered.where(F.size("runs") > 0)
+    pieces = long.select("tid", "text", "runs").dropDuplicates(["tid"]).mapInArrow(cuts, "of binary, first long, text binary").select("of", "first", "text", _tid(F.col("text")))
+    again = _ranges(pieces.select("tid", "text"), length, **({"k": None, "most": MOST, "filtered": FILTERED} | options)).df
+    every = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.octet_length("text").cast("long").alias("end")))
+    inside = pieces.join(again, "tid").select("of", "first", F.explode(F.when(F.col("n") > 1, every).otherwise(F.col("ranges"))).alias("r"))
+    inside = inside.groupBy(F.col("of").alias("tid")).agg(F.collect_list(F.struct((F.col("first") + F.col("r.start")).alias("start"), (F.col("first") + F.col("r.end")).alias("end"))).alias("ranges"))
+    out_schema = f"doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed {_RUNS_SQL}, n_passages long, passage_bytes long, passages {_RUNS_SQL}"
+
+    def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for i, t, w, r in zip(batch.column("doc_id").to_pylist(), utf8(batch.column("text")), batch.column("whole").to_pylist(), batch.column("ranges").to_pylist(), strict=True):
-                kept, spans = cut(t, w, r)
-                out.append((i, len(t), len(t) - len(kept), spans, hashlib.sha256(kept).hexdigest()))
-            kinds = [pa.int64()] * 4 + [pa.string()]
-            cols = list(zip(*out, strict=True)) if out else [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], [x.split()[0] for x in schema.split(", ")])
+            for i, t, n, w, sha, r, *more in _rows(batch, "doc_id", "text", "n_bytes", "whole", "sha", "ranges", "n_passages", "passage_bytes", "passages"):
+                runs = merged(n, w, r)
+                kept = b"" if w else cut(t, runs)
+                out.append((i, n, sum(b - a for a, b in runs), len(runs), sha if sha and not runs else hashlib.sha256(kept).hexdigest(), _shown(runs), *more))
+            yield _batch(out, out_schema)
 
-    found = repeated_ranges(docs, **options)
-    return found.select(F.col("row.doc_id").cast("long").alias("doc_id"), "text", "whole", "ranges").mapInArrow(run, schema)
+    return covered.join(inside, "tid", "left").mapInArrow(second, out_schema)
 
 
-def remove(docs: DataFrame, **options) -> DataFrame:
-    """docs with what repeats cut out of text; characters that a cut divides go with it. Other columns stay as they are."""
-    found = repeated_ranges(docs, **options)
+def remove(docs: DataFrame, length: int = LENGTH, least_words: int = 0, **options) -> DataFrame:
+    """docs with what repeats cut out of text, in runs of at least so many words; characters that a cut divides go with it.
+    Other columns stay as they are."""
+    found = repeated_ranges(docs, length, **options)
 
     @F.pandas_udf("string")
     def rest(text, whole, ranges):
         import pandas as pd
 
-        return pd.Series([cut(t.encode(), w is True or w == 1, None if r is None else list(r))[0].decode("utf-8", "ignore") for t, w, r in zip(text, whole, ranges, strict=True)])
+        out = []
+        for t, w, r in zip(text, whole, ranges, strict=True):
+            data = t.encode()
+            out.append(cut(data, passages(data, merged(len(data), bool(w), None if r is None else list(r)), least_words)).decode("utf-8", "ignore"))
+        return pd.Series(out)
 
-    left = F.when(F.col("whole"), F.lit("")).when(F.size("ranges") > 0, rest("text", F.coalesce("whole", F.lit(False)), "ranges")).otherwise(F.col("row")["text"])
+    touched = F.col("whole") | (F.size("ranges") > 0)
+    left = F.when(touched, rest("text", F.coalesce("whole", F.lit(False)), "ranges")).otherwise(F.col("row")["text"])
     return found.withColumn("left", left).select(*(F.col("left").alias("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns))

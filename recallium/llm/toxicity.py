@@ -4,7 +4,7 @@ Labels are given for documents, the field needs them for tokens. They are derive
 sampled training texts (equal texts count once), document frequencies of words, word heads and word tails are counted on
 either side; a feature that is far more frequent in toxic texts than chance allows marks the tokens that have it. Then the
 field (states clean, toxic) is fitted to the token labels of a bounded sample of these texts by gradient ascent on the
-conditional log-likelihood. Its features are the word, heads and tails of it and its shape, hashed; so inflected forms
+conditional log-likelihood. Its features are the word, heads and tails of it, hashed; so inflected forms
 that were never seen share what was learned of their stem.
 
 Scoring runs forward and backward recursions over each whole text, all texts of a batch side by side. A document's
