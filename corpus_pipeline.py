@@ -24,8 +24,9 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def repeated_passage_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts every byte out that a 400-byte string covers which starts in two places; documents stay, be they empty."""
-    cut = substrings.remove(docs)
+    """Cuts passages out: runs of 50 words or more in which each byte is covered by a 200-byte string that starts in two places;
+    documents stay, be they empty."""
+    cut = substrings.remove(docs, substrings.PASSAGE, substrings.PASSAGE_WORDS)
     return cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else cut
 
 
