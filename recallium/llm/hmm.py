@@ -7,8 +7,8 @@ log((c + 1) / (count of the class + its distinct words + 1)), which sums to 1 ov
 one; the end is the only token of its class, with probability 1 there. The first part needs no vocabulary, the second is
 a sum of counts.
 
-Training is Baum-Welch from a random start. The classes of all training texts, two bytes a token, are written once; each
-iteration is one distributed pass over them: tasks run forward and backward recursions over their texts side by side and
+Training is Baum-Welch from a random start. One pass over all training texts writes their classes, two bytes a token, and the
+word counts of each task; each iteration is one distributed pass over them: tasks run forward and backward recursions over their texts side by side and
 emit expected counts by class, which are summed across tasks by key. Iterations go on until the likelihood of all training
 texts settles. A text of more than `segment` tokens is trained on as segments of so many tokens; all but its first start from
 the states' overall shares. Scores are of whole texts.
@@ -25,8 +25,7 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -34,13 +33,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recallium.llm.common import Laid, Memo, Staged, utf8, with_id
+from recallium.llm.common import Laid, Staged, utf8, with_id
 
 STATES, CLASSES = 8, 1 << 14
 #: The end of a text as a token; no word holds white space.
 END = b"\n"
 #: Words broadcast with their counts.
-FREQUENT = 1 << 16
+FREQUENT = 1 << 18
 
 
 @dataclass(frozen=True)
@@ -48,7 +47,7 @@ class Settings:
     states: int = STATES
     #: Training ends when an iteration over all texts raises the log-likelihood by less than this share of it.
     tolerance: float = 1e-4
-    segment: int = 1024
+    segment: int = 512
     frequent: int = FREQUENT
 
 
@@ -166,16 +165,70 @@ def _groups(batches: Iterator[pa.RecordBatch], most: int = 1 << 23) -> Iterator[
             yield batch.slice(a, b - a)
 
 
-def classes_of(rows: DataFrame) -> DataFrame:
-    """tokens (the classes of a text, the end included, two bytes each) of each row."""
+class Ids(dict):
+    """Numbers for words: those it starts with, then new ones as they come."""
+
+    def __init__(self, words: Iterable[bytes] = ()):
+        super().__init__((w, i) for i, w in enumerate(words))
+        self.first, self.new = len(self), []
+
+    def __missing__(self, word: bytes) -> int:
+        i = self[word] = self.first + len(self.new)
+        self.new.append(word)
+        return i
+
+    def forget(self) -> None:
+        """Drops the new words."""
+        for w in self.new:
+            del self[w]
+        self.new.clear()
+
+    def of(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers of all tokens, ends included, and the sizes of the texts."""
+        flat: list[int] = []
+        sizes = []
+        for t in texts:
+            before = len(flat)
+            flat += map(self.__getitem__, words_of(t))
+            flat.append(self[END])
+            sizes.append(len(flat) - before)
+        return np.array(flat, np.int64), np.array(sizes, np.int64)
+
+
+def _lists(words: pa.Array, n: np.ndarray, ends: list[int] | np.ndarray) -> pa.Array:
+    """Lists of (w, n), cut at ends."""
+    pairs = pa.StructArray.from_arrays([words, pa.array(n, pa.int64())], ["w", "n"])
+    return pa.ListArray.from_arrays(pa.array([0, *ends], pa.int32()), pairs)
+
+
+_COUNTS = "array<struct<w:binary,n:bigint>>"
+_COUNTS_ARROW = pa.list_(pa.struct([("w", pa.binary()), ("n", pa.int64())]))
+
+
+def classes_and_counts(rows: DataFrame) -> DataFrame:
+    """tokens (the classes of a text, the end included, two bytes each) of each row; in further rows, counts of words in parts
+    of the rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = Memo(class_of)
+        ids, kinds, seen = Ids(), np.zeros(0, "<u2"), np.zeros(0, np.int64)
+
+        def out():
+            for i in range(0, len(seen), 50_000):
+                part = ids.new[i : i + 50_000]
+                yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.binary()), _lists(pa.array(part, pa.binary()), seen[i : i + 50_000], [len(part)])], ["tokens", "counts"])
+
         for part in _groups(batches):
-            yield pa.RecordBatch.from_arrays([pa.array([np.array([*map(of.__getitem__, words_of(t)), 0], "<u2").tobytes() for t in utf8(part.column("text"))], pa.binary())], ["tokens"])
-            of.trim()
+            flat, sizes = ids.of(utf8(part.column("text")))
+            kinds = np.concatenate([kinds, np.array([class_of(w) for w in ids.new[len(kinds) :]], "<u2")])
+            seen = np.bincount(flat, minlength=len(ids)) + np.pad(seen, (0, len(ids) - len(seen)))
+            tokens, ends = kinds[flat].tobytes(), (2 * np.cumsum(sizes)).tolist()
+            yield pa.RecordBatch.from_arrays([pa.array([tokens[a:b] for a, b in zip([0, *ends], ends, strict=False)], pa.binary()), pa.nulls(len(sizes), _COUNTS_ARROW)], ["tokens", "counts"])
+            if len(ids) > 600_000:
+                yield from out()
+                ids, kinds, seen = Ids(), kinds[:0], seen[:0]
+        yield from out()
 
-    return rows.select("text").mapInArrow(run, "tokens binary")
+    return rows.select("text").mapInArrow(run, f"tokens binary, counts {_COUNTS}")
 
 
 def _segments(texts: list[bytes], segment: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -199,7 +252,7 @@ def _iterate(tokens: DataFrame, m: Hmm, segment: int) -> tuple[Hmm, float]:
         firsts, moves, emit, loglik = np.zeros(k), np.zeros((k, k)), np.zeros((CLASSES, k)), 0.0
         for batch in batches:
             texts = utf8(batch.column("tokens"))
-            for a, b in _slices([len(x) for x in texts], 2_000_000):
+            for a, b in _slices([len(x) for x in texts], 1_000_000):
                 f, mv, e, ll = expected(model, *_segments(texts[a:b], segment))
                 firsts, moves, emit, loglik = firsts + f, moves + mv, emit + e, loglik + ll
         # below the classes: the starts, the moves, the likelihood
@@ -218,38 +271,17 @@ def _iterate(tokens: DataFrame, m: Hmm, segment: int) -> tuple[Hmm, float]:
     return updated(sums[CLASSES], sums[CLASSES + 1 : CLASSES + 1 + k], sums[:CLASSES]), float(sums[-1, 0])
 
 
-def train(rows: DataFrame, s: Settings = Settings()) -> tuple[Hmm, list[float]]:
-    """The model of the texts in rows and the log-likelihood before each iteration."""
-    tokens, m, history = Staged(classes_of(rows), "hmm-classes"), fresh(s.states), []
+def train(rows: DataFrame, s: Settings = Settings()) -> tuple[Hmm, list[float], Staged]:
+    """The model of the texts in rows, the log-likelihood before each iteration, and word (binary), n over all rows."""
+    found, m, history = Staged(classes_and_counts(rows), "hmm-classes"), fresh(s.states), []
+    counts = found.df.select(F.explode("counts").alias("c")).groupBy(F.col("c.w").alias("word")).agg(F.sum("c.n").alias("n"))
+    counts = Staged(counts, "hmm-counts")
+    tokens = found.df.where(F.col("tokens").isNotNull()).select("tokens")
     while len(history) < 2 or history[-1] - history[-2] > s.tolerance * abs(history[-2]):
-        m, ll = _iterate(tokens.df, m, s.segment)
+        m, ll = _iterate(tokens, m, s.segment)
         history.append(ll)
-    tokens.drop()
-    return m, history
-
-
-def word_counts(rows: DataFrame) -> DataFrame:
-    """word (binary), n over all rows, the end included; tasks count before the shuffle."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: Counter = Counter()
-
-        def out():
-            keys = list(found)
-            for i in range(0, len(keys), 50_000):
-                part = keys[i : i + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.array(part, pa.binary()), pa.array([found[x] for x in part], pa.int64())], ["word", "n"])
-
-        for batch in batches:
-            for t in utf8(batch.column("text")):
-                found.update(words_of(t))
-                found[END] += 1
-                if len(found) > 600_000:
-                    yield from out()
-                    found.clear()
-        yield from out()
-
-    return rows.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    found.drop()
+    return m, history, counts
 
 
 def _frequent(counts: DataFrame, most: int) -> dict[bytes, int]:
@@ -273,8 +305,8 @@ def score(docs: DataFrame, held_out, s: Settings = Settings()) -> DataFrame:
     spark = docs.sparkSession
     rows = with_id(docs, held_out.alias("held_out"))
     training = rows.where(~F.col("held_out"))
-    model, _ = train(training, s)
-    counts = Staged(word_counts(training), "hmm-counts").df
+    model, _, stored = train(training, s)
+    counts = stored.df
     # in each class the weights c + 1 of its words, but for the unseen one; the end has no unseen word beside it
     is_end = F.col("word") == F.lit(bytearray(END))
     kind = F.when(is_end, 0).otherwise(F.crc32("word") % (CLASSES - 1) + 1).cast("int").alias("kind")
@@ -290,34 +322,27 @@ def score(docs: DataFrame, held_out, s: Settings = Settings()) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, frequent, by_class = shared.value
         log_class = np.log10(by_class + 1)
-        # places in the table of frequent words; its last row is for all others
-        place = {w: i for i, w in enumerate(frequent)}
-        rare_at = len(place)
-        logs = np.array([math.log10(c + 1) for c in frequent.values()] + [0.0])
-        kinds = np.array([class_of(w) for w in frequent] + [0], np.int64)
-        of = Memo(class_of)
+        ids, n = Ids(frequent), len(frequent)
+        logs, kinds = np.log10(np.array(list(frequent.values()), float) + 1), np.array([class_of(w) for w in frequent], np.int64)
         for part in _groups(batches):
-            texts = [[*words_of(t), END] for t in utf8(part.column("text"))]
-            sizes = np.array([len(x) for x in texts], np.int64)
-            starts = np.cumsum(sizes) - sizes
-            at = np.fromiter((place.get(w, rare_at) for x in texts for w in x), np.int64, int(sizes.sum()))
-            laid, other = kinds[at], np.flatnonzero(at == rare_at)
-            rare: list[Counter] = [Counter() for _ in texts]
-            for i, t in zip((np.searchsorted(starts, other, side="right") - 1).tolist(), other.tolist(), strict=True):
-                word = texts[i][t - starts[i]]
-                laid[t] = of[word]
-                if not whole:
-                    rare[i][word] += 1
-            of.trim()
+            flat, sizes = ids.of(utf8(part.column("text")))
+            starts, new = np.cumsum(sizes) - sizes, ids.new
+            laid = np.concatenate([kinds, np.array([class_of(w) for w in new], np.int64)])[flat]
             hidden = forward(m, laid, sizes) / math.log(10) - np.add.reduceat(log_class[laid], starts)
-            sums, known = np.add.reduceat(logs[at], starts), np.add.reduceat((at != rare_at).astype(np.int64), starts)
-            kind = pa.list_(pa.struct([("w", pa.binary()), ("n", pa.int64())]))
+            sums, known = np.add.reduceat(np.append(logs, np.zeros(len(new)))[flat], starts), np.add.reduceat((flat < n).astype(np.int64), starts)
+            # the words that are not in the table, with their numbers in each text
+            other = np.flatnonzero(flat >= n) if not whole else np.zeros(0, np.int64)
+            owner = np.searchsorted(starts, other, side="right") - 1
+            pairs, times = np.unique(owner * (len(new) + 1) + flat[other] - n, return_counts=True)
+            owner, word = np.divmod(pairs, len(new) + 1)
+            rare = _lists(pa.array(new, pa.binary()).take(pa.array(word, pa.int64())), times, np.searchsorted(owner, np.arange(len(sizes)), side="right").tolist())
+            ids.forget()
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), part.column("held_out"), pa.array(sizes), pa.array(known), pa.array(sums), pa.array(hidden), pa.array([[{"w": w, "n": n} for w, n in x.items()] for x in rare], kind)],
+                [part.column("doc_id"), part.column("held_out"), pa.array(sizes), pa.array(known), pa.array(sums), pa.array(hidden), rare],
                 ["doc_id", "held_out", "n_tokens", "known", "sums", "hidden", "rare"],
             )
 
-    found = rows.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, known long, sums double, hidden double, rare array<struct<w:binary,n:long>>")
+    found = rows.mapInArrow(run, f"doc_id long, held_out boolean, n_tokens long, known long, sums double, hidden double, rare {_COUNTS}")
     if not whole:
         found = Staged(found.withColumn("row", F.monotonically_increasing_id()), "hmm-rows").df
         asked = found.select("row", F.explode("rare").alias("r")).select("row", F.col("r.w").alias("word"), F.col("r.n").alias("times"))

@@ -389,7 +389,7 @@ def _repeated(texts: DataFrame, length: int, k: int | None, most: int, filtered:
                         sent.clear()
                     sent.add(ck)
                 out.append((hh, ck, t, loc, p, p - b, p - a, left if new else None, right if new else None))
-                size += 64 + (len(left) + len(right)) * new
+                size += 500 + (len(left) + len(right)) * new
             if size > 1 << 23:
                 yield batch()
                 out, size = [], 0

@@ -133,7 +133,7 @@ def test_words_of_a_class_sum_to_one(spark):
     texts = [(1, f"{a} {a} {b} other"), (2, f"{a} more"), (3, a), (4, b), (5, unseen), (6, "")]
     docs, held_out = spark.createDataFrame(texts, "doc_id long, text string"), F.col("doc_id") > 2
     s = hmm.Settings(states=2)
-    m, _ = hmm.train(docs.where(~held_out), s)
+    m = hmm.train(docs.where(~held_out), s)[0]
     scores = {r["doc_id"]: r["score"] for r in hmm.score(docs, held_out, s).collect()}
     c = hmm.class_of(a.encode())
     classes = hmm.forward(m, np.array([c, 0]), np.array([2]))[0] / math.log(10)
