@@ -4,9 +4,10 @@ Tokens are aggregated by source; each source's target follows its weight, but fo
 and what the cap takes is shared again by weight among the others. Its rate is target over size: each document is
 emitted floor(rate) times, and once more if a number hashed from its id is below the rate's fraction.
 
-The numbers come from SHA-256 of the id and a seed. A draw is evaluated for several seeds in the same pass and each
-source takes the seed whose total comes nearest to its target (the lowest among equals), so few long documents do
-not pull a small source far from it. Everything is an aggregate or a projection; reruns agree.
+The numbers come from SHA-256 of the id and a seed. With draws=1 there is one seed. With more (24 unless told otherwise) a draw
+is evaluated for each seed in the same pass and a source takes the seed whose total comes nearest to its target (the lowest
+among equals), so few long documents do not pull a small source far from it; a copy is then still hashed and repeatable, but
+no longer independent of the other documents of its source. Everything is an aggregate or a projection; reruns agree.
 
 Defined cases: a null text has size 0; a null source is a source of its own, last in order; a null id draws as the
 empty string; repeated rows draw alike; sources of size 0 have target 0; an empty table gives no rows; other columns are
@@ -23,8 +24,8 @@ from recallium.llm.common import WORD, Staged
 WEIGHTS = (5.0, 2.0, 1.0)
 CAP = 3.0
 SEED = "mix"
-#: Each SHA-256 gives 8 draws of 32 bits.
-HASHES = 3
+#: Seeds tried; each SHA-256 gives 8 draws of 32 bits.
+DRAWS = 24
 #: Source tables of at most this many rows are broadcast; larger ones are joined by a shuffle.
 BROADCAST_ROWS = 10_000
 
@@ -35,13 +36,13 @@ def size_of(text: Column) -> Column:
     return F.coalesce(F.length(F.translate(one, " \t\n\r\x0b\x0c", "")), F.lit(0)).cast("long")
 
 
-def draws(doc_id: Column) -> list[Column]:
-    """Uniform numbers in [0, 1) hashed from the id, one for each seed."""
+def numbers(doc_id: Column, n: int) -> list[Column]:
+    """Uniform numbers in [0, 1) hashed from the id, one for each of n seeds."""
     out = []
-    for k in range(HASHES):
+    for k in range(-(-n // 8)):
         digest = F.sha2(F.concat(F.lit(f"{SEED}{k}:"), F.coalesce(doc_id.cast("string"), F.lit(""))), 256)
         out += [F.conv(F.substring(digest, 8 * j + 1, 8), 16, 10).cast("double") / F.lit(4294967296.0) for j in range(8)]
-    return out
+    return out[:n]
 
 
 def targets(sizes: DataFrame) -> DataFrame:
@@ -62,19 +63,18 @@ def targets(sizes: DataFrame) -> DataFrame:
     return rows.select("source", "source_size", F.least("cap", F.coalesce(F.col("final") * F.col("weight"), F.col("cap"))).alias("target"))
 
 
-def _sources(sized: DataFrame) -> DataFrame:
+def _sources(sized: DataFrame, draws: int) -> DataFrame:
     """source, source_size, target, seed; draws are summed in the same aggregation for every seed."""
     plan = targets(sized.groupBy("source").agg(F.sum("size").cast("long").alias("source_size")))
     plan = plan.withColumn("rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
     drawn = _join(sized, plan)
-    n = HASHES * 8
     part = F.col("rate") - F.floor("rate")
     sums = drawn.groupBy("source").agg(
         F.first("source_size").alias("source_size"), F.first("target").alias("target"), F.first("rate").alias("rate"),
-        *(F.sum(F.when(d < part, F.col("size")).otherwise(0)).alias(f"drawn{i}") for i, d in enumerate(draws(F.col("doc_id")))),
+        *(F.sum(F.when(d < part, F.col("size")).otherwise(0)).alias(f"drawn{i}") for i, d in enumerate(numbers(F.col("doc_id"), draws))),
     )
     missing = F.col("target") - F.floor("rate") * F.col("source_size")
-    best = F.array_min(F.array(*(F.struct(F.abs(F.col(f"drawn{i}") - missing).alias("off"), F.lit(i).alias("seed")) for i in range(n))))
+    best = F.array_min(F.array(*(F.struct(F.abs(F.col(f"drawn{i}") - missing).alias("off"), F.lit(i).alias("seed")) for i in range(draws))))
     return sums.select("source", "source_size", "target", "rate", best["seed"].alias("seed"))
 
 
@@ -85,24 +85,24 @@ def _join(rows: DataFrame, sources: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(right) if few else right, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
 
 
-def mix(docs: DataFrame) -> DataFrame:
+def mix(docs: DataFrame, draws: int = DRAWS) -> DataFrame:
     """doc_id, size, source_size, target, copies of each row."""
     # texts are read once; what follows works on the three columns written here
     sized = Staged(docs.select("doc_id", F.col("source").cast("string").alias("source"), size_of(F.col("text")).alias("size")), "sizes").df
-    plan = _sources(sized)
+    plan = _sources(sized, draws)
     rows = _join(sized, plan)
-    drawn = F.element_at(F.array(*draws(F.col("doc_id"))), F.col("seed") + 1)
+    drawn = F.element_at(F.array(*numbers(F.col("doc_id"), draws)), F.col("seed") + 1)
     copies = F.floor("rate") + F.when(drawn < F.col("rate") - F.floor("rate"), 1).otherwise(0)
     return rows.select("doc_id", "size", "source_size", "target", copies.cast("long").alias("copies"))
 
 
-def emit(docs: DataFrame) -> DataFrame:
+def emit(docs: DataFrame, draws: int = DRAWS) -> DataFrame:
     """The rows of docs themselves, each as many times as mix() says; all columns of docs stay."""
     names = docs.columns
     # the working columns stand in one struct, so that docs can have columns of any name
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), F.col("doc_id"), F.col("source").cast("string").alias("source"), size_of(F.col("text")).alias("size"))
-    plan = _sources(rows.select("doc_id", "source", "size"))
+    plan = _sources(rows.select("doc_id", "source", "size"), draws)
     rows = _join(rows, plan)
-    drawn = F.element_at(F.array(*draws(F.col("doc_id"))), F.col("seed") + 1)
+    drawn = F.element_at(F.array(*numbers(F.col("doc_id"), draws)), F.col("seed") + 1)
     copies = F.floor("rate") + F.when(drawn < F.col("rate") - F.floor("rate"), 1).otherwise(0)
     return rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.greatest(copies, F.lit(1))))).where(copies >= 1).select("row.*")

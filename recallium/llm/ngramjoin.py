@@ -233,20 +233,16 @@ def linked(rows: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL
     return found.select("uid", "doc_id", "node"), copies.join(links, "node", "left"), classes.select(F.col("a").alias("node"), F.col("b").alias("class"))
 
 
-def _rows(docs: DataFrame) -> DataFrame:
-    return docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-
-
-def _classed(docs: DataFrame, **options) -> DataFrame:
-    """uid, doc_id, class (null without words), n, links."""
-    found, nodes, classes = linked(_rows(docs), **options)
+def _classed(numbered: DataFrame, **options) -> DataFrame:
+    """numbered (uid, doc_id, text) -> uid, doc_id, class (null without words), n, links."""
+    found, nodes, classes = linked(numbered, **options)
     known = nodes.join(classes, "node", "left").select("node", "n", "links", F.coalesce("class", "node").alias("class"))
     return found.join(known, "node", "left")
 
 
 def classes(docs: DataFrame, **options) -> DataFrame:
     """doc_id, class_id (the least id of the class), class_size and n_links (other documents at or above the threshold) of each row."""
-    rows = _classed(docs, **options)
+    rows = _classed(docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), **options)
     ids = rows.where(F.col("class").isNotNull()).groupBy("class").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
     return rows.join(ids, "class", "left").select(
         "doc_id",
@@ -257,11 +253,11 @@ def classes(docs: DataFrame, **options) -> DataFrame:
 
 
 def dedup(docs: DataFrame, **options) -> DataFrame:
-    """One row of each class, that of the least id, and all rows without words; columns stay. docs is a stored table, whose rows
-    keep their places from one reading to the next."""
-    rows = _classed(docs, **options)
+    """One row of each class, that of the least id, and all rows without words; columns stay. Rows are numbered once, in a stored
+    copy, so that a lost executor cannot number them anew."""
+    names = docs.columns
+    marked = Staged(docs.select(F.monotonically_increasing_id().alias("uid"), F.struct(*(F.col(f"`{c}`") for c in names)).alias("row")), "numbered").df
+    rows = _classed(marked.select("uid", F.col("row.doc_id").cast("long").alias("doc_id"), F.col("row.text").cast("string").alias("text")), **options)
     best = rows.where(F.col("class").isNotNull()).groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "uid")).alias("best"))
     keep = best.select("best.uid").unionByName(rows.where(F.col("class").isNull()).select("uid"))
-    names = docs.columns
-    marked = docs.select(F.monotonically_increasing_id().alias("uid"), F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"))
     return marked.join(keep, "uid", "left_semi").select("row.*")

@@ -10,7 +10,8 @@ shorter prefix, and only as many last tokens have to be remembered as the longes
 
 Two characters that stand together in no piece synchronise: behind the first the state is the start state, whatever
 came before. The change from a non-space to a space is such a place. A chunk of a text therefore maps an unknown entry state to (head still to be run from that
-state, fixed count, exit state); such maps compose associatively and are joined by a parallel prefix scan. Units between
+state, fixed count, exit state); such maps compose associatively. Every text is cut into chunks whose maps the up-sweep of a parallel prefix
+scan joins; only the total is asked for, so there is no down-sweep. Units between
 synchronising places repeat, so their sums are kept as macro transitions.
 
 Defined cases: a null text is empty and has 0 tokens; repeated rows give equal rows; an empty table gives no rows;
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 from recallium.llm.common import Memo, with_id
 
 SPACE = "▁"
-CHUNK = 1 << 16
+CHUNK = 1 << 12
 #: Units longer than this run through the transducer each time instead of being kept.
 LONG_UNIT = 48
 MAX_STATES = 200_000
@@ -160,22 +161,17 @@ class Transducer:
         state, count = self.run(a.exit, b.head)
         return ChunkMap(a.head, a.count + count + b.count, state if b.exit is None else b.exit)
 
-    def scan(self, maps: list[ChunkMap]) -> list[ChunkMap]:
-        """Inclusive prefix scan in log2(n) rounds; each round's compositions are independent of each other."""
-        step = 1
-        while step < len(maps):
-            maps = [self.compose(maps[i - step], m) if i >= step else m for i, m in enumerate(maps)]
-            step *= 2
-        return maps
+    def total(self, maps: list[ChunkMap]) -> ChunkMap:
+        """All maps composed: the up-sweep of a parallel prefix scan, in log2(n) rounds of independent compositions."""
+        while len(maps) > 1:
+            maps = [self.compose(*maps[i : i + 2]) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
+        return maps[0]
 
     def count(self, text: str, chunk: int = CHUNK) -> int:
         if not text:
             return 0
         text = " " + text  # the model's dummy prefix
-        if len(text) <= chunk:
-            unit = self.unit
-            return sum(unit[u] if len(u) <= LONG_UNIT else self.run(self.START, u)[1] for u in _UNIT.findall(text))
-        whole = self.scan([self.chunk(text[i : i + chunk]) for i in range(0, len(text), chunk)])[-1]
+        whole = self.total([self.chunk(text[i : i + chunk]) for i in range(0, len(text), chunk)])
         return self.run(self.START, whole.head)[1] + whole.count
 
     def trim(self) -> None:
@@ -202,9 +198,13 @@ def token_counts(docs: DataFrame, model_path: str, limit: int = 4096, chunk: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = transducer(model_path)
         for batch in batches:
-            counts = []
+            counts, since = [], 0
             for x in batch.column("text").to_pylist():
                 counts.append(t.count(x, chunk) if x else 0)
+                since += len(x or "")
+                if since > 1 << 22:
+                    t.trim()
+                    since = 0
             t.trim()
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), pa.array(counts, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
 

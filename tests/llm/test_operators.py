@@ -395,6 +395,44 @@ def test_license_scans(spark, docs, empty):
     assert licenses.scan(empty).count() == 0
 
 
+def test_alignment_against_a_plain_table():
+    def plain_score(template, words, low, high):
+        best, table = 0, {}
+        for i, t in enumerate(template):
+            for j, w in enumerate(words):
+                if low <= j - i <= high:
+                    table[i, j] = max(0, table.get((i - 1, j - 1), 0) + (2 if t == w else -1), table.get((i - 1, j), 0) - 1, table.get((i, j - 1), 0) - 1)
+                    best = max(best, table[i, j])
+        return best
+
+    gen = random.Random(8)
+    for _ in range(200):
+        template, words = [gen.randint(1, 4) for _ in range(gen.randint(1, 12))], [gen.randint(1, 4) for _ in range(gen.randint(0, 20))]
+        low = gen.randint(-8, 8)
+        high = low + gen.randint(0, 9)
+        pairs = licenses.align(template, words, low, high)
+        score = plain_score(template, words, low, high)
+        assert all(template[i] == words[j] and low <= j - i <= high for i, j in pairs) and pairs == sorted(set(pairs))
+        if pairs:  # what lies between two matches costs one for each step, a mismatch pairs two words
+            gaps = sum(max(a[0] - b[0] - 1, a[1] - b[1] - 1) for a, b in zip(pairs[1:], pairs, strict=False))
+            assert 2 * len(pairs) - gaps == score
+        else:
+            assert score == 0
+
+
+def test_license_texts_in_full_and_overlaps(spark):
+    t = licenses.TEMPLATES
+    rows = [(1, t["MIT"].replace("Software", "Program")), (2, f"{prose(20)}\n{t['Zlib']}\n{prose(9)}\n{t['ISC']}"), (3, t["MIT"].upper() * 3), (4, "one two"), (5, " ".join(["Licensed under CC BY 4.0."] * 40))]
+    out = {r["doc_id"]: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [[m["license"] for m in out[i]["matches"]] for i in (2, 4)] == [["Zlib", "ISC"], []]
+    assert "MIT" in [m["license"] for m in out[1]["matches"]] or out[1]["license"] == "MIT permission"
+    assert len(out[3]["matches"]) >= 3 and out[5]["n_matches"] == 40
+    for r in out.values():
+        assert all(a["end"] <= b["start"] for a, b in zip(r["matches"], r["matches"][1:], strict=False))
+    short = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string"), {"short": "One two"}).collect()
+    assert {r["doc_id"]: r["n_matches"] for r in short} == {1: 0, 2: 0, 3: 0, 4: 1, 5: 0}
+
+
 @pytest.mark.skipif(importlib.util.find_spec("corpus_pipeline") is None, reason="needs the pipeline")
 def test_pipeline_stages(spark):
     import corpus_pipeline
