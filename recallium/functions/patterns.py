@@ -58,16 +58,22 @@ CATEGORIES = [
 ]
 EXPIRY_HOURS = [("后天|day after tomorrow", 48), (r"明天|\btomorrow\b", 24), (r"下周|\bnext week\b", 168), (r"这周|\bthis week\b", 72), (r"下个月|\bnext month\b", 720), (r"这个月|\bthis month\b", 360), (r"今晚|\btonight\b", 12), (r"今天|\btoday\b", 18)]
 ERROR_SIGNALS = [r"\[error\]|error:|exception:|fatal:|traceback|syntaxerror|typeerror|referenceerror|npm err!", "command not found|no such file|permission denied|non-zero|exit code", r"\"status\"\s*:\s*\"error\"|\"status\"\s*:\s*\"failed\"|\biserror\b", r"错误\s*[：:]|异常\s*[：:]|报错\s*[：:]|失败\s*[：:]"]
+# Pattern and replacement; the groups of a replacement stand for what the pattern only looks at.
 SECRETS = [
-    r"\bsk-[A-Za-z0-9]{20,}\b", r"\bghp_[A-Za-z0-9]{36,}\b", r"\bxox[baprs]-[A-Za-z0-9-]{10,}\b", r"\bAIza[0-9A-Za-z_-]{20,}\b", r"\bAKIA[0-9A-Z]{16}\b", r"\bnpm_[A-Za-z0-9]{36,}\b",
-    r"(?i)\b(?:token|api[_-]?key|secret|password)\s*[:=]\s*[\"']?[^\s\"',;)}\]]{6,}", r"/home/[^\s\"',;)}\]]+", r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}",
+    (r"Bearer\s+[A-Za-z0-9\-._~+/]+=*", "Bearer [REDACTED]"), (r"\bsk-[A-Za-z0-9]{20,}\b", "[REDACTED]"), (r"\bsk-proj-[A-Za-z0-9\-_]{20,}\b", "[REDACTED]"), (r"\bsk-ant-[A-Za-z0-9\-_]{20,}\b", "[REDACTED]"),
+    (r"\bghp_[A-Za-z0-9]{36,}\b", "[REDACTED]"), (r"\bgho_[A-Za-z0-9]{36,}\b", "[REDACTED]"), (r"\bghu_[A-Za-z0-9]{36,}\b", "[REDACTED]"), (r"\bghs_[A-Za-z0-9]{36,}\b", "[REDACTED]"), (r"\bgithub_pat_[A-Za-z0-9_]{22,}\b", "[REDACTED]"),
+    (r"\bxox[baprs]-[A-Za-z0-9-]{10,}\b", "[REDACTED]"), (r"\bAIza[0-9A-Za-z_-]{20,}\b", "[REDACTED]"), (r"\bAKIA[0-9A-Z]{16}\b", "[REDACTED]"), (r"\bnpm_[A-Za-z0-9]{36,}\b", "[REDACTED]"),
+    (r"(?i)\b(?:token|api[_-]?key|secret|password)\s*[:=]\s*[\"']?[^\s\"',;)}\]]{6,}[\"']?\b", "[REDACTED]"),
+    (r"-----BEGIN\s+(?:RSA\s+|EC\s+|DSA\s+|OPENSSH\s+)?PRIVATE\s+KEY-----[\s\S]*?-----END\s+(?:RSA\s+|EC\s+|DSA\s+|OPENSSH\s+)?PRIVATE\s+KEY-----", "[REDACTED]"),
+    (r"(://)[^@\s]+:[^@\s]+(@)", "$1[REDACTED]$2"), (r"/home/[^\s\"',;)}\]]+", "[REDACTED]"), (r"/Users/[^\s\"',;)}\]]+", "[REDACTED]"), (r"[A-Z]:\\[^\s\"',;)}\]]+", "[REDACTED]"),
+    (r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}", "[REDACTED]"),
 ]
 SYNONYMS = [
     (["挂了", "挂掉", "宕机"], ["shutdown", "crashed"], ["崩溃", "crash", "error", "报错", "宕机", "失败"]), (["卡住", "卡死", "没反应"], ["hung", "frozen"], ["hang", "timeout", "超时", "无响应", "stuck"]),
     (["炸了", "爆了"], ["oom"], ["崩溃", "crash", "OOM", "内存溢出", "error"]), (["配置", "设置"], ["config", "configuration"], ["配置", "config", "configuration", "settings", "设置"]),
     (["部署", "上线"], ["deploy", "deployment"], ["deploy", "部署", "上线", "发布", "release"]), (["容器"], ["docker", "container"], ["Docker", "容器", "container", "docker-compose"]),
     (["报错", "出错", "错误"], ["error", "exception"], ["error", "报错", "exception", "错误", "失败", "bug"]), (["修复", "修了", "修好"], ["bugfix", "hotfix"], ["fix", "修复", "patch", "解决"]),
-    (["踩坑"], ["troubleshoot"], ["踩坑", "bug", "问题", "教训", "排查", "troubleshoot"]), (["搜索", "查找", "找不到"], ["search", "retrieval"], ["搜索", "search", "retrieval", "检索", "查找"]),
+    (["踩坑"], ["troubleshoot"], ["踩坑", "bug", "问题", "教训", "排查", "troubleshoot"]), (["记忆", "记忆系统"], ["memory"], ["记忆", "memory", "记忆系统", "LanceDB", "索引"]), (["搜索", "查找", "找不到"], ["search", "retrieval"], ["搜索", "search", "retrieval", "检索", "查找"]),
     (["推送"], ["git push"], ["push", "推送", "git push", "commit"]), (["日志"], ["logfile", "logging"], ["日志", "log", "logging", "输出", "打印"]), (["权限"], ["permission", "authorization"], ["权限", "permission", "access", "授权", "认证"]),
 ]
 MAX_EXPANSIONS = 5
@@ -172,22 +178,24 @@ def first_sql(text: str, rules: list[tuple], default: str) -> str:
 
 
 def redact(text: Column) -> Column:
-    lower = F.lower(text)
-    for p in SECRETS:
-        here = functools.reduce(lambda x, y: x | y, (F.contains(lower, F.lit(x)) for x in sorted(needed(p) or [""])))
-        text = F.when(here, F.regexp_replace(text, b(p), "[REDACTED]")).otherwise(text)
-    return text
+    """Texts without any string that a pattern needs, nearly all, are not looked at by any pattern."""
+    lower, out = F.lower(text), text
+    has = lambda p: functools.reduce(lambda x, y: x | y, (F.contains(lower, F.lit(x)) for x in sorted(needed(p) or [""])))
+    for p, r in SECRETS:
+        out = F.regexp_replace(out, b(p), r)
+    return F.when(functools.reduce(lambda x, y: x | y, (has(p) for p, _ in SECRETS)), out).otherwise(text)
 
 
 def redact_sql(text: str) -> str:
-    for p in SECRETS:
-        text = f"regexp_replace({text}, '{p.replace(chr(39), chr(39) * 2)}', '[REDACTED]', 'g')"
+    for p, r in SECRETS:
+        to = r.replace("$", chr(92))
+        text = f"regexp_replace({text}, '{p.replace(chr(39), chr(39) * 2)}', '{to}', 'g')"
     return text
 
 
 def error_signature(text: Column) -> Column:
     t = F.lower(redact(text))
-    for p, r in ((r"/[^ \n\r\t]+", "<path>"), (r"\b0x[0-9a-f]+\b", "<hex>"), (r"\b\d+\b", "<n>"), (r"\s+", " ")):
+    for p, r in ((r"[a-z]:\\[^ \n\r\t]+", "<path>"), (r"/[^ \n\r\t]+", "<path>"), (r"\b0x[0-9a-f]+\b", "<hex>"), (r"\b\d+\b", "<n>"), (r"\s+", " ")):
         t = F.regexp_replace(t, b(p), r)
     return F.substring(F.trim(t), 1, 240)
 

@@ -38,6 +38,95 @@ def knn(corpus: DataFrame, queries: DataFrame, k: int, id_column: str = "doc_id"
     return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).withColumnRenamed("id", id_column)
 
 
+def _matrix(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """Unit rows of the vectors, zeros for those of another length, and which rows have the length."""
+    fit = np.array(column.value_lengths().fill_null(0)) == dim
+    x = np.zeros((len(column), dim))
+    x[fit] = column.filter(pa.array(fit)).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+    norms = np.linalg.norm(x, axis=1, keepdims=True)
+    return x / np.where(norms > 0, norms, 1), fit
+
+
+def _broadcast_blocks(queries: DataFrame) -> Iterator[list[tuple]]:
+    """(qid, vector) of the queries, so many at a time."""
+    asked = queries.select("qid", "vector").orderBy("qid")
+    for at in range(0, asked.count(), QUERY_BLOCK):
+        yield [(r["qid"], list(r["vector"])) for r in asked.offset(at).limit(QUERY_BLOCK).collect()]
+
+
+def best_of(corpus: DataFrame, queries: DataFrame, id_column: str = "doc_id") -> DataFrame:
+    """id, cos: each row's greatest cosine to any of the queries."""
+    rows, out = corpus.select(F.col(id_column).alias("id"), "vector"), None
+    for block in _broadcast_blocks(queries):
+        shared = corpus.sparkSession.sparkContext.broadcast([v for _, v in block])
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            m = np.array(shared.value, float)
+            m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
+            for batch in batches:
+                x, _ = _matrix(batch.column("vector"), m.shape[1])
+                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array((x @ m.T).max(1))], ["id", "cos"])
+
+        part = rows.mapInArrow(run, "id long, cos double")
+        out = part if out is None else out.unionByName(part)
+    out = rows.select("id", F.lit(0.0).alias("cos")).limit(0) if out is None else out
+    return out.groupBy("id").agg(F.max("cos").alias("cos")).withColumnRenamed("id", id_column)
+
+
+def nearest_other(corpus: DataFrame, queries: DataFrame) -> DataFrame:
+    """qid, cos: each query's greatest cosine to a row whose vector is another; tasks keep one number a query."""
+    out = None
+    for block in _broadcast_blocks(queries):
+        shared = corpus.sparkSession.sparkContext.broadcast(block)
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            qids, raw = [q for q, _ in shared.value], np.array([v for _, v in shared.value], float)
+            m, best = raw / np.maximum(np.linalg.norm(raw, axis=1, keepdims=True), 1e-300), np.full(len(qids), -np.inf)
+            of = {v.tobytes(): [] for v in raw}
+            for i, v in enumerate(raw):
+                of[v.tobytes()].append(i)
+            for batch in batches:
+                column = batch.column("vector")
+                x, fit = _matrix(column, raw.shape[1])
+                cos = m @ x.T
+                same = column.filter(pa.array(fit)).flatten().to_numpy(zero_copy_only=False).reshape(-1, raw.shape[1]).astype(float)
+                for j, v in zip(np.flatnonzero(fit), same, strict=True):
+                    if v.tobytes() in of:
+                        cos[of[v.tobytes()], j] = -np.inf
+                if cos.shape[1]:
+                    best = np.maximum(best, cos.max(1))
+            found = np.flatnonzero(best > -np.inf)
+            yield pa.RecordBatch.from_arrays([pa.array([qids[i] for i in found], pa.int64()), pa.array(best[found])], ["qid", "cos"])
+
+        part = corpus.select("vector").mapInArrow(run, "qid long, cos double")
+        out = part if out is None else out.unionByName(part)
+    out = queries.select("qid", F.lit(0.0).alias("cos")).limit(0) if out is None else out
+    return out.groupBy("qid").agg(F.max("cos").alias("cos"))
+
+
+def near_pairs(rows: DataFrame, threshold: float, tables: int = 40, bits: int = 16, seed: int = 5) -> DataFrame:
+    """a, b, cos of all pairs of rows (id, vector) with a cosine of at least threshold. Rows meet in buckets of `bits` signs of random
+    directions; a pair at 0.95 shares a bucket of the 40 with probability 0.9997. Vectors must differ from each other: equal ones
+    would meet in every bucket."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        planes, powers = None, 1 << np.arange(bits, dtype=np.int64)
+        for batch in batches:
+            sizes = np.array(batch.column("vector").value_lengths().fill_null(0))
+            for dim in sorted(set(sizes.tolist()) - {0}):
+                part = batch.filter(pa.array(sizes == dim))
+                if planes is None or planes.shape[0] != dim:
+                    planes = np.random.default_rng([seed, dim]).standard_normal((dim, tables * bits))
+                x, _ = _matrix(part.column("vector"), dim)
+                keys = ((x @ planes > 0).reshape(len(x), tables, bits) @ powers) + (np.arange(tables, dtype=np.int64) << bits) + (dim << 40)
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(list(keys), pa.list_(pa.int64()))], ["id", "keys"])
+
+    found = rows.select("id", "vector").mapInArrow(run, "id long, keys array<long>").select("id", F.explode("keys").alias("key"))
+    pairs = found.select(F.col("id").alias("a"), "key").join(found.select(F.col("id").alias("b"), "key"), "key").where("a < b").select("a", "b").distinct()
+    left, right = rows.select(F.col("id").alias("a"), F.col("vector").alias("x")), rows.select(F.col("id").alias("b"), F.col("vector").alias("y"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", cosine(F.col("x"), F.col("y")).alias("cos")).where(F.col("cos") >= threshold)
+
+
 def over_blocks(queries: DataFrame, run: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """The rows that run gives for all queries (with a qid), in blocks of about QUERY_BLOCK; each query is in one block, by a hash."""
     blocks, out = max(1, -(-queries.count() // QUERY_BLOCK)), None

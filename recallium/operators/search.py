@@ -6,8 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recallium.functions import kernels
+from recallium.operators.stored import stored
 
 K1, B = 1.2, 0.75
+#: Query tokens up to which they are broadcast.
+MOST_TOKENS = 1 << 15
 TOKEN = r"[\p{L}\p{N}]+"
 
 
@@ -15,15 +18,25 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
 
 
+def postings(corpus: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """doc_id, len, token, tf for the tokens of vocabulary (token), and one row with the token '' for each row of corpus: one pass
+    over the texts. A vocabulary of up to MOST_TOKENS, which is counted, is broadcast; a larger one is joined by a shuffle."""
+    asked = vocabulary.select("token").where("token <> ''").distinct()
+    few = asked.limit(MOST_TOKENS + 1).count() <= MOST_TOKENS
+    asked = asked.unionByName(asked.sparkSession.range(1).select(F.lit("").alias("token")))
+    split = corpus.select("doc_id", tokens(F.coalesce("text", F.lit(""))).alias("tokens"))
+    every = split.select("doc_id", F.size("tokens").alias("len"), F.explode(F.concat("tokens", F.array(F.lit("")))).alias("token"))
+    return every.join(F.broadcast(asked) if few else asked, "token", "left_semi").groupBy("doc_id", "len", "token").agg(F.count(F.lit(1)).alias("tf"))
+
+
 def bm25(corpus: DataFrame, queries: DataFrame, limit: int) -> DataFrame:
     """qid, doc_id, bm25 (raw), rank: the best `limit` rows a query, ties by id. corpus: doc_id, text; queries: qid, text.
 
-    Postings are cut down to the queries' tokens before anything is shuffled; lengths and totals come from the same scan."""
+    Texts are split once; lengths, totals and frequencies come from the postings of the queries' tokens, which are stored."""
     asked = queries.select("qid", F.explode(F.array_distinct(tokens(F.col("text")))).alias("token"))
-    split = corpus.select("doc_id", tokens(F.col("text")).alias("tokens"))
-    sized = split.select("doc_id", F.size("tokens").alias("len"), "tokens")
-    total = split.agg(F.count(F.lit(1)).alias("n_docs"), F.avg(F.size("tokens")).alias("avg_len"))
-    tf = sized.select("doc_id", "len", F.explode("tokens").alias("token")).join(asked.select("token").distinct(), "token", "left_semi").groupBy("token", "doc_id", "len").agg(F.count(F.lit(1)).alias("tf"))
+    kept = stored(postings(corpus, asked))
+    total = kept.where("token = ''").agg(F.count(F.lit(1)).alias("n_docs"), F.avg("len").alias("avg_len"))
+    tf = kept.where("token <> ''")
     df = tf.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     scored = tf.join(df, "token").join(asked, "token").crossJoin(total)  # total is one row
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))

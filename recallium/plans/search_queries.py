@@ -103,14 +103,18 @@ def lexical_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.top(hits, "score", POOL).select("qid", "doc_id", F.round("score", 6).alias("score"))
 
 
-@query(f"""WITH {VECTORS_SQL}, {_QV} SELECT c.doc_id, round(max({_COS}), 6) AS best, max({_COS}) >= 0.35 AS is_noise FROM vectors c, qv q GROUP BY 1""")
-def noise_bank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nearness to the closest noise prototype, lowered threshold for these vectors; the bank is broadcast in blocks."""
-    rows, bank = with_vectors(spark, sf_dir).select("doc_id", "vector"), vector_queries(spark, sf_dir).withColumnRenamed("vector", "p")
-    best = F.max(V.cosine(F.col("vector"), F.col("p"))).alias("m")
-    parts = V.over_blocks(bank, lambda block: rows.join(F.broadcast(block), F.lit(True)).groupBy("doc_id").agg(best))
-    near = parts.groupBy("doc_id").agg(F.max("m").alias("m"))
-    return near.select("doc_id", F.round("m", 6).alias("best"), (F.col("m") >= 0.35).alias("is_noise"))
+def _noise_bank(threshold: float, name: str) -> None:
+    sql = f"WITH {VECTORS_SQL}, {_QV} SELECT c.doc_id, round(max({_COS}), 6) AS best, max({_COS}) >= {threshold} AS is_noise FROM vectors c, qv q GROUP BY 1"
+
+    @query(sql, name)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        near = V.best_of(with_vectors(spark, sf_dir), vector_queries(spark, sf_dir))
+        return near.select("doc_id", F.round("cos", 6).alias("best"), (F.col("cos") >= threshold).alias("is_noise"))
+
+
+#: Nearness to the closest noise prototype: the rule's own threshold, and a lower one that these vectors reach.
+_noise_bank(0.82, "noise_bank")
+_noise_bank(0.35, "noise_bank_wide")
 
 
 @query("""SELECT a.vec_id AS a, b.vec_id AS b, round(coalesce(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 0), 6) AS cos FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1""")
@@ -175,22 +179,40 @@ def hard_cutoff_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.cutoff(rows, "score", 0.35, 3).select("qid", "doc_id", "is_fallback")
 
 
-@query(f"WITH {VECTORS_SQL}, p AS (SELECT b.doc_id, max(CASE WHEN a.category = b.category THEN {_COS.replace('c.', 'a.').replace('q.', 'b.')} END) AS same, b.category FROM vectors b JOIN vectors a ON a.doc_id < b.doc_id AND a.doc_id >= b.doc_id - 20 GROUP BY b.doc_id, b.category) SELECT doc_id, CASE WHEN same > 0.9796 THEN 'duplicate' WHEN same > 0.3 AND category IN ('preference', 'entity') THEN 'supersede' ELSE 'store' END AS decision FROM p")
-def store_duplicate_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each memory against the twenty before it: duplicate, supersede (lowered threshold) or store. An equi-join on buckets of twenty ids."""
-    rows = with_vectors(spark, sf_dir).select("doc_id", "category", "vector")
-    left = rows.select("doc_id", "category", "vector", F.explode(F.array(F.floor(F.col("doc_id") / 20), F.floor(F.col("doc_id") / 20) - 1)).alias("bucket"))
-    right = rows.select(F.col("doc_id").alias("old"), F.col("category").alias("old_category"), F.col("vector").alias("old_vector"), F.floor(F.col("doc_id") / 20).alias("bucket"))
-    near = left.join(right, "bucket").where((F.col("old") < F.col("doc_id")) & (F.col("old") >= F.col("doc_id") - 20))
-    same = F.max(F.when(F.col("category") == F.col("old_category"), V.cosine(F.col("vector"), F.col("old_vector"))))
-    best = near.groupBy("doc_id", "category").agg(same.alias("same"))
-    return best.select("doc_id", F.when(F.col("same") > 0.9796, "duplicate").when((F.col("same") > 0.3) & F.col("category").isin("preference", "entity"), "supersede").otherwise("store").alias("decision"))
+def _decision(near: float, name: str) -> None:
+    """duplicate: an earlier memory of any category is nearer than 0.98; supersede: one of the same category, preference or entity, is
+    nearer than `near`; else store."""
+    sql = f"""WITH {VECTORS_SQL}, firsts AS (SELECT vec_id, category, min(doc_id) AS first FROM (SELECT *, doc_id % (SELECT count(*) FROM embeddings) AS vec_id FROM vectors) GROUP BY 1, 2),
+ pairs AS (SELECT a.vec_id AS va, b.vec_id AS vb, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS cos FROM embeddings a, embeddings b WHERE list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) > {near}),
+ d AS (SELECT b.doc_id, b.category, bool_or(p.cos > 0.98 AND f.first < b.doc_id) AS dup, bool_or(f.first < b.doc_id AND f.category = b.category) AS same FROM base b LEFT JOIN pairs p ON p.va = b.doc_id % (SELECT count(*) FROM embeddings) LEFT JOIN firsts f ON f.vec_id = p.vb GROUP BY 1, 2)
+ SELECT doc_id, CASE WHEN coalesce(dup, false) THEN 'duplicate' WHEN coalesce(same, false) AND category IN ('preference', 'entity') THEN 'supersede' ELSE 'store' END AS decision FROM d"""
+
+    @query(sql, name)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows = with_vectors(spark, sf_dir)
+        key = F.xxhash64("vector").alias("id")
+        firsts = rows.groupBy(key, "category").agg(F.min("doc_id").alias("first"), F.any_value("vector").alias("vector"))
+        different = firsts.groupBy("id").agg(F.any_value("vector").alias("vector"))
+        pairs = V.near_pairs(different, near, tables=40 if near > 0.9 else 200, bits=16 if near > 0.9 else 6)
+        both = pairs.select("a", "b", "cos").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "cos")).unionByName(different.select(F.col("id").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("cos")))
+        old = both.join(firsts.select(F.col("id").alias("b"), F.col("category").alias("old_category"), "first"), "b")
+        known = _earliest(old)
+        joined = rows.select("doc_id", "category", key).join(known, "id", "left")
+        same = F.element_at("by", F.col("category"))
+        return joined.select("doc_id", F.when(F.col("earliest") < F.col("doc_id"), "duplicate").when((same < F.col("doc_id")) & F.col("category").isin("preference", "entity"), "supersede").otherwise("store").alias("decision"))
+
+
+def _earliest(old: DataFrame) -> DataFrame:
+    """id, earliest (id of the first memory nearer than 0.98), by (category -> first memory near at all)."""
+    per = old.groupBy(F.col("a").alias("id"), "old_category").agg(F.min("first").alias("first"), F.min(F.when(F.col("cos") > 0.98, F.col("first"))).alias("close"))
+    return per.groupBy("id").agg(F.min("close").alias("earliest"), F.map_from_entries(F.collect_list(F.struct("old_category", "first"))).alias("by"))
+
+
+_decision(0.95, "store_duplicate_decision")
 
 
 @query(f"WITH {VECTORS_SQL}, {_QV}, n AS (SELECT q.qid, max({_COS}) AS m FROM vectors c, qv q WHERE c.vector <> q.vector AND c.ts <= {NOW} GROUP BY 1) SELECT qid, round(1 - greatest(0, m), 6) AS novelty FROM n")
 def admission_novelty(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One minus the nearest cosine among other vectors; the queries are broadcast in blocks."""
-    asked = vector_queries(spark, sf_dir).withColumnRenamed("vector", "q")
-    rows = with_vectors(spark, sf_dir).where(F.col("ts") <= NOW).select("vector")
-    near = V.over_blocks(asked, lambda block: rows.join(F.broadcast(block), F.col("vector") != F.col("q")))
-    return near.groupBy("qid").agg(F.max(V.cosine(F.col("vector"), F.col("q"))).alias("m")).select("qid", F.round(1 - F.greatest(F.lit(0.0), "m"), 6).alias("novelty"))
+    """One minus the nearest cosine among other vectors."""
+    near = V.nearest_other(with_vectors(spark, sf_dir).where(F.col("ts") <= NOW), vector_queries(spark, sf_dir))
+    return near.select("qid", F.round(1 - F.greatest(F.lit(0.0), "cos"), 6).alias("novelty"))

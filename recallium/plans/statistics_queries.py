@@ -7,9 +7,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from recallium.catalog import query
-from recallium.sources.memories import BASE_SQL, DAY, NOW, base, millis, table
+from recallium.operators.folds import sorted_fold
+from recallium.sources.memories import BASE_SQL, DAY, MILLIS_SQL, NOW, base, millis, table
 
-_EVENTS = "ev AS (SELECT event_id, user_id, event_type, value, epoch_ms(ts) AS at_ms, CAST(props->>'$.k' AS BIGINT) AS k FROM events)"
+_EVENTS = f"ev AS (SELECT event_id, user_id, event_type, value, {MILLIS_SQL} AS at_ms, CAST(props->>'$.k' AS BIGINT) AS k FROM events)"
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,12 +97,18 @@ def hourly_rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events(spark, sf_dir).select("event_id", (F.count(F.lit(1)).over(w) <= 30).alias("allowed"))
 
 
-@query(f"""WITH {_EVENTS}, t AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY at_ms, event_id) AS turn FROM ev), l AS (SELECT *, lag(turn) OVER (PARTITION BY user_id, k ORDER BY turn) AS before FROM t) SELECT event_id, turn, before IS NULL OR turn - before >= 8 AS injected FROM l""")
+@query(f"""WITH RECURSIVE {_EVENTS}, t AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY at_ms, event_id) AS turn FROM ev),
+ shown AS (SELECT user_id, k, min(turn) AS turn FROM t GROUP BY 1, 2 UNION ALL SELECT s.user_id, s.k, min(t.turn) FROM shown s JOIN t ON t.user_id = s.user_id AND t.k = s.k AND t.turn >= s.turn + 8 GROUP BY s.user_id, s.k, s.turn)
+ SELECT t.event_id, t.turn, s.turn IS NOT NULL AS injected FROM t LEFT JOIN shown s USING (user_id, k, turn)""")
 def injection_repeat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A memory shown less than eight turns ago in the session is not shown again."""
+    """A memory that was shown less than eight turns ago in the session is not shown again; only turns that show it count."""
+
+    def step(last, row):
+        shown = last is None or row.turn - last >= 8
+        return (row.turn if shown else last), shown
+
     t = events(spark, sf_dir).withColumn("turn", F.row_number().over(Window.partitionBy("user_id").orderBy("at_ms", "event_id")).cast("long"))
-    before = F.lag("turn").over(Window.partitionBy("user_id", "k").orderBy("turn"))
-    return t.select("event_id", "turn", (before.isNull() | (F.col("turn") - before >= 8)).alias("injected"))
+    return sorted_fold(t.select("user_id", "k", "turn", "event_id"), ["user_id", "k"], ["turn"], step, "injected", "boolean").select("event_id", "turn", "injected")
 
 
 @query(f"""WITH {_EVENTS}, s AS (SELECT user_id, k, sum(CASE event_type WHEN 'purchase' THEN 1 ELSE 0 END) AS up, sum(CASE event_type WHEN 'error' THEN 1 ELSE 0 END) AS down, max(at_ms) AS last_at FROM ev GROUP BY 1, 2),
@@ -134,13 +141,9 @@ def hourly_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cooldown_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five minutes must pass since the last event that went through; one that was held back does not count. A fold over each user's sorted events."""
 
-    def one(pdf):
-        pdf = pdf.sort_values(["at_ms", "event_id"])
-        last, out = None, []
-        for at_ms in pdf["at_ms"]:
-            ok = last is None or at_ms - last >= 300_000
-            out.append(ok)
-            last = at_ms if ok else last
-        return pdf.assign(passed=out)[["event_id", "passed"]]
+    def step(last, row):
+        passed = last is None or row.at_ms - last >= 300_000
+        return (row.at_ms if passed else last), passed
 
-    return events(spark, sf_dir).select("user_id", "event_id", "at_ms").groupBy("user_id").applyInPandas(one, "event_id long, passed boolean")
+    rows = events(spark, sf_dir).select("user_id", "at_ms", "event_id")
+    return sorted_fold(rows, ["user_id"], ["at_ms", "event_id"], step, "passed", "boolean").select("event_id", "passed")

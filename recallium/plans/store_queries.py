@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from recallium.catalog import query
 from recallium.functions import patterns as P
+from recallium.sources import files
 from recallium.sources.memories import BASE_SQL, DAY, NOW, USAGE_SQL, base, not_found, scope_filter, table, updated, usage
 
 
@@ -78,10 +79,16 @@ def import_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first.join(known, "text", "left_anti").select("item_id", "text", F.lit("global").alias("scope"), F.lit(0.7).alias("importance"))
 
 
-@query("WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) SELECT doc_id, count(*) AS bullets FROM (SELECT doc_id, trim(regexp_replace(line, '^[-*+]?\\s*', '')) AS t FROM l) WHERE length(t) >= 20 GROUP BY 1")
-def markdown_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
-    return lines.where(F.length(F.trim(F.regexp_replace("line", r"^[-*+]?\s*", ""))) >= 20).groupBy("doc_id").agg(F.count(F.lit(1)).alias("bullets"))
+MARKDOWN = ["\ufeff- a first bullet, of some length\n* second one\r\n+ third bullet here\nno bullet at all, however long it may be\n-no space behind it\n- ab\n  - indented, so no bullet", "# Title\n\n*\ttab behind the star\n-  two blanks"]
+_MD = " UNION ALL ".join("SELECT {} AS doc_id, '{}' AS text".format(-1 - i, t.replace("'", "''")) for i, t in enumerate(MARKDOWN))
+
+
+@query(f"""WITH d AS (SELECT doc_id, text FROM documents UNION ALL {_MD}), l AS (SELECT doc_id, unnest(string_split_regex(ltrim(text, chr(65279)), '\r?\n')) AS line FROM d),
+ t AS (SELECT doc_id, regexp_replace(substr(line, 3), '^\\s+|\\s+$', '', 'g') AS bullet FROM l WHERE regexp_matches(line, '^[-*+]\\s')) SELECT DISTINCT doc_id, bullet FROM t WHERE length(bullet) >= 5""")
+def markdown_bullets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bullets of at least five characters, once each a document."""
+    samples = spark.createDataFrame([(-1 - i, t) for i, t in enumerate(MARKDOWN)], "doc_id long, text string")
+    return files.bullets(table(spark, sf_dir, "documents").select("doc_id", "text").unionByName(samples), ["doc_id"], 5).distinct()
 
 
 @query(f"WITH {BASE_SQL}, k AS (SELECT *, category || ':' || lower(text[1:60]) AS key FROM base) SELECT doc_id, row_number() OVER (PARTITION BY key ORDER BY ts DESC, doc_id) > 1 AS archived FROM k")
@@ -123,13 +130,14 @@ def stale_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", ((F.length(F.trim("text")) < 2) | (F.substring("text", 1, 60) != F.substring(F.lower("text"), 1, 60))).alias("stale"))
 
 
-@query(f"""WITH {BASE_SQL}, l AS (SELECT source, category, importance, ts, doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM base WHERE doc_id % 9 = 0),
- f AS (SELECT source, lower(trim(line)) AS key, min(doc_id * 100000 + pos) AS first FROM l WHERE trim(line) <> '' GROUP BY 1, 2) SELECT source, count(*) AS lines, min(first) AS first_line FROM f GROUP BY 1""")
+@query(f"""WITH {BASE_SQL}, l AS (SELECT source, doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM base),
+ f AS (SELECT source, lower(trim(line)) AS key, min((doc_id, pos)) AS first FROM l WHERE trim(line) <> '' GROUP BY 1, 2), g AS (SELECT source, count(*) AS lines, min(first) AS first FROM f GROUP BY 1) SELECT source, lines, first[1] AS first_doc, first[2] AS first_pos FROM g""")
 def merge_cluster_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of a cluster, once each without regard to case, at their first place."""
-    lines = base(spark, sf_dir).where("doc_id % 9 = 0").select("source", "doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line")).where(F.trim("line") != "")
-    first = lines.groupBy("source", F.lower(F.trim("line")).alias("key")).agg(F.min(F.col("doc_id") * 100000 + F.col("pos") + 1).alias("first"))
-    return first.groupBy("source").agg(F.count(F.lit(1)).alias("lines"), F.min("first").alias("first_line"))
+    """Lines of a cluster, once each without regard to case, at their first place. Lines move as 128-bit digests."""
+    lines = base(spark, sf_dir).select("source", "doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line")).where(F.trim("line") != "")
+    first = lines.groupBy("source", F.md5(F.lower(F.trim("line")).cast("binary")).alias("key")).agg(F.min(F.struct("doc_id", (F.col("pos") + 1).cast("long").alias("pos"))).alias("first"))
+    merged = first.groupBy("source").agg(F.count(F.lit(1)).alias("lines"), F.min("first").alias("first"))
+    return merged.select("source", "lines", F.col("first.doc_id").alias("first_doc"), F.col("first.pos").alias("first_pos"))
 
 
 @query(f"""WITH {BASE_SQL}, g AS (SELECT source, category, count(*) AS n, max(importance) AS top, min(doc_id) AS first FROM base GROUP BY 1, 2) SELECT source, category FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n DESC, top DESC, first) AS r FROM g) WHERE r = 1""")
@@ -138,16 +146,22 @@ def plurality_category(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.withColumn("r", F.row_number().over(Window.partitionBy("source").orderBy(F.desc("n"), F.desc("top"), "first"))).where("r = 1").select("source", "category")
 
 
-@query(f"""WITH {BASE_SQL}, s AS (SELECT doc_id, source, 1.0 / (1 + exp(0.25 * (({NOW} - ts) / {DAY}.0 - 45))) AS score, text[1:30] AS line, ts FROM base WHERE doc_id % 2 = 0), g AS (SELECT source, lower(line) AS key, round(sum(score), 9) AS total, arg_max(line, ts * 1000000 + doc_id) AS line, max(ts) AS latest FROM s GROUP BY 1, 2)
- SELECT source, line, round(total, 6) AS score FROM g QUALIFY row_number() OVER (PARTITION BY source ORDER BY total DESC, latest DESC, line) <= 8""")
+_LINE_KEY = "lower(trim(regexp_replace(line, '\\s+', ' ', 'g')))"
+
+
+@query(f"""WITH {BASE_SQL}, l AS (SELECT doc_id, source, ts, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM base),
+ s AS (SELECT *, {_LINE_KEY} AS key, 1.0 / (1 + exp(0.25 * (({NOW} - ts) / {DAY}.0 - 45))) AS score FROM l),
+ g AS (SELECT source, key, round(sum(score), 9) AS total, arg_max(line, (ts, doc_id, pos)) AS line, max(ts) AS latest FROM s WHERE key <> '' GROUP BY 1, 2)
+ SELECT source, line, round(total, 6) AS score FROM g QUALIFY row_number() OVER (PARTITION BY source ORDER BY total DESC, latest DESC, key) <= 8""")
 def reflection_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scores of equal lines add up; the latest wording is shown; eight lines a source."""
-    s = base(spark, sf_dir).where("doc_id % 2 = 0").select("source", "doc_id", "ts", F.substring("text", 1, 30).alias("line"), (1.0 / (1 + F.exp(0.25 * ((NOW - F.col("ts")) / float(DAY) - 45)))).alias("score"))
-    g = s.groupBy("source", F.lower("line").alias("key")).agg(F.round(F.sum("score"), 9).alias("total"), F.max_by("line", F.col("ts") * 1000000 + F.col("doc_id")).alias("line"), F.max("ts").alias("latest"))
-    w = Window.partitionBy("source").orderBy(F.desc("total"), F.desc("latest"), "line")
-    return g.withColumn("r", F.row_number().over(w)).where("r <= 8").select("source", "line", F.round("total", 6).alias("score"))
+    """Scores of equal lines add up; the latest wording is shown; the best eight lines a source."""
+    lines = base(spark, sf_dir).select("source", "doc_id", "ts", F.posexplode(F.split("text", "\n")).alias("pos", "line"), (1.0 / (1 + F.exp(0.25 * ((NOW - F.col("ts")) / float(DAY) - 45)))).alias("score"))
+    s = lines.withColumn("key", F.lower(F.trim(F.regexp_replace("line", r"\s+", " ")))).where("key <> ''")
+    g = s.groupBy("source", "key").agg(F.round(F.sum("score"), 9).alias("total"), F.max(F.struct("ts", "doc_id", "pos", "line")).alias("latest"))
+    w = Window.partitionBy("source").orderBy(F.desc("total"), F.desc("latest.ts"), "key")
+    return g.withColumn("r", F.row_number().over(w)).where("r <= 8").select("source", F.col("latest.line").alias("line"), F.round("total", 6).alias("score"))
 
 
-@query()
+@query(f"WITH n AS (SELECT doc_id, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS s FROM documents) SELECT doc_id FROM n WHERE NOT (length(s) < 5 OR {P.any_sql('s', P.DENIAL + P.META_QUESTION + P.BOILERPLATE + P.DIAGNOSTIC + P.PLATFORM)})")
 def noise_free_memories(spark: SparkSession, sf_dir: str) -> DataFrame:
     return base(spark, sf_dir).where(~P.is_noise(F.col("text"))).select("doc_id")

@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 
 from recallium.catalog import query
 from recallium.functions import patterns as P
+from recallium.operators import chunking
 from recallium.sources.memories import NOW, table
 
 SAMPLES = [
     "I don't have any information", "I'm not sure about that", "do you remember my name?", "你还记得吗", "hello there", "HEARTBEAT ok", "query -> none", "Model switched to large", "ok", "thanks!", "123 456", "👍", "git push origin main please",
     "what did we decide last time about the config", "I prefer tabs over spaces", "we decided to switch to parquet", "My email is jo@example.org", "我my是 prefer", "喜欢 喝茶", "call me at +12345678901", "delete all memory entries now", "** bold **\n- list item here",
     "<b>markup I like</b>", "always use utc: times are fixed", "owner -> the data team", "deadline is tomorrow", "see you next week", "the day after tomorrow", "tonight we deploy", "who is the owner of billing?", "when did the outage happen", "how to install the api",
-    "error: no such file /home/x/y 0xff 42", "token = \"abcdef123456\" and key", "Traceback (most recent call last)", "the service is called atlas", "[cron:1 job] run backup", "Sender (untrusted metadata): x", "System: [2024-01-01 10:00:00 GMT+1] started", "the container hung and the logging stopped", "配置 出错", "", "   ", "short", "yes.", "where?", "记住 this", "status permission denied exit code 1",
+    "error: no such file /home/x/y 0xff 42", "token = \"abcdef123456\" and key", "Traceback (most recent call last)", "the service is called atlas", "[cron:1 job] run backup", "Sender (untrusted metadata): x", "System: [2024-01-01 10:00:00 GMT+1] started", "the container hung and the logging stopped", "配置 出错", "", "   ", "short", "yes.", "where?", "记住 this", "Authorization: Bearer abc.def-123==", "-----BEGIN RSA PRIVATE KEY-----\nMIIE\n-----END RSA PRIVATE KEY-----", "postgres://user:pass@host/db and C:\\Users\\x /Users/y sk-ant-aaaaaaaaaaaaaaaaaaaaaaaa github_pat_aaaaaaaaaaaaaaaaaaaaaaaa", "password='hunter22'; token=abcdefgh", "记忆 找不到", "status permission denied exit code 1",
 ]
 _VALUES = ", ".join(f"({-1 - i}, '{s.replace(chr(39), chr(39) * 2)}')" for i, s in enumerate(SAMPLES))
 TEXTS_SQL = f"texts AS (SELECT doc_id, text FROM documents UNION ALL SELECT * FROM (VALUES {_VALUES}) AS s(doc_id, text)), t AS (SELECT doc_id, text, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS s FROM texts)"
@@ -50,7 +51,7 @@ _rule("infer_expiry", lambda t: P.first_of(t, [(NOW + h * 3600000, p) for p, h i
 _rule("error_signal", lambda t: P.any_of(F.lower(t), P.ERROR_SIGNALS, ""), P.any_sql("lower(text)", P.ERROR_SIGNALS, ""))
 _rule("redact_secrets", P.redact, P.redact_sql("text"))
 _SIGNATURE = "lower(" + P.redact_sql("text") + ")"
-for _p, _r in ((r"/[^ \n\r\t]+", "<path>"), (r"\b0x[0-9a-f]+\b", "<hex>"), (r"\b\d+\b", "<n>"), (r"\s+", " ")):
+for _p, _r in ((r"[a-z]:\\[^ \n\r\t]+", "<path>"), (r"/[^ \n\r\t]+", "<path>"), (r"\b0x[0-9a-f]+\b", "<hex>"), (r"\b\d+\b", "<n>"), (r"\s+", " ")):
     _SIGNATURE = f"regexp_replace({_SIGNATURE}, '{_p}', '{_r}', 'g')"
 _rule("error_signature", lambda t: F.substring(F.sha2(P.error_signature(t), 256), 1, 16), f"substr(sha256(substr(trim({_SIGNATURE}), 1, 240)), 1, 16)")
 _TOPIC = "CASE WHEN regexp_extract(s, '^(.{1,120}?)[：:]', 1) <> '' THEN regexp_extract(s, '^(.{1,120}?)[：:]', 1) WHEN regexp_extract(s, '^(.{1,120}?)(?:\\s*->|\\s*=>)', 1) <> '' THEN regexp_extract(s, '^(.{1,120}?)(?:\\s*->|\\s*=>)', 1) ELSE s END"
@@ -76,40 +77,26 @@ def query_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
         new = F.filter(F.array(*map(F.lit, expansions)), lambda e: ~F.contains(lower, F.lower(e)))
         groups.append(F.when(hit, new).otherwise(F.array().cast("array<string>")))
     added = F.slice(F.array_distinct(F.flatten(F.array(*groups))), 1, P.MAX_EXPANSIONS)
-    # applied to short texts only, as queries are
-    return texts(spark, sf_dir).where(F.length("text") <= 200).select("doc_id", F.array_join(F.concat(F.array("text"), added), " ").alias("expanded"))
+    return texts(spark, sf_dir).select("doc_id", F.array_join(F.concat(F.array("text"), added), " ").alias("expanded"))
 
 
 @query()
 def chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chunks of at most 4000 characters with 200 of overlap, cut at a sentence end, else a line end, else white space."""
-    import re
-    from collections.abc import Iterator
-
-    import pandas as pd
-
-    cuts = [re.compile(r"[.!?。！？]\s"), re.compile(r"\n"), re.compile(r"\s")]
-
-    def end_of(text: str, start: int, most: int = 4000, least: int = 200) -> int:
-        if len(text) - start <= most:
-            return len(text)
-        for cut in cuts:
-            ends = [m.end() for m in cut.finditer(text, start + least, start + most)]
-            if ends:
-                return ends[-1]
-        return start + most
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = []
-            for doc_id, text in zip(frame["doc_id"], frame["text"].fillna(""), strict=True):
-                start, k = 0, 0
-                while start < len(text):
-                    end = end_of(text, start)
-                    rows.append((doc_id, k, start, end))
-                    if end >= len(text):
-                        break
-                    start, k = max(end - 200, start + 1), k + 1
-            yield pd.DataFrame(rows, columns=["doc_id", "chunk", "start", "end"])
-
-    return table(spark, sf_dir, "documents").select("doc_id", "text").mapInPandas(run, "doc_id long, chunk int, start long, end long")
+    """Chunks of at most 4000 characters and 50 lines with 200 of overlap, as trimmed code-point ranges."""
+    return chunking.chunks(table(spark, sf_dir, "documents"))
+
+
+@query()
+def smart_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks sized by the limit of an embedding model and the share of CJK characters."""
+    return chunking.chunks(table(spark, sf_dir, "documents"), chunking.settings(F.col("text"), "all-MiniLM-L6-v2"))
+
+
+_SHARE = f"len(regexp_extract_all(coalesce(text, ''), '{chunking.CJK}')) / CAST(greatest(1, len(regexp_extract_all(coalesce(text, ''), '[^ \t\n\v\f\r]'))) AS DOUBLE)"
+
+
+@query(f"""WITH d AS (SELECT doc_id, CASE WHEN {_SHARE} > 0.3 THEN 2.5 ELSE 1.0 END AS divisor FROM documents)
+ SELECT doc_id, CAST(greatest(200, floor(8192 * 0.7 / divisor)) AS INTEGER) AS most, CAST(floor(8192 * 0.05 / divisor) AS INTEGER) AS overlap, CAST(greatest(100, floor(8192 * 0.1 / divisor)) AS INTEGER) AS least FROM d""")
+def chunk_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes for a model of 8192 tokens."""
+    return table(spark, sf_dir, "documents").select("doc_id", chunking.settings(F.col("text"), None).alias("c")).select("doc_id", "c.most", "c.overlap", "c.least")

@@ -24,8 +24,12 @@ def pick(value: Column, *options) -> Column:
 
 
 def millis(column: str) -> Column:
-    """Epoch milliseconds of a timestamp without time zone, whatever the session's zone."""
-    return F.expr(f"timestampdiff(MILLISECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', CAST({column} AS TIMESTAMP_NTZ))")
+    """Epoch milliseconds of a timestamp without time zone, whatever the session's zone; parts of a millisecond are cut off downwards."""
+    micros = F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', CAST({column} AS TIMESTAMP_NTZ))")
+    return F.floor((micros - F.pmod(micros, F.lit(1000))) / 1000).cast("long")
+
+
+MILLIS_SQL = "((epoch_us(ts) - ((epoch_us(ts) % 1000) + 1000) % 1000) // 1000)"
 
 
 def base(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,9 +83,9 @@ def usage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 USAGE_SQL = BASE_SQL + f""", used AS (SELECT user_id % (SELECT count(*) FROM documents) AS doc_id,
- count(*) FILTER (event_type = 'view') AS access_count, max(epoch_ms(ts)) FILTER (event_type = 'view') AS last_accessed_at,
- count(*) FILTER (event_type = 'click') AS injected_count, max(epoch_ms(ts)) FILTER (event_type = 'click') AS last_injected_at,
- max(epoch_ms(ts)) FILTER (event_type = 'purchase') AS last_confirmed_at, count(*) FILTER (event_type = 'error') AS bad_count FROM events GROUP BY 1),
+ count(*) FILTER (event_type = 'view') AS access_count, max({MILLIS_SQL}) FILTER (event_type = 'view') AS last_accessed_at,
+ count(*) FILTER (event_type = 'click') AS injected_count, max({MILLIS_SQL}) FILTER (event_type = 'click') AS last_injected_at,
+ max({MILLIS_SQL}) FILTER (event_type = 'purchase') AS last_confirmed_at, count(*) FILTER (event_type = 'error') AS bad_count FROM events GROUP BY 1),
 usage AS (SELECT b.*, coalesce(u.access_count, 0) AS access_count, u.last_accessed_at, coalesce(u.injected_count, 0) AS injected_count, u.last_injected_at,
  u.last_confirmed_at, coalesce(u.bad_count, 0) AS bad_count, CAST(b.doc_id % 8 AS DOUBLE) / 10 + 0.3 AS confidence,
  CASE b.doc_id % 3 WHEN 0 THEN 'core' WHEN 1 THEN 'working' ELSE 'peripheral' END AS tier,
