@@ -1,0 +1,39 @@
+"""A bank of noise prototypes: fixed ones and learned ones, of which only the latest stay."""
+
+from __future__ import annotations
+
+from collections.abc import Iterable
+
+import numpy as np
+
+# Nearness that makes noise, nearness that makes a new prototype needless, nearness of the first two that makes the
+# bank useless, number of learned prototypes.
+NOISE, KNOWN, DEGENERATE, MOST_LEARNED = 0.82, 0.95, 0.98, 200
+
+
+def _unit(v) -> np.ndarray:
+    v = np.asarray(v, float)
+    return v / max(np.linalg.norm(v), 1e-300)
+
+
+class Bank:
+    def __init__(self, prototypes: Iterable):
+        self.fixed, self.learned = [_unit(v) for v in prototypes if len(v)], []
+        self.usable = bool(self.fixed) and not (len(self.fixed) > 1 and self.fixed[0] @ self.fixed[1] > DEGENERATE)
+
+    def vectors(self) -> list[np.ndarray]:
+        return [*self.fixed, *self.learned] if self.usable else []
+
+    def nearest(self, vector) -> float:
+        all_of = self.vectors()
+        return float(max(np.stack(all_of) @ _unit(vector))) if all_of else -1.0
+
+    def is_noise(self, vector, threshold: float = NOISE) -> bool:
+        return self.nearest(vector) >= threshold
+
+    def learn(self, vector) -> bool:
+        """Adds a prototype unless one near to it is there; beyond the limit the oldest learned one goes."""
+        new = self.usable and self.nearest(vector) < KNOWN
+        if new:
+            self.learned = [*self.learned, _unit(vector)][-MOST_LEARNED:]
+        return new

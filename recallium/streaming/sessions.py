@@ -57,3 +57,58 @@ def fold_access_counts(events: DataFrame, path: str, checkpoint: str):
         counts.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
     return events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+MESSAGES = "session string, place long, role string, text string, at timestamp"
+NEW_TEXTS = "session string, place long, role string, text string, turn long, recent array<string>"
+
+
+def new_texts(messages: DataFrame, recent: int = 6, ttl: str = "24 hours") -> DataFrame:
+    """messages (MESSAGES), in which a session may send its whole history again -> the texts not seen before, each
+    with its turn (user messages so far) and the latest texts of the session. The state of a session is a count, a turn and a ring of
+    `recent` texts; it is dropped when the watermark is a ttl behind its last message."""
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        seen, turn, ring = state.get if state.exists else (0, 0, [])
+        ring, out, sent = list(ring), [], pd.concat(list(frames))
+        for row in sent.drop_duplicates("place").sort_values("place").itertuples(index=False):
+            if row.place >= seen:
+                seen, turn = int(row.place) + 1, turn + (row.role == "user")
+                ring = [*ring, row.text][-recent:]
+                out.append((key[0], row.place, row.role, row.text, turn, list(ring)))
+        state.update((seen, turn, ring))
+        forget = int((sent["at"].max() + pd.Timedelta(ttl)).timestamp() * 1000)
+        state.setTimeoutTimestamp(max(forget, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame(out, columns=[x.split()[0] for x in NEW_TEXTS.split(", ")])
+
+    return messages.withWatermark("at", ttl).groupBy("session").applyInPandasWithState(step, NEW_TEXTS, "seen long, turn long, recent array<string>", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def shown_memories(recalls: DataFrame, apart: int = 8) -> DataFrame:
+    """recalls (session, turn, memory) -> those shown: a memory that was shown less than `apart` turns ago is not shown again. The
+    state holds one turn for each memory and session."""
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last = state.get[0] if state.exists else None
+        shown = []
+        for turn in sorted(int(t) for f in frames for t in f["turn"]):
+            if last is None or turn - last >= apart:
+                last = turn
+                shown.append((*key, turn))
+        if last is not None:
+            state.update((last,))
+        yield pd.DataFrame(shown, columns=["session", "memory", "turn"])
+
+    return recalls.groupBy("session", "memory").applyInPandasWithState(step, "session string, memory long, turn long", "last long", "append", GroupStateTimeout.NoTimeout)
+
+
+def learn_noise(vectors: DataFrame, path: str, checkpoint: str):
+    """Appends vectors of texts that gave nothing to the learned noise prototypes; a repeated batch replaces itself."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    return vectors.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
