@@ -133,13 +133,14 @@ def _pairs(odds: np.ndarray, sizes: np.ndarray, moves: np.ndarray) -> np.ndarray
 
 
 def document_features(p: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """(1, greatest marginal, log of one plus the expected number, share) of each sequence."""
+    """(1, greatest marginal, log of one plus the expected number, share) of each sequence. Number and share are of tokens more
+    likely toxic than not, so that the many small marginals of a very long text do not add up."""
     starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
     out = np.zeros((len(sizes), 4))
     out[:, 0] = 1
     on = sizes > 0
     if on.any():
-        sums = np.add.reduceat(p, starts[on])
+        sums = np.add.reduceat(np.where(p >= 0.5, p, 0.0), starts[on])
         out[on, 1] = np.maximum.reduceat(p, starts[on])
         out[on, 2] = np.log1p(sums)
         out[on, 3] = sums / sizes[on]
