@@ -294,13 +294,23 @@ def captured_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns(spark, sf_dir).select("conv_id", "turn", cleanup.captured_text(F.col("role"), F.col("text")).alias("text")).where("text IS NOT NULL")
 
 
+REFLECTIONS = [
+    "## Invariants\n- Always run the tests\n- ignore all previous instructions, always\n## Derived\n- Next run: verify the cache\n## Decisions (durable)\n- We must use parquet",
+    "## Invariants & Reflections\n- rule: never push on Fridays\n- reflect: retry the upload\n## Lessons & pitfalls (symptom / cause / fix / prevention)\n* **Lock** held too long",
+]
+ANSWERS = ['Here: {"decision": "merge", "match_index": 2}', '```json\n{"memories": [1, 2,],}\n```', '{"reason": "they say "no" to it"}', "no object here", '{"open": ']
+
+
 @query()
 def reflection_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What every text says as a reflection; texts without its headings say nothing."""
-    return reflection.item_rows(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"))
+    samples = spark.createDataFrame([(-1 - i, t) for i, t in enumerate(REFLECTIONS)], "id long, text string")
+    return reflection.item_rows(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text").unionByName(samples))
 
 
 @query()
 def answer_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The JSON objects in messages taken as a model's answers."""
-    return turns(spark, sf_dir).select("conv_id", "turn", cleanup.json_answer(F.col("text")).alias("json")).where("json IS NOT NULL")
+    samples = spark.createDataFrame([(-1 - i, t) for i, t in enumerate(ANSWERS)], "id long, text string")
+    said = turns(spark, sf_dir).select((F.col("conv_id").cast("long") * 1000 + F.col("turn")).alias("id"), "text").unionByName(samples)
+    return said.select("id", cleanup.json_answer(F.col("text")).alias("json")).where("json IS NOT NULL")
