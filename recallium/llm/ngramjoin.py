@@ -182,7 +182,8 @@ def linked(rows: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL
     keyed = found.where(F.col("keys").isNotNull()).select("node", F.explode("keys").alias("key"))
     buckets = keyed.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub < last").select("key", "hub")
     edges = keyed.join(buckets, "key").where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
-    near = components(edges).df
+    stored_near = components(edges)
+    near = stored_near.df
     cluster = near.select(F.col("a").alias("node"), F.col("b").alias("cluster")).unionByName(near.select(F.col("b").alias("node"), F.col("b").alias("cluster")).distinct())
 
     # shingle sets of the nodes in clusters only: a bit field of bounded size spares the others, the join leaves exactly these
@@ -206,11 +207,13 @@ def linked(rows: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL
                 of.trim()
                 yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([len(s) // 8 for s in sets], pa.int32()), pa.array(sets, pa.binary())], ["node", "size", "set"])
 
-    sets = Staged(rows.mapInArrow(second, "node long, size int, set binary"), "shingles").df
+    stored_sets = Staged(rows.mapInArrow(second, "node long, size int, set binary"), "shingles")
+    sets = stored_sets.df
     copies = found.where(F.col("node").isNotNull()).groupBy("node").agg(F.count(F.lit(1)).alias("n"))
     members = sets.select("node", "size").distinct().join(cluster, "node").join(copies, "node")
     # blocks: by size (within a factor of 1/threshold only neighbouring bins can link), then by hash
-    members = Staged(members.withColumn("bin", F.floor(F.log("size") / F.lit(-math.log(threshold))).cast("int")), "members").df
+    stored_members = Staged(members.withColumn("bin", F.floor(F.log("size") / F.lit(-math.log(threshold))).cast("int")), "members")
+    members = stored_members.df
     counted = members.groupBy("cluster", "bin").agg(F.count(F.lit(1)).alias("m"))
     shape = counted.groupBy("cluster").agg(F.sum("m").alias("m"), F.map_from_entries(F.collect_list(F.struct("bin", F.ceil(F.col("m") / block).cast("int")))).alias("parts"))
     placed = members.join(shape, "cluster")
@@ -228,6 +231,8 @@ def linked(rows: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL
     full = dealt.join(sets.select("node", "set").dropDuplicates(["node"]), "node")
     schema = "node long, links long, other long"
     results = Staged(full.repartition("cluster", "pair").sortWithinPartitions("cluster", "pair", "node").mapInArrow(lambda b: _blocks(b, threshold), schema), "links").df
+    for done in (stored_near, stored_sets, stored_members):
+        done.drop()
     classes = components(results.where(F.col("other").isNotNull()).select(F.col("node").alias("a"), F.col("other").alias("b"))).df
     links = results.groupBy("node").agg(F.sum("links").alias("links"))
     return found.select("uid", "doc_id", "node"), copies.join(links, "node", "left"), classes.select(F.col("a").alias("node"), F.col("b").alias("class"))
