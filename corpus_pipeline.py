@@ -55,7 +55,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
+    docs, before = documents(spark, sf_dir), None
     for name, stage in STAGES:
-        docs = Staged(stage(spark, docs, sf_dir), f"pipeline-{name}").df
+        after = Staged(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if before:
+            before.drop()
+        docs, before = after.df, after
     return docs

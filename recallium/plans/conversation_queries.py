@@ -28,7 +28,7 @@ SAMPLES = [
 _EXTRA = " UNION ALL ".join("SELECT {} AS conv_id, {} AS turn, 'user' AS role, '{}' AS text".format(-1 - i // 6, i % 6, t.replace("'", "''")) for i, t in enumerate(SAMPLES))
 _C = f"c AS (SELECT conv_id, turn, role, text, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS s FROM (SELECT conv_id, turn, role, text FROM conversations UNION ALL {_EXTRA}))"
 _SCORE = f"""CASE WHEN s = '' THEN 0.0 WHEN {P.any_sql("s", TOOL)} THEN 1.0 WHEN {P.any_sql("s", CORRECTION)} THEN 0.95 WHEN {P.any_sql("s", DECISION)} THEN 0.85 WHEN {P.any_sql("s", ACKNOWLEDGED)} THEN 0.1
- WHEN length(s) > CASE WHEN regexp_matches(s, '{P.CJK}') THEN 30 ELSE 80 END THEN CASE WHEN regexp_matches(s, '^<[a-z-]+>') AND regexp_matches(s, '</[a-z-]+>\s*$') THEN 0.3 ELSE 0.7 END WHEN regexp_matches(s, '[?？]') THEN 0.5 ELSE 0.4 END"""
+ WHEN length(s) > CASE WHEN regexp_matches(s, '{P.CJK}') THEN 30 ELSE 80 END THEN CASE WHEN regexp_matches(s, '^<[a-z-]+>') AND regexp_matches(s, '</[a-z-]+>\\s*$') THEN 0.3 ELSE 0.7 END WHEN regexp_matches(s, '[?？]') THEN 0.5 ELSE 0.4 END"""
 
 
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
