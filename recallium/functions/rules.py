@@ -180,3 +180,23 @@ def agent_of_session(key: Column) -> Column:
 def scopes_of(value: str | None) -> list[str]:
     """A comma-separated setting as scope names."""
     return [x.strip() for x in (value or "").split(",") if x.strip()]
+
+
+_TO_END, _TO_SPACE = r"(?s)^(.*?)(?:[.!?]\s|[。！？])", "(?s)^(.*) "
+
+
+def brief(text: Column, most: int = 80) -> Column:
+    """The first sentence if it is short enough, else the text, else its opening up to a blank that stands late enough."""
+    end = F.length(F.regexp_extract(text, _TO_END, 1))
+    opening = F.substring(text, 1, most)
+    words = F.regexp_extract(opening, _TO_SPACE, 1)
+    cut = F.concat(F.when(F.length(words) > most * 0.6, words).otherwise(opening), F.lit("..."))
+    return F.when((end > 0) & (end < most), F.substring(text, F.lit(1), end + 1)).when(F.length(text) <= most, text).otherwise(cut)
+
+
+def at_depth(text: Column, category: Column, scope: Column, depth: Column, score: Column) -> Column:
+    """A line of recall: l0 brief, l1 up to 300 characters, else whole."""
+    percent = F.concat(F.lit(" ("), F.round(score * 100).cast("int").cast("string"), F.lit("%)"))
+    medium = F.when(F.length(text) > 300, F.concat(F.substring(text, 1, 297), F.lit("..."))).otherwise(text)
+    placed = lambda t: F.concat(F.lit("- ["), category, F.lit(":"), scope, F.lit("] "), t, percent)
+    return F.when(depth == "l0", F.concat(F.lit("- ["), category, F.lit("] "), brief(text), percent)).when(depth == "l1", placed(medium)).otherwise(placed(text))

@@ -10,7 +10,7 @@ from recallium.functions import patterns as P
 from recallium.functions import rules as R
 from recallium.plans.conversation_queries import _C, turns
 from recallium.plans.text_queries import SAMPLES as TEXT_SAMPLES
-from recallium.sources.memories import BASE_SQL, base, table
+from recallium.sources.memories import BASE_SQL, USAGE_SQL, base, pick, table, usage
 
 SAMPLES = [
     *TEXT_SAMPLES, "I live in Oslo and currently work at a bank", "collateral", "今天开会", "我的名字是 小明。", "My name is 'Ada Lovelace', really", "They calls themselves \"Bo\"", "请叫我老王!", "please be addressed as Dr. X", "以后称呼我为 阿宝", "## Identity\n- Name: Eve", "- Timezone: UTC",
@@ -121,3 +121,14 @@ def shared_scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = base(spark, sf_dir).select("doc_id", F.coalesce("scope", F.lit("global")).alias("scope"))
     counted = rows.groupBy("scope").agg(F.count(F.lit(1)).alias("n"))
     return access.join(counted, "scope", "left").groupBy("agent").agg(F.sum(F.coalesce("n", F.lit(0))).alias("n"))
+
+
+_BRIEF = "CASE WHEN length(regexp_extract(text, '(?s)^(.*?)(?:[.!?]\\s|[。！？])', 1)) BETWEEN 1 AND 79 THEN substr(text, 1, length(regexp_extract(text, '(?s)^(.*?)(?:[.!?]\\s|[。！？])', 1)) + 1) WHEN length(text) <= 80 THEN text WHEN length(regexp_extract(substr(text, 1, 80), '(?s)^(.*) ', 1)) > 48 THEN regexp_extract(substr(text, 1, 80), '(?s)^(.*) ', 1) || '...' ELSE substr(text, 1, 80) || '...' END"
+_PLACE = "'- [' || category || ':' || coalesce(scope, 'global') || '] '"
+
+
+@query(f"""WITH {USAGE_SQL} SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN '- [' || category || '] ' || {_BRIEF} WHEN 1 THEN {_PLACE} || CASE WHEN length(text) > 300 THEN substr(text, 1, 297) || '...' ELSE text END ELSE {_PLACE} || text END || ' (' || CAST(round(s * 100) AS INTEGER) || '%)' AS line FROM usage""")
+def recall_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each memory as a line of recall, in one of three depths."""
+    depth = pick(F.col("doc_id") % 3, "l0", "l1", "full")
+    return usage(spark, sf_dir).select("doc_id", R.at_depth(F.col("text"), F.col("category"), F.coalesce("scope", F.lit("global")), depth, F.col("s")).alias("line"))

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from recallium.functions import cleanup, metadata, reflection, vector
+from recallium.functions import cleanup, metadata, reflection, rules, vector
 from recallium.operators import chunking, folds, maintenance, noise
 from recallium.plans.conversation_queries import compressed, score
 from recallium.sources import files, tail
@@ -255,3 +255,9 @@ def test_maintenance(spark, tmp_path):
     new = maintenance.re_embed(rows, rows.where("doc_id < 2"), lambda texts: [[float(len(t))] for t in texts]).collect()
     assert sorted(r["doc_id"] for r in new) == [2, 3, 4, 5] and {r["vector"][0] for r in new} == {2.0}
     assert {r["utility"] for r in maintenance.with_utility(rows, lambda t: [2.0] * len(t)).collect()} == {1.0} and {r["utility"] for r in maintenance.with_utility(rows, lambda t: 1 / 0).collect()} == {0.5}
+
+
+def test_brief(spark):
+    cases = {"One. Two.": "One.", "没有空格。然后": "没有空格。", "x" * 100: "x" * 80 + "...", "word " * 30: ("word " * 16).rstrip()[:79].rsplit(" ", 0)[0] + "...", ". starts": ". starts", "": "", "a" * 30 + " " + "b" * 90: "a" * 30 + " " + "b" * 49 + "..."}
+    rows = spark.createDataFrame([(t,) for t in cases], "text string").select("text", rules.brief(F.col("text")).alias("got")).collect()
+    assert {r["text"]: r["got"] for r in rows} == cases
