@@ -57,6 +57,21 @@ def with_id(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *more)
 
 
+#: A key is hot from one part in so many of all rows on.
+HOT_SHARE = 1000
+
+
+def looked_up(rows: DataFrame, table: DataFrame, key: str, total: int, how: str) -> DataFrame:
+    """rows joined ("inner" or "left") to table, which has each key once and, as weight, how many rows hold it; weight is dropped.
+
+    Keys of over total / HOT_SHARE rows are broadcast: their weights sum to the number of keyed rows, which is a fixed multiple of
+    total, so they are bounded in number whatever the input. Their rows stay where they are; the other keys are joined by a shuffle."""
+    is_hot = F.col("weight") * HOT_SHARE > total
+    hot, cold = F.broadcast(table.where(is_hot).drop("weight")), table.where(~is_hot).drop("weight")
+    others = rows.join(F.broadcast(table.where(is_hot).select(key)), key, "left_anti")
+    return rows.join(hot, key).unionByName(others.join(cold, key, how))
+
+
 class Memo(dict):
     """A dict that computes what it lacks; trim() bounds it between batches."""
 

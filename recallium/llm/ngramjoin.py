@@ -10,7 +10,8 @@ edges hold every pair that shares a band; within them all pairs are verified on
   spanning forest of the links found;
 * components of the forests are the classes.
 
-Node ids are 64-bit digests of the shingle sets.
+Node ids are 64-bit digests of the shingle sets. Buckets, clusters, classes and nodes that hold over a thousandth of all rows are
+looked up by broadcast, the others by a shuffle (looked_up), so that no large group meets in one task.
 
 Defined cases: a text of one to four words has one shingle, all its words; a null text or one without words has no
 shingle, no link and a class of its own; repeated rows are copies of each other; a null id is carried, and a class's id is the
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recallium.llm.common import Memo, Staged, utf8
+from recallium.llm.common import Memo, Staged, looked_up, utf8
 from recallium.llm.graph import components
 from recallium.llm.substrings import Bits, _bits
 
@@ -157,8 +158,11 @@ def _blocks(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.
         yield out(held)
 
 
-def linked(rows: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, words: int = WORDS, rows_a_band: int = ROWS, block: int = BLOCK) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """rows (uid, doc_id, text) -> (uid, doc_id, node), (node, n, links), (node, class); the latter two only for nodes with links."""
+def linked(rows: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, words: int = WORDS, rows_a_band: int = ROWS, block: int = BLOCK) -> tuple[DataFrame, DataFrame, int]:
+    """rows (uid, doc_id, text) -> (uid, doc_id, node), the nodes (node, n, least, first, links, class), and how many rows there are.
+
+    n: rows of the node, least: their least id, first: the id (null last) and uid of the row that dedup() keeps, links: rows of other
+    nodes at or above the threshold (null: none), class: the least node of the class."""
     bands = bands_for(threshold, recall, rows_a_band)
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,9 +183,10 @@ def linked(rows: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL
                 yield pa.RecordBatch.from_arrays([batch.column("uid"), batch.column("doc_id"), pa.array(nodes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["uid", "doc_id", "node", "keys"])
 
     found = Staged(rows.mapInArrow(first, "uid long, doc_id long, node long, keys array<long>"), "minhash").df
+    total = found.count()
     keyed = found.where(F.col("keys").isNotNull()).select("node", F.explode("keys").alias("key"))
-    buckets = keyed.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub < last").select("key", "hub")
-    edges = keyed.join(buckets, "key").where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
+    buckets = keyed.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("last"), F.count(F.lit(1)).alias("weight")).where("hub < last").select("key", "hub", "weight")
+    edges = looked_up(keyed, buckets, "key", total, "inner").where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
     stored_near = components(edges)
     near = stored_near.df
     cluster = near.select(F.col("a").alias("node"), F.col("b").alias("cluster")).unionByName(near.select(F.col("b").alias("node"), F.col("b").alias("cluster")).distinct())
@@ -209,14 +214,15 @@ def linked(rows: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL
 
     stored_sets = Staged(rows.mapInArrow(second, "node long, size int, set binary"), "shingles")
     sets = stored_sets.df
-    copies = found.where(F.col("node").isNotNull()).groupBy("node").agg(F.count(F.lit(1)).alias("n"))
-    members = sets.select("node", "size").distinct().join(cluster, "node").join(copies, "node")
+    first_row = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "uid")).alias("first")
+    copies = found.where(F.col("node").isNotNull()).groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("least"), first_row)
+    members = sets.select("node", "size").distinct().join(cluster, "node").join(copies.select("node", "n"), "node")
     # blocks: by size (within a factor of 1/threshold only neighbouring bins can link), then by hash
     stored_members = Staged(members.withColumn("bin", F.floor(F.log("size") / F.lit(-math.log(threshold))).cast("int")), "members")
     members = stored_members.df
     counted = members.groupBy("cluster", "bin").agg(F.count(F.lit(1)).alias("m"))
     shape = counted.groupBy("cluster").agg(F.sum("m").alias("m"), F.map_from_entries(F.collect_list(F.struct("bin", F.ceil(F.col("m") / block).cast("int")))).alias("parts"))
-    placed = members.join(shape, "cluster")
+    placed = looked_up(members, shape.withColumn("weight", F.col("m")), "cluster", total, "inner")
     single = F.col("m") <= block
     at = lambda d: F.coalesce(F.try_element_at("parts", F.col("bin") + d), F.lit(0))
     own = F.pmod(F.xxhash64("node"), at(0)).cast("int")
@@ -235,26 +241,19 @@ def linked(rows: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL
         done.drop()
     classes = components(results.where(F.col("other").isNotNull()).select(F.col("node").alias("a"), F.col("other").alias("b"))).df
     links = results.groupBy("node").agg(F.sum("links").alias("links"))
-    return found.select("uid", "doc_id", "node"), copies.join(links, "node", "left"), classes.select(F.col("a").alias("node"), F.col("b").alias("class"))
-
-
-def _classed(numbered: DataFrame, **options) -> DataFrame:
-    """numbered (uid, doc_id, text) -> uid, doc_id, class (null without words), n, links."""
-    found, nodes, classes = linked(numbered, **options)
-    known = nodes.join(classes, "node", "left").select("node", "n", "links", F.coalesce("class", "node").alias("class"))
-    return found.join(known, "node", "left")
+    known = copies.join(links, "node", "left").join(classes.select(F.col("a").alias("node"), F.col("b").alias("class")), "node", "left")
+    return found.select("uid", "doc_id", "node"), known.withColumn("class", F.coalesce("class", "node")), total
 
 
 def classes(docs: DataFrame, **options) -> DataFrame:
     """doc_id, class_id (the least id of the class), class_size and n_links (other documents at or above the threshold) of each row."""
-    rows = _classed(docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), **options)
-    ids = rows.where(F.col("class").isNotNull()).groupBy("class").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
-    return rows.join(ids, "class", "left").select(
-        "doc_id",
-        F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
-        F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"),
-        (F.coalesce("links", F.lit(0)) + F.coalesce(F.col("n") - 1, F.lit(0))).cast("long").alias("n_links"),
-    )
+    found, nodes, total = linked(docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), **options)
+    ids = nodes.groupBy("class").agg(F.min("least").alias("class_id"), F.sum("n").alias("class_size")).withColumn("weight", F.col("class_size"))
+    named = looked_up(nodes.select("node", "n", "links", "class"), ids, "class", total, "inner").withColumn("weight", F.col("n"))
+    rows = looked_up(found.where("node IS NOT NULL"), named, "node", total, "inner")
+    known = rows.select("doc_id", "class_id", "class_size", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).cast("long").alias("n_links"))
+    alone = found.where("node IS NULL").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(0).cast("long").alias("n_links"))
+    return known.unionByName(alone)
 
 
 def dedup(docs: DataFrame, **options) -> DataFrame:
@@ -262,7 +261,7 @@ def dedup(docs: DataFrame, **options) -> DataFrame:
     copy, so that a lost executor cannot number them anew."""
     names = docs.columns
     marked = Staged(docs.select(F.monotonically_increasing_id().alias("uid"), F.struct(*(F.col(f"`{c}`") for c in names)).alias("row")), "numbered").df
-    rows = _classed(marked.select("uid", F.col("row.doc_id").cast("long").alias("doc_id"), F.col("row.text").cast("string").alias("text")), **options)
-    best = rows.where(F.col("class").isNotNull()).groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "uid")).alias("best"))
-    keep = best.select("best.uid").unionByName(rows.where(F.col("class").isNull()).select("uid"))
+    found, nodes, _ = linked(marked.select("uid", F.col("row.doc_id").cast("long").alias("doc_id"), F.col("row.text").cast("string").alias("text")), **options)
+    best = nodes.groupBy("class").agg(F.min("first").alias("best"))
+    keep = best.select("best.uid").unionByName(found.where("node IS NULL").select("uid"))
     return marked.join(keep, "uid", "left_semi").select("row.*")

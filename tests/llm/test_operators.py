@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from recallium.llm import fuzzyhash, hmm, licenses, mixing, ngramjoin, packing, quality, substrings, tokencount, toxicity
+from recallium.llm import common, fuzzyhash, hmm, licenses, mixing, ngramjoin, packing, quality, substrings, tokencount, toxicity
 from recallium.llm.graph import components
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row string, uid long, node long, size long"
@@ -282,7 +282,10 @@ def test_marginals_against_enumeration():
     assert toxicity.marginals(odds, np.array([3]), moves) == pytest.approx(want)
 
 
-def test_ngram_join_against_brute_force(docs, empty):
+@pytest.mark.parametrize("share", [common.HOT_SHARE, 12, 0])
+def test_ngram_join_against_brute_force(docs, empty, share, monkeypatch):
+    """share: the default, at which all keys of so few rows are hot, one at which only the larger groups are, and one at which none is."""
+    monkeypatch.setattr(common, "HOT_SHARE", share)
     sets = []
     for r in ROWS:
         w = data(r).split()
@@ -297,13 +300,25 @@ def test_ngram_join_against_brute_force(docs, empty):
         if ROWS[i][0] is not None:
             least[k] = min(least.get(k, ROWS[i][0]), ROWS[i][0])
     want = sorted(((ROWS[i][0], least.get(label[i]), label.count(label[i]), len(links[i])) for i in range(len(ROWS))), key=str)
-    for options in ({}, {"block": 1}):
+    for options in ({}, {"block": 1}) if share else ({},):
         assert sorted(map(tuple, ngramjoin.classes(docs, **options).collect()), key=str) == want
     kept = ngramjoin.dedup(docs)
-    assert kept.columns == docs.columns and kept.count() == len(set(label))
+    want_ids = Counter(min(((r[0] is None, r[0]) for r, k in zip(ROWS, label, strict=True) if k == one), key=str)[1] for one in set(label))
+    assert kept.columns == docs.columns and Counter(r["doc_id"] for r in kept.collect()) == want_ids
     assert ngramjoin.classes(empty).count() == 0
 
 
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_looked_up_splits_hot_keys(spark, how):
+    held = [1] * 900 + [2] * 60 + [3] * 39 + [4, None]
+    rows = spark.createDataFrame(list(enumerate(held)), "i long, k long")
+    table = spark.createDataFrame([(1, 900, "a"), (2, 60, "b"), (3, 39, "c"), (9, 1, "d")], "k long, weight long, v string")
+    names = {1: "a", 2: "b", 3: "c"}
+    want = [(i, k, names.get(k)) for i, k in enumerate(held) if how == "left" or k in names]
+    found = [(r["i"], r["k"], r["v"]) for r in common.looked_up(rows, table, "k", len(held), how).collect()]
+    assert sorted(found, key=str) == sorted(want, key=str)
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (100, 102), (7, 7)], "a long, b long")
     out = {r["a"]: r["b"] for r in components(edges).df.collect()}
