@@ -39,7 +39,10 @@ def half_life(base: str) -> str:
     return f"(CASE WHEN access_count <= 0 THEN {base} ELSE least({base} + {base} * 0.5 * ln(1.0 + {effective}), {base} * 3.0) END)"
 
 
-CATEGORY_LIFE = "(CASE category WHEN 'preference' THEN 2.0 WHEN 'decision' THEN 1.5 WHEN 'entity' THEN 1.0 WHEN 'fact' THEN 1.0 WHEN 'other' THEN 0.5 ELSE 1.0 END)"
+# How much longer a kind (the newer category) lives, and its prior at admission.
+KINDS = (("profile", 2.0, 0.95), ("preferences", 1.5, 0.9), ("entities", 1.0, 0.75), ("events", 0.4, 0.45), ("cases", 0.5, 0.8), ("patterns", 1.0, 0.85))
+_OF_KIND = lambda i, other: "(CASE kind " + " ".join(f"WHEN '{k[0]}' THEN {k[i]}" for k in KINDS) + f" ELSE {other} END)"
+CATEGORY_LIFE = _OF_KIND(1, 1.0)
 BASE_LIFE = f"((CASE WHEN dynamic THEN 20.0 ELSE 60.0 END) * {CATEGORY_LIFE})"
 TIME_DECAY = clamp01(f"s * (0.5 + 0.5 * exp(-{age()} / {half_life(BASE_LIFE)}))", "s")
 BETA = "(CASE tier WHEN 'core' THEN 0.8 WHEN 'working' THEN 1.0 ELSE 1.3 END)"
@@ -56,20 +59,24 @@ TIER_NEXT = f"""CASE WHEN tier = 'peripheral' AND access_count >= 3 AND composit
  WHEN tier = 'working' AND (composite < 0.15 OR ({age()} > 60 AND access_count < 3)) THEN 'peripheral'
  WHEN tier = 'core' AND composite < 0.15 AND access_count < 3 THEN 'working' ELSE tier END"""
 IDLE = f"(CASE WHEN last_accessed_at IS NULL THEN {age()} ELSE {age('last_accessed_at')} END)"
-CONFIRM = f"(CASE WHEN last_confirmed_at IS NULL THEN 0.0 ELSE CASE WHEN {age('last_confirmed_at')} <= 0 THEN 1.0 ELSE 0.5 + 0.5 * power(2.0, -{age('last_confirmed_at')} / 14.0) END END)"
+CONFIRM = f"(CASE WHEN last_confirmed_at IS NULL THEN 0.0 ELSE CASE WHEN {age()} <= 0 THEN 1.0 ELSE 0.5 + 0.5 * power(2.0, -{age('last_confirmed_at')} / 14.0) END END)"
 TIER_AGE = f"(0.5 + 0.5 * (1.0 - exp(-{age()} / CASE tier WHEN 'core' THEN 30.0 WHEN 'working' THEN 14.0 ELSE 7.0 END)))"
 CONSOLIDATION = clamp01(
     f"0.25 * power(2.0, -{IDLE} / 14.0) + 0.20 * (1.0 - exp(-access_count / 8.0)) + 0.20 * (1.0 - exp(-injected_count / 10.0)) + 0.15 * {CONFIRM} + 0.05 * {TIER_AGE} - 0.15 * (1.0 - power(2.0, -bad_count / 3.0))"
 )
 #: Over a column score.
-CONSOLIDATION_ACTION = "CASE WHEN bad_count >= 5 THEN 'suppress' WHEN score >= 0.75 THEN 'promote' WHEN score <= 0.15 THEN 'archive' ELSE 'keep' END"
-CONFIDENCE_UPDATE = f"least(1.0, greatest(0.1, confidence - least(0.5, 0.05 * bad_count) + CASE WHEN last_confirmed_at IS NOT NULL THEN 0.025 ELSE 0.0 END - CASE WHEN {IDLE} > 30 THEN least(0.3, ({IDLE} - 30.0) * 0.001) ELSE 0.0 END))"
+CONSOLIDATION_ACTION = "CASE WHEN bad_count >= 5 THEN 'suppress' WHEN score >= 0.75 THEN 'promote' WHEN score <= 0.15 THEN 'archive' ELSE 'maintain' END"
+#: Days since the last access, confirmed use or, failing these, the making.
+UNUSED = f"(greatest(0.0, CAST({NOW} - greatest(coalesce(last_accessed_at, 0), coalesce(last_confirmed_at, 0), ts) AS DOUBLE) / {DAY}.0))"
+CONFIDENCE_UPDATE = f"least(1.0, greatest(0.1, confidence - least(0.5, 0.05 * bad_count) + CASE WHEN last_confirmed_at IS NOT NULL THEN 0.025 ELSE 0.0 END - CASE WHEN {UNUSED} > 30 THEN least(0.3, ({UNUSED} - 30.0) * 0.001) ELSE 0.0 END))"
 # Midpoint in days, steepness, weight and quality of reflection kinds.
 REFLECTION_KINDS = (("invariant", 45, 0.22, 1.1, 1.0), ("derived", 7, 0.65, 1.0, 0.95), ("decision", 45, 0.25, 1.1, 1.0), ("user-model", 21, 0.3, 1.0, 0.95), ("agent-model", 10, 0.35, 0.95, 0.93), ("lesson", 7, 0.45, 0.9, 0.9))
 _KIND = lambda k: "(CASE doc_id % 6 " + " ".join(f"WHEN {i} THEN {float(r[k])}" for i, r in enumerate(REFLECTION_KINDS)) + " END)"
 REFLECTION = f"(1.0 / (1.0 + exp({_KIND(2)} * ({age()} - {_KIND(1)}))) * {_KIND(3)} * {_KIND(4)} * CASE WHEN dynamic THEN 0.75 ELSE 1.0 END)"
 LINE_QUALITY = "(CASE WHEN access_count <= 0 THEN 0.2 ELSE least(1.0, 0.55 + 0.075 * least(6, access_count)) END)"
-ADMISSION_PRIOR = "(CASE category WHEN 'preference' THEN 0.9 WHEN 'entity' THEN 0.75 WHEN 'decision' THEN 0.8 WHEN 'fact' THEN 0.7 ELSE 0.45 END)"
+ADMISSION_PRIOR = _OF_KIND(2, 0.5)
 ADMISSION = f"(0.1 * s + 0.1 * confidence + 0.1 * (1.0 - greatest(0.0, coalesce(v, 0.0))) + 0.1 * (1.0 - power(2.0, -{age()} / 14.0)) + 0.6 * {ADMISSION_PRIOR})"
 INTENT_BOOST = "(CASE WHEN category IN ('preference', 'decision') THEN least(1.0, s * 1.15) ELSE s END)"
-SIGMOID = "(1.0 / (1.0 + exp(-(coalesce(b, 0.0) * 10.0 - 5.0) / 5.0)))"
+#: Raw text scores are divided by the midpoint; what is not above 0 gets one half. b stands for a tenth of a raw score.
+MIDPOINT = 5.0
+SIGMOID = f"(CASE WHEN b > 0 THEN 1.0 / (1.0 + exp(-(b * 10.0) / {MIDPOINT})) ELSE 0.5 END)"

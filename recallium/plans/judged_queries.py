@@ -1,0 +1,49 @@
+"""Quality of hybrid retrieval on the judged collection of recallium/sources/judged.py; the tables of sf_dir play no part."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from recallium.catalog import query
+from recallium.functions import kernels as K
+from recallium.functions import vector as V
+from recallium.operators import search as S
+from recallium.sources import judged
+
+POOL, TOP = 20, 5
+
+
+def judged_hits(spark: SparkSession) -> DataFrame:
+    """qid, doc_id, score, rank: both legs, fusion, importance, length, no least score, diversity; the first TOP of each question."""
+    held, asked = judged.memories(spark), judged.questions(spark)
+    vector_hits = V.knn(held, asked, POOL).withColumn("v", 1 / (2 - F.col("cos")))
+    text_hits = S.min_max(S.bm25(held, asked.select("qid", "text"), POOL)).withColumnRenamed("bm25", "b")
+    rows = S.fuse(vector_hits, text_hits).join(held.select("doc_id", "importance", "vector", F.length("text").cast("double").alias("len")), "doc_id")
+    weighed = rows.withColumn("s", F.col("fused")).withColumn("s", F.expr(K.IMPORTANCE)).withColumn("score", F.expr(K.LENGTH))
+    return S.demote_similar(weighed).where(F.col("rank") <= TOP)
+
+
+@query()
+def judged_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Precision, recall, reciprocal rank and NDCG at 5 of each question, and whether the best answer comes first. Demotion of near
+    memories is greedy, so without SQL; the figures are tested against published ones."""
+    asked = judged.questions(spark).select("qid", "name", "relevant")
+    hits = judged_hits(spark).join(asked, "qid").withColumn("hit", F.array_contains("relevant", F.col("doc_id")).cast("int"))
+    ideal = F.aggregate(F.sequence(F.lit(1), F.least(F.size("relevant"), F.lit(TOP))), F.lit(0.0), lambda s, i: s + 1 / F.log2(i + 1.0))
+    found = hits.groupBy("qid", "name", "relevant").agg(
+        F.sum("hit").alias("hits"), F.max(F.when(F.col("hit") == 1, 1.0 / F.col("rank"))).alias("rr"), F.sum(F.col("hit") / F.log2(F.col("rank") + 1.0)).alias("gain"),
+        F.min_by("doc_id", "rank").alias("first"), F.sort_array(F.collect_list(F.when(F.col("hit") == 0, F.col("doc_id")))).alias("unexpected"),
+    )
+    return found.select(
+        "qid", "name", F.round(F.col("hits") / float(TOP), 3).alias("precision_at_5"), F.round(F.col("hits") / F.size("relevant"), 3).alias("recall_at_5"),
+        F.round(F.coalesce("rr", F.lit(0.0)), 3).alias("reciprocal_rank"), F.round(F.col("gain") / ideal, 3).alias("ndcg_at_5"), (F.col("first") == F.element_at("relevant", 1)).alias("ideal_first"), "unexpected",
+    )
+
+
+@query()
+def judged_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The means of judged_retrieval over all questions."""
+    mean = lambda c: F.round(F.avg(F.col(c).cast("double")), 3).alias(c)
+    rows = judged_retrieval(spark, sf_dir).withColumn("passed", F.col("precision_at_5") == 1.0)
+    return rows.agg(F.count(F.lit(1)).alias("questions"), *map(mean, ("precision_at_5", "recall_at_5", "reciprocal_rank", "ndcg_at_5", "ideal_first", "passed")))

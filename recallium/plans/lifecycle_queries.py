@@ -7,7 +7,17 @@ from pyspark.sql import functions as F
 
 from recallium.catalog import query
 from recallium.functions import kernels as K
-from recallium.sources.memories import DAY, NOW, USAGE_SQL, usage
+from recallium.functions import rules as R
+from recallium.sources import memories as M
+from recallium.sources.memories import DAY, NOW
+
+#: The usage table with kind, the newer category.
+USAGE_SQL = M.USAGE_SQL.rstrip().replace("usage AS (SELECT b.*,", f"usage AS (SELECT b.*, {R.LEGACY_CATEGORY_SQL} AS kind,")
+
+
+def usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.usage(spark, sf_dir).withColumn("kind", R.legacy_category(F.col("category"), F.col("text")))
+
 
 #: name -> expression; each makes one query over all memories
 SCORES = {
@@ -45,37 +55,65 @@ def stale_memories(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _ACTED = f"""WITH {USAGE_SQL}, c AS (SELECT *, round({K.CONSOLIDATION}, 9) AS score FROM usage), a AS (SELECT *, {K.CONSOLIDATION_ACTION} AS action FROM c)"""
+#: What is done about an action: a core memory is not promoted, and only memories of 30 days that are not archived yet are archived.
+_CHANGE = f"""CASE WHEN action = 'promote' AND tier <> 'core' THEN 'promote-to-core' WHEN action = 'suppress' THEN 'suppress'
+ WHEN action = 'archive' AND {NOW} - ts >= {30 * DAY} AND state <> 'archived' THEN 'archive' ELSE 'maintain' END"""
+_NEXT_TIER = "CASE change WHEN 'promote-to-core' THEN 'core' WHEN 'archive' THEN 'peripheral' ELSE tier END"
+_NEXT_STATE = "CASE change WHEN 'promote-to-core' THEN 'confirmed' WHEN 'suppress' THEN 'archived' WHEN 'archive' THEN 'archived' ELSE state END"
 
 
-@query(
-    f"""{_ACTED} SELECT doc_id, action, CASE action WHEN 'promote' THEN 'core' WHEN 'archive' THEN CASE WHEN {NOW} - ts >= {30 * DAY} AND state <> 'archived' THEN 'peripheral' ELSE tier END ELSE tier END AS next_tier,
- CASE action WHEN 'promote' THEN 'confirmed' WHEN 'suppress' THEN 'archived' WHEN 'archive' THEN CASE WHEN {NOW} - ts >= {30 * DAY} THEN 'archived' ELSE state END ELSE state END AS next_state FROM a"""
-)
+@query(f"{_ACTED}, d AS (SELECT *, {_CHANGE} AS change FROM a) SELECT doc_id, action, change, {_NEXT_TIER} AS next_tier, {_NEXT_STATE} AS next_state FROM d")
 def consolidation_transition(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = usage(spark, sf_dir).withColumn("score", F.round(F.expr(K.CONSOLIDATION), 9)).withColumn("action", F.expr(K.CONSOLIDATION_ACTION))
-    old = (F.lit(NOW) - F.col("ts") >= 30 * DAY) & (F.col("action") == "archive")
-    return rows.select(
-        "doc_id", "action",
-        F.when(F.col("action") == "promote", "core").when(old & (F.col("state") != "archived"), "peripheral").otherwise(F.col("tier")).alias("next_tier"),
-        F.when(F.col("action") == "promote", "confirmed").when((F.col("action") == "suppress") | old, "archived").otherwise(F.col("state")).alias("next_state"),
-    )
-
-
-@query(
-    f"""{_ACTED}, h AS (SELECT CASE WHEN count(*) = 0 THEN 0.5 ELSE 0.4 * coalesce(avg(CASE WHEN tier = 'core' THEN CASE WHEN access_count > 0 THEN 1.0 ELSE 0.0 END END), 0.5)
- + 0.3 * avg(confidence) + 0.3 * (1.0 - sum(bad_count) / (sum(access_count) + 1.0)) END AS health FROM a) SELECT round(least(1.0, greatest(0.0, health)), 6) AS health FROM h"""
-)
+    return rows.withColumn("change", F.expr(_CHANGE)).select("doc_id", "action", "change", F.expr(_NEXT_TIER).alias("next_tier"), F.expr(_NEXT_STATE).alias("next_state"))
+
+
+#: A core memory counts as active unless it is archived or was recalled badly three times; no core memories: one half.
+_HEALTH_SQL = """CASE WHEN count(*) = 0 THEN 0.5 ELSE 0.4 * coalesce(avg(CASE WHEN tier = 'core' THEN CASE WHEN state <> 'archived' AND bad_count < 3 THEN 1.0 ELSE 0.0 END END), 0.5)
+ + 0.3 * avg(confidence) + 0.3 * (1.0 - sum(bad_count) / (sum(access_count) + 1.0)) END"""
+STALE, UNHEALTHY, SURE = 0.2, 0.3, 0.6
+
+
+def health(rows: DataFrame) -> DataFrame:
+    """One row: health of a whole table with tier, state, confidence, bad_count and access_count."""
+    active = F.avg(F.when(F.col("tier") == "core", ((F.col("state") != "archived") & (F.col("bad_count") < 3)).cast("double")))
+    score = 0.4 * F.coalesce(active, F.lit(0.5)) + 0.3 * F.avg("confidence") + 0.3 * (1 - F.sum("bad_count") / (F.sum("access_count") + 1.0))
+    return rows.agg(F.when(F.count(F.lit(1)) == 0, 0.5).otherwise(score).alias("health"))
+
+
+@query(f"WITH {USAGE_SQL} SELECT round({_HEALTH_SQL}, 6) AS health FROM usage")
 def memory_health(spark: SparkSession, sf_dir: str) -> DataFrame:
-    active = F.avg(F.when(F.col("tier") == "core", (F.col("access_count") > 0).cast("double")))
-    health = 0.4 * F.coalesce(active, F.lit(0.5)) + 0.3 * F.avg("confidence") + 0.3 * (1 - F.sum("bad_count") / (F.sum("access_count") + 1.0))
-    out = usage(spark, sf_dir).agg(F.when(F.count(F.lit(1)) == 0, 0.5).otherwise(health).alias("health"))
-    return out.select(F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), "health")), 6).alias("health"))
+    return health(usage(spark, sf_dir)).select(F.round("health", 6).alias("health"))
+
+
+def recovered(rows: DataFrame, least: float = UNHEALTHY) -> DataFrame:
+    """doc_id, state and tier of the archived memories that come back: those of at least SURE confidence, while health is below least."""
+    low = health(rows).where(F.col("health") < least)  # one row or none
+    back = rows.where((F.col("state") == "archived") & (F.col("confidence") >= SURE)).crossJoin(F.broadcast(low))
+    return back.select("doc_id", F.lit("confirmed").alias("state"), F.when(F.col("tier") == "peripheral", "working").otherwise(F.col("tier")).alias("tier"))
+
+
+def _sweep(least: float, name: str) -> None:
+    @query(f"""WITH {USAGE_SQL}, h AS (SELECT {_HEALTH_SQL} AS health FROM usage)
+ SELECT doc_id, 'confirmed' AS state, CASE tier WHEN 'peripheral' THEN 'working' ELSE tier END AS tier FROM usage, h WHERE state = 'archived' AND confidence >= {SURE} AND health < {least}""", name)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return recovered(usage(spark, sf_dir), least)
+
+
+#: At the rule's own limit, and at one that these tables fall below.
+_sweep(UNHEALTHY, "sweep_recoverable")
+_sweep(1.0, "sweep_recoverable_any")
 
 
-@query(f"WITH {USAGE_SQL} SELECT doc_id FROM usage WHERE state = 'archived' AND confidence >= 0.6")
-def sweep_recoverable(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Archived memories that a sweep brings back when health is low."""
-    return usage(spark, sf_dir).where("state = 'archived' AND confidence >= 0.6").select("doc_id")
+@query(f"""WITH {USAGE_SQL}, c AS (SELECT *, round({K.COMPOSITE}, 9) AS composite FROM usage), t AS (SELECT count(*) AS memories, count(*) FILTER (composite < {STALE}) AS stale,
+ {_HEALTH_SQL} AS health, count(*) FILTER (state = 'archived' AND confidence >= {SURE}) AS back FROM c)
+ SELECT memories, stale, round(health, 6) AS health, CASE WHEN health < {UNHEALTHY} THEN back ELSE 0 END AS recovered FROM t""")
+def sweep_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One pass over the whole table: memories, how many are stale, health, and how many come back."""
+    rows = usage(spark, sf_dir).withColumn("composite", F.round(F.expr(K.COMPOSITE), 9))
+    counts = rows.agg(F.count(F.lit(1)).alias("memories"), F.count_if(F.col("composite") < STALE).alias("stale"), F.count_if((F.col("state") == "archived") & (F.col("confidence") >= SURE)).alias("back"))
+    out = counts.crossJoin(health(rows))  # one row each
+    return out.select("memories", "stale", F.round("health", 6).alias("health"), F.when(F.col("health") < UNHEALTHY, F.col("back")).otherwise(0).alias("recovered"))
 
 
 @query(f"WITH {USAGE_SQL} SELECT doc_id FROM usage WHERE ts <= {NOW} AND (invalidated_at IS NULL OR invalidated_at > {NOW})")

@@ -47,10 +47,10 @@ def bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.select("qid", "doc_id", "rank", F.round("bm25", 6).alias("score"))
 
 
-@query(f"WITH {_QT}, {_BM25} SELECT qid, doc_id, round(CASE WHEN bm25 = 0 THEN 0.5 ELSE 1 / (1 + exp(-(bm25 - 5) / 5)) END, 6) AS score FROM hits")
+@query(f"WITH {_QT}, {_BM25} SELECT qid, doc_id, round(CASE WHEN bm25 > 0 THEN 1 / (1 + exp(-bm25 / {K.MIDPOINT})) ELSE 0.5 END, 6) AS score FROM hits")
 def bm25_sigmoid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = S.bm25(base(spark, sf_dir), text_queries(spark, sf_dir), POOL)
-    return hits.select("qid", "doc_id", F.round(F.when(F.col("bm25") == 0, 0.5).otherwise(1 / (1 + F.exp(-(F.col("bm25") - 5) / 5))), 6).alias("score"))
+    return hits.select("qid", "doc_id", F.round(F.when(F.col("bm25") > 0, 1 / (1 + F.exp(-F.col("bm25") / K.MIDPOINT))).otherwise(0.5), 6).alias("score"))
 
 
 _FUSED = f"""{VECTORS_SQL}, {_QT}, {_BM25}, nv AS (SELECT count(*) AS n FROM embeddings),
