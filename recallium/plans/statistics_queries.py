@@ -91,10 +91,29 @@ def operation_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.groupBy(F.col("event_type").alias("operation")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 6).alias("mean"), F.round(F.min("value"), 6).alias("least"), F.round(F.max("value"), 6).alias("most"))
 
 
-@query(f"WITH {_EVENTS} SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY at_ms RANGE BETWEEN 3600000 PRECEDING AND CURRENT ROW) <= 30 AS allowed FROM ev")
-def hourly_rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Window.partitionBy("user_id").orderBy("at_ms").rangeBetween(-3600000, 0)
-    return events(spark, sf_dir).select("event_id", (F.count(F.lit(1)).over(w) <= 30).alias("allowed"))
+_TURNS = f"{_EVENTS}, t AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY at_ms, event_id) AS turn FROM ev)"
+HOUR = 3600000
+
+
+def _limiter(most: int, name: str) -> None:
+    def step(held, row):
+        held = [x for x in held or [] if x >= row.at_ms - HOUR]
+        allowed = len(held) < most
+        return (held + [row.at_ms] if allowed else held), allowed
+
+    @query(f"""WITH RECURSIVE {_TURNS}, f AS (SELECT user_id, event_id, turn, [at_ms] AS held, true AS allowed FROM t WHERE turn = 1
+ UNION ALL SELECT t.user_id, t.event_id, t.turn, CASE WHEN len(list_filter(f.held, lambda x: x >= t.at_ms - {HOUR})) < {most} THEN list_append(list_filter(f.held, lambda x: x >= t.at_ms - {HOUR}), t.at_ms) ELSE list_filter(f.held, lambda x: x >= t.at_ms - {HOUR}) END,
+ len(list_filter(f.held, lambda x: x >= t.at_ms - {HOUR})) < {most} FROM f JOIN t ON t.user_id = f.user_id AND t.turn = f.turn + 1) SELECT event_id, allowed FROM f""", name)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows = events(spark, sf_dir).select("user_id", "at_ms", "event_id")
+        return sorted_fold(rows, ["user_id"], ["at_ms", "event_id"], step, "allowed", "boolean").select("event_id", "allowed")
+
+    run.__doc__ = f"At most {most} events that went through in the hour before, both ends included; one that was held back does not count."
+
+
+#: The rule's own limit, and one that these users reach.
+_limiter(30, "hourly_rate_limit")
+_limiter(2, "hourly_rate_limit_of_two")
 
 
 @query(f"""WITH RECURSIVE {_EVENTS}, t AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY at_ms, event_id) AS turn FROM ev),
@@ -111,24 +130,58 @@ def injection_repeat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sorted_fold(t.select("user_id", "k", "turn", "event_id"), ["user_id", "k"], ["turn"], step, "injected", "boolean").select("event_id", "turn", "injected")
 
 
-@query(f"""WITH {_EVENTS}, s AS (SELECT user_id, k, sum(CASE event_type WHEN 'purchase' THEN 1 ELSE 0 END) AS up, sum(CASE event_type WHEN 'error' THEN 1 ELSE 0 END) AS down, max(at_ms) AS last_at FROM ev GROUP BY 1, 2),
- r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY last_at DESC, k) AS r FROM s) SELECT user_id, sum(up + down) AS observations, round(coalesce(sum(up) / nullif(CAST(sum(up + down) AS DOUBLE), 0), 0.5), 6) AS strength, count(*) AS slices FROM r WHERE r <= 8 GROUP BY 1""")
-def support_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Confirmations and contradictions by context; the eight latest contexts stay."""
-    s = events(spark, sf_dir).groupBy("user_id", "k").agg(F.count_if(F.col("event_type") == "purchase").alias("up"), F.count_if(F.col("event_type") == "error").alias("down"), F.max("at_ms").alias("last_at"))
-    s = s.withColumn("r", F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("last_at"), "k"))).where("r <= 8")
-    every = F.sum(F.col("up") + F.col("down"))
-    return s.groupBy("user_id").agg(every.alias("observations"), F.round(F.coalesce(F.when(every > 0, F.sum("up") / every), F.lit(0.5)), 6).alias("strength"), F.count(F.lit(1)).alias("slices"))
+SLICES, BAD, PAUSE = 8, 5, 8
 
 
-@query(f"""WITH {_EVENTS}, c AS (SELECT user_id, at_ms, event_id, event_type, sum(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY at_ms, event_id) AS confirms FROM ev),
- g AS (SELECT user_id, confirms, sum(CASE WHEN event_type = 'click' THEN 1 ELSE 0 END) AS injected FROM c GROUP BY 1, 2) SELECT user_id, max(injected) AS longest_unused, max(injected) >= 5 AS suppressed FROM g GROUP BY 1""")
+@query(f"""WITH RECURSIVE {_EVENTS}, t AS (SELECT user_id, event_id, k, event_type, row_number() OVER (PARTITION BY user_id ORDER BY at_ms, event_id) AS turn FROM ev WHERE event_type IN ('purchase', 'error')),
+ f AS (SELECT user_id, CAST(0 AS BIGINT) AS turn, CAST([] AS STRUCT(k BIGINT, up BIGINT, down BIGINT)[]) AS slices, CAST([] AS STRUCT(k BIGINT, up BIGINT, down BIGINT)[]) AS every FROM t WHERE turn = 1
+ UNION ALL SELECT user_id, turn, every[1:{SLICES}], every FROM (SELECT t.user_id, t.turn, list_prepend(struct_pack(k := t.k,
+ up := CAST(coalesce(list_filter(f.slices, lambda x: x.k = t.k)[1].up, 0) + CASE t.event_type WHEN 'purchase' THEN 1 ELSE 0 END AS BIGINT),
+ down := CAST(coalesce(list_filter(f.slices, lambda x: x.k = t.k)[1].down, 0) + CASE t.event_type WHEN 'error' THEN 1 ELSE 0 END AS BIGINT)), list_filter(f.slices, lambda x: x.k <> t.k)) AS every FROM f JOIN t ON t.user_id = f.user_id AND t.turn = f.turn + 1)),
+ l AS (SELECT *, list_sum(list_transform(every, lambda x: x.up)) AS up, list_sum(list_transform(every, lambda x: x.down)) AS down FROM f QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY turn DESC) = 1)
+ SELECT user_id, CAST(up + down AS BIGINT) AS observations, round(up / CAST(up + down AS DOUBLE), 6) AS strength, len(slices) AS slices FROM l WHERE turn > 0""")
+def support_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Confirmations and contradictions by context after a user's last observation. The eight latest contexts stay; what an observation
+    pushes out still counts in the totals of that observation, and a context that comes back starts anew."""
+
+    def step(slices, row):
+        old = next((x for x in slices or [] if x[0] == row.k), (row.k, 0, 0))
+        up = row.event_type == "purchase"
+        every = [(row.k, old[1] + up, old[2] + (not up)), *(x for x in slices or [] if x[0] != row.k)]
+        return every[:SLICES], [sum(x[1] for x in every), sum(x[2] for x in every), min(len(every), SLICES)]
+
+    seen = events(spark, sf_dir).where(F.col("event_type").isin("purchase", "error")).select("user_id", "at_ms", "event_id", "k", "event_type")
+    after = sorted_fold(seen, ["user_id"], ["at_ms", "event_id"], step, "after", "array<long>")
+    last = after.groupBy("user_id").agg(F.max_by("after", F.struct("at_ms", "event_id")).alias("x"))
+    every = F.col("x")[0] + F.col("x")[1]
+    return last.select("user_id", every.alias("observations"), F.round(F.col("x")[0] / every, 6).alias("strength"), F.col("x")[2].alias("slices"))
+
+
+@query(f"""WITH RECURSIVE {_TURNS}, f AS (SELECT user_id, CAST(0 AS BIGINT) AS event_id, CAST(0 AS BIGINT) AS turn, 'none' AS event_type, CAST(NULL AS BIGINT) AS injected_at, CAST(NULL AS BIGINT) AS confirmed_at, CAST(0 AS BIGINT) AS bad, CAST(0 AS BIGINT) AS until, false AS injected FROM t WHERE turn = 1
+ UNION ALL SELECT user_id, event_id, turn, event_type, CASE WHEN goes THEN at_ms ELSE injected_at END, CASE event_type WHEN 'purchase' THEN at_ms ELSE confirmed_at END, next_bad,
+ CASE WHEN goes AND next_bad >= {BAD} THEN greatest(until, turn + {PAUSE}) ELSE until END, goes FROM (
+ SELECT *, bad + CASE WHEN goes AND injected_at IS NOT NULL AND (confirmed_at IS NULL OR confirmed_at < injected_at) THEN 1 ELSE 0 END AS next_bad FROM (
+ SELECT t.user_id, t.event_id, t.turn, t.event_type, t.at_ms, f.injected_at, f.confirmed_at, f.bad, f.until, t.event_type = 'click' AND t.turn > f.until AS goes FROM f JOIN t ON t.user_id = f.user_id AND t.turn = f.turn + 1)))
+ SELECT event_id, injected, bad AS bad_count, until AS suppressed_until FROM f WHERE event_type = 'click'""")
 def bad_recall_suppression(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Injections since the last confirmed use; five in a row suppress."""
-    w = Window.partitionBy("user_id").orderBy("at_ms", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    c = events(spark, sf_dir).withColumn("confirms", F.sum((F.col("event_type") == "purchase").cast("long")).over(w))
-    g = c.groupBy("user_id", "confirms").agg(F.count_if(F.col("event_type") == "click").alias("injected"))
-    return g.groupBy("user_id").agg(F.max("injected").alias("longest_unused"), (F.max("injected") >= 5).alias("suppressed"))
+    """Clicks stand for a memory that is up for injection, purchases for its confirmed use, events for turns. An injection whose
+    predecessor was not confirmed since is a bad recall; from the fifth on the memory pauses for eight turns."""
+
+    def step(state, row):
+        injected_at, confirmed_at, bad, until, turn = state or (None, None, 0, 0, 0)
+        turn += 1
+        goes = row.event_type == "click" and turn > until
+        if goes:
+            bad += injected_at is not None and (confirmed_at is None or confirmed_at < injected_at)
+            until = max(until, turn + PAUSE) if bad >= BAD else until
+            injected_at = row.at_ms
+        if row.event_type == "purchase":
+            confirmed_at = row.at_ms
+        return (injected_at, confirmed_at, bad, until, turn), [int(goes), int(bad), int(until)]
+
+    rows = events(spark, sf_dir).select("user_id", "at_ms", "event_id", "event_type")
+    after = sorted_fold(rows, ["user_id"], ["at_ms", "event_id"], step, "x", "array<long>").where("event_type = 'click'")
+    return after.select("event_id", (F.col("x")[0] == 1).alias("injected"), F.col("x")[1].alias("bad_count"), F.col("x")[2].alias("suppressed_until"))
 
 
 @query(f"""WITH {_EVENTS} SELECT event_type AS source, CAST(floor(at_ms / 3600000) AS BIGINT) AS hour, count(*) AS n, count(DISTINCT user_id) AS users FROM ev GROUP BY 1, 2""")
