@@ -1,4 +1,4 @@
-"""The thin queries opN_<name> over the table documents, and their SQL where SQL can express them."""
+"""The thin queries opN_<name> over whole tables, and their SQL where SQL can express them."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recallium.llm import fuzzyhash, hmm, licenses, mixing, ngramjoin, packing, quality, substrings, tokencount, toxicity
+from recallium.llm import audit, centroids, fuzzyhash, hmm, licenses, mixing, ngramjoin, packing, quality, reputation, sql, substrings, tokencount, toxicity
 from recallium.llm.common import documents
 
 
@@ -60,9 +60,36 @@ def op10_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(documents(spark, sf_dir))
 
 
+#: The rules, the share of bad pages that no host may exceed, and how sure that must be.
+RULES = [reputation.Rule("block", "net", "/"), reputation.Rule("allow", "example.net", "/en/"), reputation.Rule("block", "example.com", "/de/"), reputation.Rule("allow", "org", "/fr/")]
+BAD_SHARE, CONFIDENCE = 0.5, 0.95
+
+
+def op11_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page shows the document that the last number of its path names; it is bad when that one is labelled toxic or of low quality."""
+    pages, labels = spark.read.parquet(f"{sf_dir}/pages.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    bad = F.when((F.col("quality") == 0) | (F.col("toxic") == 1), 1).when(F.col("quality").isNotNull() | F.col("toxic").isNotNull(), 0)
+    marks = labels.where("doc_id IS NOT NULL").groupBy("doc_id").agg((F.max(bad) == 1).alias("bad"))
+    number = F.regexp_extract(reputation.host_and_path(F.col("url").cast("string"))[1], r"/([0-9]{1,18})(\.html|/)?$", 1)
+    shown = pages.select("url", F.nullif(number, F.lit("")).cast("long").alias("doc_id"))
+    return reputation.judge(pages, shown.join(marks, "doc_id", "left"), RULES, BAD_SHARE, CONFIDENCE)
+
+
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op13_filter_interaction_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_suffix_array_dedup, op2_hidden_markov_scores, op3_best_fit_packing, op4_token_counts, op5_toxicity, op6_ngram_jaccard_join, op7_source_mixing, op8_document_fingerprints, op9_quality_rules, op10_license_scans)}
+    return {f.__name__: f for f in (op1_suffix_array_dedup, op2_hidden_markov_scores, op3_best_fit_packing, op4_token_counts, op5_toxicity, op6_ngram_jaccard_join, op7_source_mixing, op8_document_fingerprints, op9_quality_rules, op10_license_scans, op11_url_reputation, op12_centroid_clustering, op13_filter_interaction_audit)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        op11_url_reputation.__name__: sql.url_reputation(RULES, BAD_SHARE, CONFIDENCE),
+        op12_centroid_clustering.__name__: sql.centroid_clusters(),
+        op13_filter_interaction_audit.__name__: sql.filter_interaction_audit(),
+    }
