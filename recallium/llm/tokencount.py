@@ -9,7 +9,8 @@ the last token of the prefix before it, stays apart from it. So the count of a p
 shorter prefix, and only as many last tokens have to be remembered as the longest piece still open is long.
 
 Two characters that stand together in no piece synchronise: behind the first the state is the start state, whatever
-came before. The change from a non-space to a space is such a place. A chunk of a text therefore maps an unknown entry state to (head still to be run from that
+came before. The change from a non-space to a space is such a place. Spaces become U+2581 before anything is cut, as the model has it, so
+that a U+2581 in a text is a space too. A chunk of a text therefore maps an unknown entry state to (head still to be run from that
 state, fixed count, exit state); such maps compose associatively. Every text is cut into chunks whose maps the up-sweep of a parallel prefix
 scan joins; only the total is asked for, so there is no down-sweep. Units between
 synchronising places repeat, so their sums are kept as macro transitions.
@@ -35,8 +36,8 @@ CHUNK = 1 << 12
 #: Units longer than this run through the transducer each time instead of being kept.
 LONG_UNIT = 48
 MAX_STATES = 200_000
-_UNIT = re.compile(r" *[^ ]+| +")
-_SYNC = re.compile(r"(?<=[^ ])(?= )")
+_UNIT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+_SYNC = re.compile(f"(?<=[^{SPACE}])(?={SPACE})")
 
 
 class Vocabulary:
@@ -125,7 +126,7 @@ class Transducer:
 
     def _unit(self, unit: str) -> int:
         """A macro transition: the sum over the unit's parts between synchronising places."""
-        unit, bonds, total, at = unit.replace(" ", SPACE), self.v.bonds, 0, 0
+        bonds, total, at = self.v.bonds, 0, 0
         for i in range(1, len(unit)):
             if unit[i - 1 : i + 1] not in bonds:
                 total += self.part[unit[at:i]]
@@ -134,7 +135,7 @@ class Transducer:
 
     def run(self, state: int, text: str) -> tuple[int, int]:
         total, tables = 0, self.next
-        for ch in text.replace(" ", SPACE):
+        for ch in text:
             step = tables[state].get(ch)
             state, delta = step if step is not None else self._compile(state, ch)
             total += delta
@@ -170,7 +171,7 @@ class Transducer:
     def count(self, text: str, chunk: int = CHUNK) -> int:
         if not text:
             return 0
-        text = " " + text  # the model's dummy prefix
+        text = SPACE + text.replace(" ", SPACE)  # with the model's dummy prefix
         whole = self.total([self.chunk(text[i : i + chunk]) for i in range(0, len(text), chunk)])
         return self.run(self.START, whole.head)[1] + whole.count
 

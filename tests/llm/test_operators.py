@@ -239,6 +239,18 @@ def test_token_counts_equal_the_library(docs, empty):
     assert tokencount.token_counts(empty, path).count() == 0
 
 
+def test_token_counts_of_strings_with_the_models_own_space(spark):
+    """U+2581 stands for a space in the model; runs of it, mixed with spaces, controls and special strings, count as the library counts."""
+    import public_tokenizers
+    import sentencepiece
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    model, t, rng = sentencepiece.SentencePieceProcessor(model_file=path), tokencount.transducer(path), random.Random(7)
+    parts = [" ", "\u2581", "  ", "\u2581\u2581", "a", "the", " of", "\t", "\n", "\u00a0", "\u3000", "\x00", "\u0301", "<s>", "</s>", "<unk>", "<0x0A>", "\ufb01", "\u4e2d", "."]
+    for text in ["a\u2581 ", "\u2581 ", *("".join(rng.choice(parts) for _ in range(rng.randrange(24))) for _ in range(1500))]:
+        assert {t.count(text, chunk) for chunk in (3, 8, 4096)} == {len(model.encode(text))}, repr(text)
+
+
 def test_toxicity_learns_marked_words(spark):
     bad = ["grumz", "vexlor", "blatch"]
     rows = [(i, prose(60) + (f" {bad[i % 3]}{rng.choice(['', 'en', 'er'])} {prose(5)}" if i % 4 == 0 else ""), int(i % 4 == 0)) for i in range(600)] + [(None, None, None), (700, "", 0), (701, None, 1)]
