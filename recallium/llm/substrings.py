@@ -26,12 +26,14 @@ rows; other columns may have any name.
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
 import heapq
+import itertools
 import os
 import pickle
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +47,8 @@ LENGTH, K = 400, 144
 PASSAGE, PASSAGE_WORDS = 200, 50
 #: Groups of one hash with more contexts than this are induced on disk; smaller ones with numpy, about so many contexts at once.
 MOST, BLOCK = 2048, 30_000
+#: Bytes that one disk-backed queue keeps in memory.
+ROOM = 32 << 20
 #: Repeated hashes up to which a bit field of at most 2^27 bits selects anchors; more are joined.
 FILTERED = 1 << 23
 _TEXT = 1 << 23
@@ -146,33 +150,58 @@ def _bits(repeated: DataFrame, n: int) -> Bits:
 
 
 class ExternalQueue:
-    """A priority queue that keeps at most `most` items in memory; the rest lies in sorted runs on disk."""
+    """A priority queue that keeps about `room` bytes in memory; the rest lies in sorted runs in one scratch folder of its own.
 
-    def __init__(self, most: int):
-        self.most, self.items, self.runs = most, [], []
+    Items are tuples of numbers and bytes. FAN runs of a level are merged into one of the next, and runs are opened only while they are
+    read, so a queue has at most FAN files open, however long it gets."""
+
+    FAN = 64
+
+    def __init__(self, room: int):
+        self.room, self.items, self.held, self.levels, self.folder, self.made = room, [], 0, [], None, 0
 
     def push(self, item: tuple) -> None:
         self.items.append(item)
-        if len(self.items) >= self.most:
+        self.held += 200 + sum(len(x) for x in item if isinstance(x, bytes))
+        if self.held >= self.room:
             self.items.sort()
-            f = tempfile.TemporaryFile(prefix="queue")  # has no name any more, so it goes with the process
-            for x in self.items:
-                pickle.dump(x, f, pickle.HIGHEST_PROTOCOL)
-            f.seek(0, os.SEEK_SET)
-            self.runs.append(f)
-            self.items = []
+            self._keep(0, self.items)
+            self.items, self.held = [], 0
+
+    def _keep(self, level: int, items: Iterable[tuple]) -> None:
+        self.folder = self.folder or tempfile.TemporaryDirectory(prefix="queue")
+        path, self.made = f"{self.folder.name}/{self.made}", self.made + 1
+        with open(path, "wb") as f:
+            items = iter(items)
+            while block := list(itertools.islice(items, 256)):
+                pickle.dump(block, f, pickle.HIGHEST_PROTOCOL)
+        if level == len(self.levels):
+            self.levels.append([])
+        self.levels[level].append(path)
+        if len(self.levels[level]) == self.FAN:
+            full, self.levels[level] = self.levels[level], []
+            self._keep(level + 1, heapq.merge(*map(self._read, full)))
+
+    @staticmethod
+    def _read(path: str) -> Iterator[tuple]:
+        with open(path, "rb") as f, contextlib.suppress(EOFError):
+            while True:
+                yield from pickle.load(f)
+        os.remove(path)
 
     def drain(self) -> Iterator[tuple]:
-        def read(f):
-            try:
-                while True:
-                    yield pickle.load(f)
-            except EOFError:
-                f.close()
-
+        """All items in order; what is read leaves the disk."""
+        runs = [p for level in self.levels for p in level]  # the shortest first
+        while len(runs) > self.FAN:
+            self.levels = [[] for _ in self.levels]
+            self._keep(len(self.levels), heapq.merge(*map(self._read, runs[: self.FAN])))
+            runs = runs[self.FAN :] + self.levels[-1]
         self.items.sort()
-        yield from heapq.merge(self.items, *map(read, self.runs))
-        self.items, self.runs = [], []
+        yield from heapq.merge(self.items, *map(self._read, runs))
+        self.items, self.held, self.levels = [], 0, []
+        if self.folder:
+            self.folder.cleanup()
+            self.folder = None
 
 
 def _common(a: bytes, b: bytes) -> int:
@@ -186,17 +215,18 @@ def _common(a: bytes, b: bytes) -> int:
     return lo
 
 
-def induce_on_disk(rows: Iterator[tuple], length: int, most: int) -> Iterator[tuple[bytes, int, int]]:
-    """rows: (ck, left, right, dmin, dmax) of one hash, by right, each ck once. Yields (ck, first d, last d) of repeated starts."""
-    queue = ExternalQueue(most)
+def induce_on_disk(rows: Iterator[tuple], length: int, room: int = ROOM) -> Iterator[tuple[bytes, int, int]]:
+    """rows: (ck, left, right, dmin, dmax) of one hash, by right, each ck once. Yields (ck, first d, last d) of repeated starts.
+    Two queues of `room` bytes are alive; items carry what is left of their left contexts."""
+    queue = ExternalQueue(room)
     last = None
     for rank, (ck, left, right, dmin, dmax) in enumerate(rows):
         queue.push((0, -1, rank, 0 if last is None else _common(last, right), ck, left[::-1], dmin, dmax, -1))
         last = right
     d = 0
     while True:
-        ahead, source = ExternalQueue(most), queue.drain()
-        before, item = None, next(source, None)
+        ahead, source = ExternalQueue(room), queue.drain()
+        place, item = 0, next(source, None)
         group, live, alive = 0, {}, False
         key = None
         while item is not None:
@@ -217,9 +247,9 @@ def induce_on_disk(rows: Iterator[tuple], length: int, most: int) -> Iterator[tu
                 for c in live:
                     live[c] = min(live[c], lcp)
             if d < dmax and not alone:
-                c = left[d]
-                ahead.push((group, c, before_rank := (0 if before is None else before + 1), live.get(c, 0), ck, left, dmin, dmax, run))
-                before, live[c], alive = before_rank, length, True
+                c = left[0]
+                ahead.push((group, c, place, live.get(c, 0), ck, left[1:], dmin, dmax, run))
+                place, live[c], alive = place + 1, length, True
             elif run >= 0:
                 yield ck, run, d
             item = after
@@ -321,7 +351,7 @@ def _induced(contexts: DataFrame, length: int, most: int) -> DataFrame:
                             yield y[1:]
 
                 out = []
-                for y in induce_on_disk(whole(), length, most):
+                for y in induce_on_disk(whole(), length):
                     out.append(y)
                     if len(out) >= 10_000:
                         yield shown(*zip(*out, strict=True))

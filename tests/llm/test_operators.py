@@ -3,7 +3,9 @@
 import hashlib
 import importlib.util
 import math
+import os
 import random
+import resource
 import zlib
 from collections import Counter
 
@@ -110,6 +112,33 @@ def test_induction_in_memory_and_on_disk():
         assert have == want
 
 
+def test_the_disk_queue_opens_few_files_and_keeps_order(tmp_path, monkeypatch):
+    """Thousands of runs under a limit of 150 open files, in bounded memory; nothing stays on disk."""
+    monkeypatch.setattr("tempfile.tempdir", str(tmp_path))
+    queue, rng, want = substrings.ExternalQueue(1000), random.Random(2), []
+    before = resource.getrlimit(resource.RLIMIT_NOFILE)
+    resource.setrlimit(resource.RLIMIT_NOFILE, (min(150 + len(os.listdir("/proc/self/fd")), before[0]), before[1]))
+    try:
+        for i in range(30_000):
+            item = (rng.randrange(500), i, rng.randbytes(8))
+            queue.push(item)
+            want.append(item)
+            assert queue.held <= 1300
+        assert len(os.listdir(queue.folder.name)) <= 3 * queue.FAN
+        assert list(queue.drain()) == sorted(want)
+        assert not os.listdir(tmp_path)
+    finally:
+        resource.setrlimit(resource.RLIMIT_NOFILE, before)
+
+
+@pytest.mark.parametrize("n", [2, 63, 64, 65, 64 * 64 + 5])
+def test_the_disk_queue_for_any_number_of_runs(n):
+    queue = substrings.ExternalQueue(1)
+    for i in range(n):
+        queue.push((-i, b"x"))
+    assert list(queue.drain()) == [(-i, b"x") for i in reversed(range(n))] and list(queue.drain()) == []
+
+
 def test_hidden_markov_scores(docs, empty):
     out = hmm.score(docs, hmm.fold(7, 2), hmm.Settings(states=3, frequent=20)).collect()
     training = [r for r in ROWS if zlib.crc32(str(r[0] if r[0] is not None else "").encode()) % 7 != 2]
