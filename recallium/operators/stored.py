@@ -4,15 +4,18 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names. Where none is set: a machine-local one in local mode, else the warehouse."""
+    local = spark.sparkContext.master.startswith("local[")
+    return spark.conf.get("spark.checkpoint.dir", None) or (f"file://{tempfile.gettempdir()}/recallium-shared" if local else spark.conf.get("spark.sql.warehouse.dir"))
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """df, written to the shared folder that spark.checkpoint.dir names, so that reading it again computes nothing again and
-    lost executors cost nothing. Where no folder is set: a machine-local one in local mode, else the warehouse."""
+    """df, written to the shared folder, so that reading it again computes nothing again and lost executors cost nothing."""
     context = df.sparkSession.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        base = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        local = context.master.startswith("local[")
-        context.setCheckpointDir(base or (f"file://{tempfile.gettempdir()}/recallium-shared" if local else df.sparkSession.conf.get("spark.sql.warehouse.dir")))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()

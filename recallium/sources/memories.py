@@ -1,4 +1,4 @@
-"""The memories table, laid over documents, embeddings and events; reads, filters and snapshot writes on it.
+"""The memories table, laid over documents, embeddings and events; reads, filters and updates on it.
 
 Times are epoch milliseconds; NOW is a fixed clock just after the last event."""
 
@@ -113,26 +113,3 @@ def updated(memories: DataFrame, changes: DataFrame, key: str = "doc_id") -> Dat
 
 def not_found(memories: DataFrame, changes: DataFrame, key: str = "doc_id") -> DataFrame:
     return changes.select(key).join(memories.select(key), key, "left_anti")
-
-
-def commit(spark: SparkSession, df: DataFrame, root: str) -> str:
-    """Writes the next snapshot below root and moves the pointer; readers see either the old or the new one. Single writer."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    folder = jvm.org.apache.hadoop.fs.Path(root)
-    fs = folder.getFileSystem(conf)
-    fs.mkdirs(folder)
-    numbers = [int(s.getPath().getName()[1:]) for s in fs.listStatus(folder) if s.isDirectory() and s.getPath().getName()[1:].isdigit()]
-    path = f"{root}/v{max(numbers, default=0) + 1}"
-    df.write.parquet(path)
-    # the pointer is a marker beside the data; only finished snapshots have one
-    fs.create(jvm.org.apache.hadoop.fs.Path(f"{path}/_COMMITTED")).close()
-    return path
-
-
-def current(spark: SparkSession, root: str) -> DataFrame:
-    jvm = spark.sparkContext._jvm
-    folder = jvm.org.apache.hadoop.fs.Path(root)
-    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    done = [s.getPath().getName() for s in fs.listStatus(folder) if fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_COMMITTED"))]
-    return spark.read.parquet(f"{root}/{max(done, key=lambda n: int(n[1:]))}")

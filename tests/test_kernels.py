@@ -115,14 +115,6 @@ def test_scope_filter(spark):
     assert [df.where(M.scope_filter(s)).count() for s in (None, [], ["global"], ["agent:x"])] == [3, 0, 2, 1]
 
 
-def test_snapshots(spark, tmp_path):
-    root = f"file://{tmp_path}/store"
-    M.commit(spark, spark.createDataFrame([(1, "a"), (2, "b")], "doc_id long, category string"), root)
-    changed = M.updated(M.current(spark, root), spark.createDataFrame([(2, "c"), (3, "d")], "doc_id long, category string"))
-    M.commit(spark, changed, root)
-    assert sorted(map(tuple, M.current(spark, root).collect())) == [(1, "a"), (2, "c")]
-
-
 def test_stream_equals_batch(spark, tmp_path):
     from recallium.streaming import sessions
 
