@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -14,8 +15,11 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """df, written to the shared folder, so that reading it again computes nothing again and lost executors cost nothing."""
-    context = df.sparkSession.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint()
+    """df, written once as Parquet to the shared folder, so that reading it again computes nothing again and lost executors cost nothing.
+    Its size is known from then on, so joins with it are planned by it. The files go when the application ends."""
+    spark = df.sparkSession
+    name = f"{shared_folder(spark).rstrip('/')}/recallium/stored-{uuid.uuid4().hex}"
+    df.write.parquet(name)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return spark.read.schema(df.schema).parquet(name)

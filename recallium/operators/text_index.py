@@ -20,12 +20,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from recallium.operators.search import B, K1, MOST_TOKENS, tokens
+from recallium.operators.search import B, K1, tokens
 from recallium.operators.stored import shared_folder, stored
 from recallium.sources.versions import ConcurrentWrite, Log
 
-#: Pairs of a query's token and a span up to which they are broadcast to the postings.
-MOST_BLOCKS = 1 << 19
 #: Ids of one posting row, partitions by token hash, spans of a query that are scored for a first threshold.
 SPAN, SLOTS, FIRST = 1024, 64, 4
 #: The tables of a segment: those of added rows, and those of removed ones.
@@ -61,7 +59,17 @@ class TextIndex(Log):
         return bool(self.history())
 
     def _path(self, segment: str, what: str) -> str:
-        return f"{self.root}/segments/{segment}/{what}"
+        return f"{segment}/{what}"
+
+    def _new(self) -> str:
+        return f"{self.root}/segments/{uuid.uuid4().hex}"
+
+    def fork(self, root: str) -> TextIndex:
+        """An index of its own that begins with this one's segments; they are shared and never changed."""
+        other = TextIndex(self.spark, root, self.slots)
+        if not other.publish(1, self.manifest() | {"version": 1}):
+            raise ConcurrentWrite("the index exists")
+        return other
 
     def _publish(self, change: Callable[[dict], dict], attempts: int = 50) -> int:
         """Lays a change over the newest manifest until it is the one that follows it. Segments only add up, so no change conflicts."""
@@ -82,13 +90,13 @@ class TextIndex(Log):
     def _segment(self, rows: DataFrame) -> dict:
         rows = rows.where("doc_id IS NOT NULL")
         lengths = rows.select("doc_id", F.size(tokens(F.coalesce("text", F.lit("")))).alias("len"), F.coalesce(F.length("text"), F.lit(0)).alias("chars"))
-        return self._write(uuid.uuid4().hex, posting_blocks(rows), lengths)
+        return self._write(self._new(), posting_blocks(rows), lengths)
 
     def create(self, rows: DataFrame) -> None:
         """The first segment, unless another writer has made it."""
         made = self._segment(rows)
         if not self.publish(1, {"version": 1, "segments": [made]}):
-            self.files.remove(f"{self.root}/segments/{made['id']}")
+            self.files.remove(made["id"])
 
     def append(self, rows: DataFrame) -> int:
         """Indexes rows (doc_id, text) as a further segment. Their ids are new, or were removed before; rows without an id are left out."""
@@ -97,7 +105,7 @@ class TextIndex(Log):
 
     def remove(self, rows: DataFrame) -> int:
         """Takes rows (doc_id, text as it was indexed) out: their ids are hidden in all segments there are, their tokens counted off."""
-        segment = uuid.uuid4().hex
+        segment = self._new()
         split = stored(rows.select("doc_id", tokens(F.coalesce("text", F.lit(""))).alias("tokens")))
         split.select("doc_id").write.parquet(self._path(segment, "removed"))
         split.select(F.explode(F.array_distinct("tokens")).alias("token")).groupBy("token").agg((-F.count(F.lit(1))).alias("n")).write.parquet(self._path(segment, "counts"))
@@ -107,7 +115,7 @@ class TextIndex(Log):
 
     def compact(self) -> int:
         """One segment of all rows that are left; segments that are added meanwhile stay."""
-        old, segment = self.manifest()["segments"], uuid.uuid4().hex
+        old, segment = self.manifest()["segments"], self._new()
         left = self._alive(old, self._postings(old).select("segment", "token", "span", F.explode("docs").alias("d")).select("segment", "token", "span", "d.doc_id", "d.tf", "d.len"))
         blocks = left.groupBy("token", "span").agg(F.count(F.lit(1)).alias("n"), F.max("tf").alias("max_tf"), F.min("len").alias("min_len"), F.array_sort(F.collect_list(F.struct("doc_id", "tf", "len"))).alias("docs"))
         made = self._write(segment, blocks, self._lengths(old))
@@ -159,16 +167,13 @@ class TextIndex(Log):
         asked = queries.select("qid", F.explode(F.array_distinct(tokens(F.col("text")))).alias("token"))
         asked = stored(asked.withColumn("slot", slot("token", self.slots)))
         wanted = asked.select("token", "slot").distinct()
-        few = wanted.limit(MOST_TOKENS + 1).count() <= MOST_TOKENS
         slots = [r["slot"] for r in wanted.select("slot").distinct().collect()]  # at most as many as there are slots
-        small = F.broadcast if few else lambda df: df
         postings = self._postings(segments).where(F.col("slot").isin(slots)) if slots else self._postings(segments).limit(0)
-
-        bounds = stored(postings.select("segment", "token", "slot", "span", "n", "max_tf", "min_len").join(small(wanted), ["token", "slot"], "left_semi"))
+        bounds = postings.select("segment", "token", "slot", "span", "n", "max_tf", "min_len").join(wanted, ["token", "slot"], "left_semi")
         frequencies = bounds.groupBy("token").agg(F.sum("n").alias("n"))
         counted_off = self._union(segments, "counts", True)
         if counted_off is not None:
-            less = counted_off.join(small(wanted.select("token")), "token", "left_semi").select("token", "n")
+            less = counted_off.join(wanted.select("token"), "token", "left_semi").select("token", "n")
             frequencies = frequencies.unionByName(less).groupBy("token").agg(F.sum("n").alias("n"))
         idf = F.log(1 + (n_docs - F.col("n") + 0.5) / (F.col("n") + 0.5))
         weights = stored(asked.join(frequencies, "token").select("qid", "token", idf.alias("idf")))
@@ -177,13 +182,13 @@ class TextIndex(Log):
             return F.col("idf") * F.col(tf) * (K1 + 1) / (F.col(tf) + K1 * (1 - B + B * F.col(length) / average))
 
         # a row is in one segment, so of a token's bounds in a span the greatest holds
-        by_token = bounds.join(small(weights), "token").groupBy("qid", "token", "span").agg(F.max(part("max_tf", "min_len")).alias("bound"))
+        by_token = bounds.join(weights, "token").groupBy("qid", "token", "span").agg(F.max(part("max_tf", "min_len")).alias("bound"))
         open_spans = stored(by_token.groupBy("qid", "span").agg(F.sum("bound").alias("bound")))
 
         def scored(spans: DataFrame) -> DataFrame:
             """qid, doc_id, bm25 of all rows of the spans (qid, span) that hold a token of the query."""
             tokens_of = stored(weights.join(spans, "qid"))
-            hits = postings.select("segment", "token", "span", "docs").join(F.broadcast(tokens_of) if tokens_of.count() <= MOST_BLOCKS else tokens_of, ["token", "span"]).select("qid", "idf", "segment", F.explode("docs").alias("d")).select("qid", "idf", "segment", "d.doc_id", "d.tf", "d.len")
+            hits = postings.select("segment", "token", "span", "docs").join(tokens_of, ["token", "span"]).select("qid", "idf", "segment", F.explode("docs").alias("d")).select("qid", "idf", "segment", "d.doc_id", "d.tf", "d.len")
             return self._alive(segments, hits).groupBy("qid", "doc_id").agg(F.round(F.sum(part("tf", "len")), 9).alias("bm25"))
 
         order = Window.partitionBy("qid").orderBy(F.desc("bm25"), "doc_id")
