@@ -8,8 +8,8 @@ from recallium.sources.memories import DAY, NOW
 
 
 def clamp01(x: str, fallback: str = "0.0") -> str:
-    """The fallback holds for null and NaN only; it is no floor."""
-    return f"(CASE WHEN ({x}) IS NULL OR isnan({x}) THEN {fallback} ELSE least(1.0, greatest(0.0, {x})) END)"
+    """The fallback holds for null, NaN and infinite values only; it is no floor."""
+    return f"(CASE WHEN ({x}) IS NULL OR isnan({x}) OR abs({x}) = CAST('Infinity' AS DOUBLE) THEN {fallback} ELSE least(1.0, greatest(0.0, {x})) END)"
 
 
 def age(column: str = "ts") -> str:
@@ -27,8 +27,10 @@ def rerank_floor(returned: bool) -> str:
 RERANK_BLEND = f"greatest({rerank_floor(True)}, {clamp01('0.6 * coalesce(v, 0.0) + 0.4 * s')})"
 RERANK_UNRETURNED = f"greatest({rerank_floor(False)}, 0.8 * s)"
 RERANK_LIGHT = clamp01("0.7 * s + 0.3 * coalesce(v, 0.0)", "s")
-RECENCY = clamp01(f"s + exp(-{age()} / 14.0) * 0.1", "s")
-IMPORTANCE = clamp01("s * (0.85 + 0.15 * coalesce(importance, 0.7))", "s")
+#: Days since the time of a row; one that is null, 0 or before counts as now.
+STAMPED_AGE = age(f"(CASE WHEN ts > 0 THEN ts ELSE {NOW} END)")
+RECENCY = clamp01(f"s + exp(-{STAMPED_AGE} / 14.0) * 0.1", "s")
+IMPORTANCE = clamp01("s * (0.85 + 0.15 * coalesce(importance, 0.7))", "s * 0.85")
 LENGTH = clamp01("s / (1.0 + 0.5 * log2(greatest(len / 500.0, 1.0)))", "s")
 
 
@@ -44,7 +46,7 @@ KINDS = (("profile", 2.0, 0.95), ("preferences", 1.5, 0.9), ("entities", 1.0, 0.
 _OF_KIND = lambda i, other: "(CASE kind " + " ".join(f"WHEN '{k[0]}' THEN {k[i]}" for k in KINDS) + f" ELSE {other} END)"
 CATEGORY_LIFE = _OF_KIND(1, 1.0)
 BASE_LIFE = f"((CASE WHEN dynamic THEN 20.0 ELSE 60.0 END) * {CATEGORY_LIFE})"
-TIME_DECAY = clamp01(f"s * (0.5 + 0.5 * exp(-{age()} / {half_life(BASE_LIFE)}))", "s")
+TIME_DECAY = clamp01(f"s * (0.5 + 0.5 * exp(-{STAMPED_AGE} / {half_life(BASE_LIFE)}))", "s * 0.5")
 BETA = "(CASE tier WHEN 'core' THEN 0.8 WHEN 'working' THEN 1.0 ELSE 1.3 END)"
 LAST_ACTIVE = "(CASE WHEN access_count > 0 THEN coalesce(last_accessed_at, ts) ELSE ts END)"
 WEIBULL = f"exp(-(ln(2.0) / ((CASE WHEN dynamic THEN 10.0 ELSE 30.0 END) * exp(1.5 * importance))) * power({age(LAST_ACTIVE)}, {BETA}))"
@@ -52,7 +54,8 @@ SPAN = f"(greatest(1.0, CAST({LAST_ACTIVE} - ts AS DOUBLE) / {DAY}.0) / greatest
 FREQUENCY = f"((1.0 - exp(-access_count / 5.0)) * CASE WHEN access_count > 1 THEN 0.5 + 0.5 * exp(-{SPAN} / 30.0) ELSE 1.0 END)"
 COMPOSITE = f"(0.4 * {WEIBULL} + 0.3 * {FREQUENCY} + 0.3 * importance * confidence)"
 TIER_FLOOR = "(CASE tier WHEN 'core' THEN 0.9 WHEN 'working' THEN 0.7 ELSE 0.5 END)"
-SEARCH_BOOST = clamp01(f"s * least(1.0, greatest(0.3, 0.3 + 0.7 * greatest({TIER_FLOOR}, {COMPOSITE})))", "s")
+_BOOSTED = clamp01(f"s * least(1.0, greatest(0.3, 0.3 + 0.7 * greatest({TIER_FLOOR}, {COMPOSITE})))", "s * 0.3")
+SEARCH_BOOST = f"(CASE WHEN isnan({COMPOSITE}) THEN s * 0.3 ELSE {_BOOSTED} END)"
 #: Over a column composite.
 TIER_NEXT = f"""CASE WHEN tier = 'peripheral' AND access_count >= 3 AND composite >= 0.4 THEN 'working'
  WHEN tier = 'working' AND access_count >= 10 AND composite >= 0.7 AND importance >= 0.8 THEN 'core'

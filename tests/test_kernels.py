@@ -33,6 +33,13 @@ def value(spark, text, **changed):
         (K.FUSION, {"v": None, "b": None}, 0.1),
         (K.RECENCY, {}, 0.5 + math.exp(-1) * 0.1),
         (K.IMPORTANCE, {"importance": None}, 0.5 * (0.85 + 0.15 * 0.7)),
+        (K.IMPORTANCE, {"importance": float("nan")}, 0.5 * 0.85),
+        (K.IMPORTANCE, {"importance": float("inf")}, 0.5 * 0.85),
+        (K.RECENCY, {"ts": 0}, 0.6),
+        (K.RECENCY, {"ts": -5}, 0.6),
+        (K.RECENCY, {"ts": None}, 0.6),
+        (K.TIME_DECAY, {"ts": 0}, 0.5),
+        (K.SEARCH_BOOST, {"importance": float("nan")}, 0.5 * 0.3),
         (K.LENGTH, {}, 0.5 / 1.5),
         (K.LENGTH, {"len": 10.0}, 0.5),
         (K.half_life("60.0"), {}, 60.0),
