@@ -24,20 +24,28 @@ def cosine(a: Column, b: Column) -> Column:
     return F.coalesce(F.when((F.size(a) == F.size(b)) & (norms > 0), dot(a, b) / norms), F.lit(0.0))
 
 
-def knn(corpus: DataFrame, queries: DataFrame, k: int, id_column: str = "doc_id") -> DataFrame:
-    """qid, id, cos of each query's k nearest rows, ties by id. corpus: id, vector; queries: qid, vector.
-
-    Every task keeps k rows a query and batch, so only these are shuffled; queries go in blocks of bounded size."""
-    asked = queries.select("qid", "vector").orderBy("qid")
-    out, total = None, asked.count()
-    for at in range(0, max(1, total), QUERY_BLOCK):
-        block = asked.offset(at).limit(QUERY_BLOCK).collect()
-        part = _knn_block(corpus.select(F.col(id_column).alias("id"), "vector"), [(r["qid"], list(r["vector"])) for r in block], k)
-        out = part if out is None else out.unionByName(part)
+def knn(corpus: DataFrame, queries: DataFrame, k: int, id_column: str = "doc_id", group: str | None = None) -> DataFrame:
+    """qid, id, cos of each query's k nearest rows, ties by id. corpus: id, vector; queries: qid, vector. With a group column, which both
+    have, only rows of the query's group count (null is a group).
+
+    A task keeps the best k rows of each query while it reads, and gives them out once, so tasks times queries times k rows at most are
+    shuffled; queries go in blocks of bounded size."""
     order = Window.partitionBy("qid").orderBy(F.desc("cos"), "id")
+    rows = corpus.select(F.col(id_column).alias("id"), "vector", (F.col(group).cast("string") if group else F.lit(None).cast("string")).alias("grp"))
+    asked, out = queries.select("qid", "vector", (F.col(group).cast("string") if group else F.lit(None).cast("string")).alias("grp")), None
+    for block in _blocks(asked):
+        part = _knn_block(rows, block, k)
+        out = part if out is None else out.unionByName(part)
     return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).withColumnRenamed("id", id_column)
 
 
+def _blocks(queries: DataFrame) -> Iterator[list[tuple]]:
+    """The rows of queries (qid first), about QUERY_BLOCK at a time, by a hash of qid; at least one block."""
+    n = max(1, -(-queries.count() // QUERY_BLOCK))
+    for i in range(n):
+        yield [tuple(r) for r in queries.where(F.pmod(F.xxhash64("qid"), F.lit(n)) == i).collect()]
+
+
 def _matrix(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
     """Unit rows of the vectors, zeros for those of another length, and which rows have the length."""
     fit = np.array(column.value_lengths().fill_null(0)) == dim
@@ -49,9 +57,8 @@ def _matrix(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _broadcast_blocks(queries: DataFrame) -> Iterator[list[tuple]]:
     """(qid, vector) of the queries, so many at a time."""
-    asked = queries.select("qid", "vector").orderBy("qid")
-    for at in range(0, asked.count(), QUERY_BLOCK):
-        yield [(r["qid"], list(r["vector"])) for r in asked.offset(at).limit(QUERY_BLOCK).collect()]
+    for block in _blocks(queries.select("qid", "vector")):
+        yield [(q, list(v)) for q, v in block]
 
 
 def best_of(corpus: DataFrame, queries: DataFrame, id_column: str = "doc_id") -> DataFrame:
@@ -136,28 +143,49 @@ def over_blocks(queries: DataFrame, run: Callable[[DataFrame], DataFrame]) -> Da
     return out
 
 
+#: Queries that are compared with a batch at once.
+TILE = 256
+
+
 def _knn_block(corpus: DataFrame, block: list[tuple], k: int) -> DataFrame:
+    """qid, id, cos: the best k rows of each task for each query of the block (qid, vector, group)."""
     shared = corpus.sparkSession.sparkContext.broadcast(block)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        qids = [q for q, _ in shared.value]
-        m = np.array([v for _, v in shared.value], float).reshape(len(qids), -1)
+        asked = shared.value
+        if not asked or not k:
+            return
+        m = np.array([v for _, v, _ in asked], float).reshape(len(asked), -1)
         m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
+        codes = {g: i for i, g in enumerate(dict.fromkeys(g for _, _, g in asked))}
+        own = np.array([codes[g] for _, _, g in asked])
+        best = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)) for _ in range(0, len(asked), TILE)]  # query, id, cos of each tile
+        least = np.full(len(asked), -np.inf)
         for batch in batches:
-            if not batch.num_rows or not qids:
+            if not batch.num_rows:
                 continue
             ids = np.array(batch.column("id").to_pylist(), np.int64)
-            column = batch.column("vector")
-            fit = np.array(column.value_lengths().fill_null(0)) == m.shape[1]
-            x = np.zeros((batch.num_rows, m.shape[1]))
-            x[fit] = column.filter(pa.array(fit)).flatten().to_numpy(zero_copy_only=False).reshape(-1, m.shape[1])
-            norms = np.linalg.norm(x, axis=1, keepdims=True)
-            cos = np.round(m @ (x / np.where(norms > 0, norms, 1)).T, 12)
-            order = np.argsort(ids, kind="stable")
-            best = order[np.argsort(-cos[:, order], axis=1, kind="stable")[:, :k]]
-            rows = np.repeat(np.arange(len(qids)), best.shape[1])
-            flat = best.ravel()
-            yield pa.RecordBatch.from_arrays([pa.array([qids[r] for r in rows]), pa.array(ids[flat]), pa.array(cos[rows, flat])], ["qid", "id", "cos"])
+            x, _ = _matrix(batch.column("vector"), m.shape[1])
+            groups = np.array([codes.get(g, -1) for g in batch.column("grp").to_pylist()])
+            for t, at in enumerate(range(0, len(asked), TILE)):
+                to = min(at + TILE, len(asked))
+                cos = np.round(m[at:to] @ x.T, 12)
+                if len(codes) > 1 or (groups < 0).any():
+                    cos[own[at:to, None] != groups[None, :]] = -np.inf
+                bound = least[at:to]
+                if cos.shape[1] > k:
+                    bound = np.maximum(bound, np.partition(cos, cos.shape[1] - k, axis=1)[:, cos.shape[1] - k])
+                q, j = np.nonzero((cos >= bound[:, None]) & (cos > -np.inf))
+                of, id_, c = (np.concatenate(z) for z in zip(best[t], (q + at, ids[j], cos[q, j]), strict=True))
+                order = np.lexsort((id_, -c, of))
+                of, id_, c = of[order], id_[order], c[order]
+                place = np.arange(len(of)) - np.searchsorted(of, of)
+                keep = place < k
+                best[t] = of[keep], id_[keep], c[keep]
+                full = keep & (place == k - 1)
+                least[of[full]] = c[full]
+        for of, id_, c in best:
+            yield pa.RecordBatch.from_arrays([pa.array([asked[i][0] for i in of.tolist()], pa.int64()), pa.array(id_), pa.array(c)], ["qid", "id", "cos"])
 
     return corpus.mapInArrow(run, "qid long, id long, cos double")
 
