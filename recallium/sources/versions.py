@@ -92,6 +92,8 @@ class Change:
     rows: dict[int, str] = field(default_factory=dict)
     deletes: dict[int, str] = field(default_factory=dict)
     replaced: set[int] = field(default_factory=set)
+    #: (stream, batch) that this change writes; a version remembers the last batch of each stream.
+    once: tuple[str, int] | None = None
 
 
 class Log:
@@ -163,16 +165,18 @@ class Versions(Log):
             raise ConcurrentWrite("the table exists")
         return 1
 
-    def _commit(self, prepare: Callable[[dict], Change], attempts: int = 20) -> int:
+    def _commit(self, prepare: Callable[[dict], Change | None], attempts: int = 20) -> int | None:
         for _ in range(attempts):
             base = self.manifest()
             change = prepare(base)
+            if change is None:
+                return None
             while True:
                 version = base["version"] + 1
                 if self.publish(version, self._over(base, change, version)):
                     return version
                 base = self.manifest(version)
-                if change.reads & set(base["changed"]):
+                if change.reads & set(base["changed"]) or (change.once and base.get("batches", {}).get(change.once[0], -1) >= change.once[1]):
                     break
             for kind, folders in (("rows", change.rows), ("deletes", change.deletes)):
                 for commit in set(folders.values()):
@@ -187,7 +191,8 @@ class Versions(Log):
         for kind, folders in (("rows", change.rows), ("deletes", change.deletes)):
             for b, commit in folders.items():
                 buckets[str(b)][kind].append([commit, version])
-        return base | {"version": version, "operation": change.operation, "changed": sorted({*change.rows, *change.deletes, *change.replaced}), "buckets": buckets}
+        batches = base.get("batches", {}) | ({change.once[0]: change.once[1]} if change.once else {})
+        return base | {"batches": batches, "version": version, "operation": change.operation, "changed": sorted({*change.rows, *change.deletes, *change.replaced}), "buckets": buckets}
 
     def append(self, df: DataFrame) -> int:
         return self._commit(lambda m: Change("append", rows=self._write(df.select(*T.StructType.fromJson(m["schema"]).names), "rows", m["n"])))
@@ -218,6 +223,27 @@ class Versions(Log):
 
         return self._commit(prepare)
 
+    def merge(self, changes: DataFrame, values: Callable, once: tuple[str, int] | None = None) -> int | None:
+        """Columns of the rows with the keys of changes get new values: values(old, new) -> {column: value}, where old and new give a column
+        of the row and of the change. once: (stream, batch); a batch of a stream that is not above the last one written changes nothing,
+        and the answer is None."""
+
+        def laid(old: DataFrame) -> DataFrame:
+            joined = old.join(changes.select(F.col(self.key).alias("_key"), F.struct(*changes.columns).alias("_new")), F.col(self.key) == F.col("_key"), "left")
+            made = values(lambda c: F.col(c), lambda c: F.col(f"_new.{c}"))
+            kept = {c: F.when(F.col("_key").isNotNull(), v.cast(old.schema[c].dataType)).otherwise(F.col(c)) for c, v in made.items()}
+            return joined.select(*(kept[c].alias(c) if c in kept else F.col(c) for c in old.columns))
+
+        def prepare(m: dict) -> Change | None:
+            if once and m.get("batches", {}).get(once[0], -1) >= once[1]:
+                return None
+            touched = {r["b"] for r in changes.where(F.col(self.key).isNotNull()).select(self._bucket(m["n"]).alias("b")).distinct().collect()}  # at most n
+            change = self._rewrite("merge", touched, laid, m)
+            change.once = once
+            return change
+
+        return self._commit(prepare)
+
     def compact(self, most: int = 8) -> int:
         """Rewrites the buckets of more than `most` folders."""
 
@@ -231,7 +257,7 @@ class Versions(Log):
         old = self.manifest(version)
         for _ in range(20):
             now = max(self.history()) + 1
-            if self.publish(now, old | {"version": now, "operation": "restore", "changed": list(range(old["n"]))}):
+            if self.publish(now, old | {"version": now, "operation": "restore", "batches": self.manifest().get("batches", {}), "changed": list(range(old["n"]))}):
                 return now
         raise ConcurrentWrite("20 attempts")
 

@@ -103,12 +103,3 @@ def shown_memories(recalls: DataFrame, apart: int = 8) -> DataFrame:
         yield pd.DataFrame(shown, columns=["session", "memory", "turn"])
 
     return recalls.groupBy("session", "memory").applyInPandasWithState(step, "session string, memory long, turn long", "last long", "append", GroupStateTimeout.NoTimeout)
-
-
-def learn_noise(vectors: DataFrame, path: str, checkpoint: str):
-    """Appends vectors of texts that gave nothing to the learned noise prototypes; a repeated batch replaces itself."""
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
-
-    return vectors.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from recallium.functions import cleanup, metadata, reflection, rules, vector
-from recallium.operators import chunking, folds, maintenance, noise
+from recallium.operators import chunking, folds, maintenance
 from recallium.plans.conversation_queries import compressed, score
 from recallium.sources import files, tail
 from recallium.streaming import sessions
@@ -106,16 +106,6 @@ def test_reflections(spark):
     assert [(r["kind"], r["ordinal"], r["group_size"]) for r in rows] == [("invariant", 0, 2), ("invariant", 1, 2), ("derived", 0, 1), ("user-model", 0, 1), ("decision", 0, 1)]
 
 
-def test_noise_bank():
-    bank = noise.Bank([[1, 0, 0], [0, 1, 0]])
-    assert bank.is_noise([0.9, 0.1, 0]) and not bank.is_noise([0, 0, 1]) and not bank.learn([1, 0.01, 0]) and bank.learn([0, 0, 1]) and bank.is_noise([0, 0, 2])
-    assert not noise.Bank([[1, 0], [1, 0.01]]).usable and noise.Bank([]).nearest([1.0]) == -1.0
-    for i in range(noise.MOST_LEARNED + 5):
-        bank.learned.append(np.eye(300)[i % 300][:3])
-    bank.learn([0.6, 0.6, -0.5])
-    assert len(bank.learned) <= noise.MOST_LEARNED
-
-
 def test_chunks(spark):
     assert chunking.ranges("") == [] and chunking.ranges("  \n") == [] and chunking.ranges(" short ") == [(1, 6)]
     sentences = "A sentence of words. " * 400
@@ -190,10 +180,6 @@ def test_streams_keep_their_state(spark, tmp_path):
     spark.createDataFrame([("s", t, 7) for t in (1, 6, 12, 14)], recalls).write.json(str(folder))
     finish(sessions.shown_memories(spark.readStream.schema(recalls).json(str(folder))).writeStream.format("memory").queryName("shown").trigger(availableNow=True).start())
     assert sorted(r["turn"] for r in spark.table("shown").collect()) == [1, 12]
-    kinds = "doc_id long, vector array<double>"
-    spark.createDataFrame([(1, [0.5])], kinds).write.parquet(str(tmp_path / "vectors"))
-    finish(sessions.learn_noise(spark.readStream.schema(kinds).parquet(str(tmp_path / "vectors")), str(tmp_path / "bank"), str(tmp_path / "c2")))
-    assert spark.read.parquet(str(tmp_path / "bank")).count() == 1
 
 
 def test_growing_files(spark, tmp_path):
@@ -215,6 +201,28 @@ def test_growing_files(spark, tmp_path):
     assert read() == [1, 2, 3, 4]
     log.write_text('{"n":9}\n')
     assert read() == [1, 2, 3, 4, 9]
+    log.write_text('{"n":10}\n' + '{"n":11}\n' * 20)  # begun anew, and longer than before
+    assert read() == [1, 2, 3, 4, 9, 10, *[11] * 20]
+
+
+def test_readers_that_start_again_and_long_lines(tmp_path):
+    """Offsets come from the files and the checkpoint alone; a line longer than a range belongs to the range it begins in."""
+    log = tmp_path / "a.jsonl"
+    lines = [json.dumps({"n": i, "x": "y" * (5000 if i % 7 == 3 else i)}) for i in range(60)]
+    log.write_text("\n".join(lines[:40]) + "\n" + lines[40][:10])
+    options = {"path": str(tmp_path), "maxbytes": "100"}
+    read = lambda start, end: [json.loads(v)["n"] for p in tail._Reader(options).partitions(start, end) for _, _, v in tail._Reader(options).read(p)]
+    zero = tail._Reader(options).initialOffset()
+    first = json.loads(json.dumps(tail._Reader(options).latestOffset()))
+    assert read(zero, first) == list(range(40)) and read(first, tail._Reader(options).latestOffset()) == []
+    assert len(tail._Reader(options).partitions(zero, first)) > 100 and all(p.end - p.start <= 100 for p in tail._Reader(options).partitions(zero, first))
+    with log.open("a") as f:
+        f.write(lines[40][10:] + "\n" + "\n".join(lines[41:]) + "\n")
+    second = tail._Reader(options).latestOffset()
+    assert read(first, second) == list(range(40, 60)) and read(zero, second) == list(range(60))
+    assert tail._Reader(options | {"startingoffsets": "latest"}).initialOffset() == second
+    log.write_text("z" * 200_000)
+    assert tail._Reader(options).latestOffset()["files"][str(log)]["end"] == 0
 
 
 def test_files(spark, tmp_path):
