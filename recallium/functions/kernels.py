@@ -31,7 +31,7 @@ RERANK_LIGHT = clamp01("0.7 * s + 0.3 * coalesce(v, 0.0)", "s")
 STAMPED_AGE = age(f"(CASE WHEN ts > 0 THEN ts ELSE {NOW} END)")
 RECENCY = clamp01(f"s + exp(-{STAMPED_AGE} / 14.0) * 0.1", "s")
 IMPORTANCE = clamp01("s * (0.85 + 0.15 * coalesce(importance, 0.7))", "s * 0.85")
-LENGTH = clamp01("s / (1.0 + 0.5 * log2(greatest(len / 500.0, 1.0)))", "s")
+LENGTH = clamp01("s / (1.0 + 0.5 * log2(greatest(len / 500.0, 1.0)))", "s * 0.6")
 
 
 def half_life(base: str) -> str:

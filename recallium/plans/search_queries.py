@@ -58,7 +58,7 @@ _FUSED = f"""{VECTORS_SQL}, {_QT}, {_BM25}, nv AS (SELECT count(*) AS n FROM emb
  vh AS (SELECT qid, doc_id, round({_COS}, 12) AS cos FROM vectors c, q QUALIFY row_number() OVER (PARTITION BY qid ORDER BY round({_COS}, 12) DESC, doc_id) <= {POOL}),
  both_legs AS (SELECT qid, doc_id, 1 / (2 - vh.cos) AS v, norm.b FROM vh FULL JOIN norm USING (qid, doc_id)),
  fused AS (SELECT f.qid, f.doc_id, f.v, f.b, {K.FUSION} AS fused, CAST(length(d.text) AS DOUBLE) AS len FROM both_legs f JOIN documents d USING (doc_id)),
- scored AS (SELECT qid, doc_id, round({K.LENGTH.replace("s /", "fused /").replace("THEN s ELSE", "THEN fused ELSE")}, 9) AS score FROM fused WHERE fused >= {LEAST}),
+ scored AS (SELECT qid, doc_id, round({K.LENGTH.replace("s /", "fused /").replace("THEN s * 0.6 ELSE", "THEN fused * 0.6 ELSE")}, 9) AS score FROM fused WHERE fused >= {LEAST}),
  marked AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank, max(score >= {HARD}) OVER (PARTITION BY qid) AS any_hit FROM scored)"""
 
 

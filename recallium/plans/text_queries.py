@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from recallium.catalog import query
 from recallium.functions import patterns as P
 from recallium.operators import chunking
+from recallium.operators.retrieval import expanded
 from recallium.sources.memories import NOW, table
 
 SAMPLES = [
@@ -70,14 +71,7 @@ def _language(cjk, latin):
 @query()
 def query_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Up to five expansions of each text, in the order of the synonym groups; order decides, so without SQL."""
-    t = F.col("text")
-    lower, groups = F.lower(t), []
-    for han, words, expansions in P.SYNONYMS:
-        hit = P.any_of(lower, han, "") | P.any_of(t, [rf"\b{w}\b" for w in words])
-        new = F.filter(F.array(*map(F.lit, expansions)), lambda e: ~F.contains(lower, F.lower(e)))
-        groups.append(F.when(hit, new).otherwise(F.array().cast("array<string>")))
-    added = F.slice(F.array_distinct(F.flatten(F.array(*groups))), 1, P.MAX_EXPANSIONS)
-    return texts(spark, sf_dir).select("doc_id", F.array_join(F.concat(F.array("text"), added), " ").alias("expanded"))
+    return texts(spark, sf_dir).select("doc_id", expanded(F.col("text")).alias("expanded"))
 
 
 @query()
