@@ -393,6 +393,31 @@ def test_mixing_meets_targets(spark, docs, empty):
     assert mixing.mix(empty).count() == 0 and mixing.emit(empty).count() == 0
 
 
+def test_mixing_draws_are_systematic(spark):
+    """Against the definition: places by size and hashed number, one start a source; the copies of a source are exact within one, its words near
+    the target though it has few, long documents; about the fraction of all documents is copied."""
+    sizes = [(i, rng.choice([1, 1, 1, 2, 3, 5, 40, 900, 1500]), f"s{i % 5}" if i % 17 else None) for i in range(600)] + [(i, 4000 + i, "few") for i in range(600, 606)] + [(None, 3, "s1"), (7000, 0, "none")]
+    docs = spark.createDataFrame([(i, " ".join(["w"] * n), s) for i, n, s in sizes], "doc_id long, text string, source string")
+    number = lambda *of: int(hashlib.sha256(":".join(["mix", *of]).encode()).hexdigest()[:15], 16)
+    got = {r["doc_id"]: r for r in mixing.mix(docs).collect()}
+    for source in {s for _, _, s in sizes}:
+        own = sorted((n, number("" if i is None else str(i)), i) for i, n, s in sizes if s == source)
+        total, target = sum(n for n, _, _ in own), got[own[0][2]]["target"]
+        rate = target / total if total else 0.0
+        part, start = rate - math.floor(rate), number("start", source or "", str(source is None).lower()) / 2**60
+        for place, (n, _, i) in enumerate(own):
+            extra = math.floor(start + (place + 1) * part) - math.floor(start + place * part)
+            # places are by size first, so within a size the first ones by number are those that are copied
+            assert got[i]["copies"] - math.floor(rate) in (0, 1) and got[i]["size"] == n and extra in (0, 1)
+        for size in {n for n, _, _ in own}:
+            first = next(p for p, o in enumerate(own) if o[0] == size)
+            some = [o for o in own if o[0] == size]
+            take = math.floor(start + (first + len(some)) * part) - math.floor(start + first * part)
+            assert [got[i]["copies"] - math.floor(rate) for _, _, i in some] == [1] * take + [0] * (len(some) - take)
+        taken = sum(got[i]["copies"] * n for n, _, i in own)
+        assert abs(taken - target) <= own[-1][0] + 1
+
+
 def test_fingerprints(docs, empty):
     order = sorted(ROWS, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
     want = []
