@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -9,6 +12,9 @@ from pyspark.sql import functions as F
 
 from recallium.functions import patterns as P
 from recallium.functions import vector as V
+from recallium.operators.stored import stored
+from recallium.sources.memories import scope_filter
+from recallium.sources.versions import Versions
 
 PLANES = 16
 
@@ -57,6 +63,51 @@ def merged(members: DataFrame) -> DataFrame:
     return rest.join(category, "seed").join(texts, "seed", "left").select("seed", "n", F.coalesce("text", F.lit("")).alias("text"), "importance", "category", "scope")
 
 
+def mean_vectors(members: DataFrame, dim: int) -> DataFrame:
+    """seed, vector: the mean of the members' vectors, of length 1; what stands for a model's vector of the merged text."""
+    at = members.select("seed", F.posexplode(F.transform("vector", lambda x: x.cast("double"))).alias("at", "x")).groupBy("seed", "at").agg(F.avg("x").alias("x"))
+    whole = at.groupBy("seed").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "x"))), lambda p: p["x"]).alias("v"))
+    norm = F.sqrt(V.dot(F.col("v"), F.col("v")))
+    return whole.select("seed", F.when(norm > 0, F.transform("v", lambda x: x / norm)).otherwise(F.col("v")).alias("vector"))
+
+
+@dataclass(frozen=True)
+class Compaction:
+    """What a run did, or would do."""
+
+    scanned: int
+    clusters: int
+    deleted: int
+    created: int
+    version: int | None
+
+
+def compact(memories: Versions, dim: int, before: int, scopes: list[str] | None = None, most: int = 200, threshold: float = 0.88, dry_run: bool = False, embed: Callable[[DataFrame, int], DataFrame] = mean_vectors) -> Compaction:
+    """One run as one transaction: of the memories older than `before`, the oldest `most` are clustered; each cluster becomes a row with a vector
+    of its own (embed(members with seed, text, vector; dim) -> seed, vector) and its members go. Readers see all of it or nothing; where another
+    writer meanwhile changed a member's bucket the run is made anew. A dry run reads and plans the same and writes nothing.
+
+    memories: doc_id, text, vector, importance, category, scope, ts, metadata. New ids are hashed from the seed and the members' number."""
+    said: dict = {}
+
+    def make(rows: DataFrame) -> tuple[DataFrame, DataFrame] | None:
+        old = stored(rows.where((F.col("ts") < before) & scope_filter(scopes) & (F.size("vector") > 0)).orderBy("ts", "doc_id").limit(most))
+        members = stored(greedy_clusters(old, dim, threshold).join(old, "doc_id"))
+        counts = members.agg(F.count(F.lit(1)).alias("members"), F.countDistinct("seed").alias("clusters")).first()
+        said.update(scanned=old.count(), clusters=counts["clusters"], members=counts["members"])
+        if dry_run or not counts["clusters"]:
+            return None
+        note = F.to_json(F.struct(F.lit(True).alias("compacted"), F.col("n").alias("sourceCount"), F.lit(before).alias("compactedAt")))
+        new = merged(members.drop("vector", "ts", "metadata")).join(embed(members, dim), "seed", "left")
+        new = new.select(F.xxhash64(F.lit("compacted"), "seed", "n").alias("doc_id"), "text", "vector", "importance", "category", "scope", F.lit(before).cast("long").alias("ts"), note.alias("metadata"))
+        names = {f.name: f.dataType for f in rows.schema}
+        return members.select("doc_id"), new.select(*(F.col(n).cast(t).alias(n) for n, t in names.items()))
+
+    version = memories.transact("compaction", make)
+    done = version is not None
+    return Compaction(said["scanned"], said["clusters"], said["members"] if done else 0, said["clusters"] if done else 0, version)
+
+
 def batch_survivors(rows: DataFrame, threshold: float = 0.85) -> DataFrame:
     """batch, doc_id, survives. rows: batch, doc_id, vector. In order of ids, a row is a duplicate when an earlier survivor of
     its batch has a cosine above the threshold. A batch is what one extraction yields: a handful of rows."""

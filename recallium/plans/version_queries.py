@@ -8,12 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recallium.catalog import query
-from recallium.operators import chains
+from recallium.operators import chains, compaction
 from recallium.operators import search as S
 from recallium.operators.stored import shared_folder
 from recallium.operators.text_index import index_of
 from recallium.plans.search_queries import _BM25, _QT, POOL, text_queries
-from recallium.sources.memories import BASE_SQL, base, table
+from recallium.sources.memories import BASE_SQL, DAY, NOW, base, table, with_vectors
 from recallium.sources.versions import Versions
 
 
@@ -71,3 +71,13 @@ def indexed_search_after_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     index.append(table(spark, sf_dir, "benchmark").select((-1 - F.col("item_id")).alias("doc_id"), "text"))
     hits = S.min_max(index.search(text_queries(spark, sf_dir), POOL))
     return hits.select("qid", "doc_id", "rank", F.round("bm25", 6).alias("score"))
+
+
+@query()
+def compacted_memories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The memories after one run of compaction (at most 200 of a week or more, the oldest first) as one version; greedy, so without SQL."""
+    rows = with_vectors(spark, sf_dir).select("doc_id", "text", F.col("vector").cast("array<double>").alias("vector"), "importance", "category", F.coalesce("scope", F.lit("global")).alias("scope"), "ts", F.lit(None).cast("string").alias("metadata"))
+    memories = Versions(spark, _scratch(spark, "compaction"))
+    memories.create(rows, buckets=8)
+    compaction.compact(memories, 64, NOW - 7 * DAY)
+    return memories.read().select("doc_id", "importance", "category", "scope", "ts", F.md5(F.coalesce("text", F.lit(""))).alias("text_md5"), F.get_json_object("metadata", "$.sourceCount").cast("long").alias("source_count"))

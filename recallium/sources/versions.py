@@ -210,6 +210,20 @@ class Versions(Log):
 
         return self._commit(prepare)
 
+    def transact(self, operation: str, make: Callable[[DataFrame], tuple[DataFrame, DataFrame] | None]) -> int | None:
+        """make(rows) -> (keys, new rows), or None: hides the keys and adds the rows in one version. Where another writer meanwhile changed a
+        bucket that holds one of the keys, it is made anew from the newer rows."""
+
+        def prepare(m: dict) -> Change | None:
+            made = make(self.read(m["version"]))
+            if made is None:
+                return None
+            keys, rows = made
+            gone = self._write(keys.select(self.key).where(F.col(self.key).isNotNull()).distinct(), "deletes", m["n"])
+            return Change(operation, reads=set(gone), deletes=gone, rows=self._write(rows.select(*T.StructType.fromJson(m["schema"]).names), "rows", m["n"]))
+
+        return self._commit(prepare)
+
     def _rewrite(self, operation: str, touched: set[int], change: Callable[[DataFrame], DataFrame], m: dict) -> Change:
         rows = self._write(change(self.read(m["version"], touched)), "rows", m["n"]) if touched else {}
         return Change(operation, reads=touched, rows=rows, replaced=touched)

@@ -6,6 +6,7 @@ from concurrent.futures import ThreadPoolExecutor
 import pytest
 from pyspark.sql import functions as F
 
+from recallium.operators import compaction
 from recallium.sources.versions import Change, ConcurrentWrite, Versions
 
 SCHEMA = "doc_id long, text string, n int"
@@ -133,3 +134,44 @@ def test_a_table_without_rows(spark, tmp_path):
     t.delete(spark.createDataFrame([(1,)], "doc_id long"))
     t.append(spark.createDataFrame([(1, "x", 2)], SCHEMA))
     assert t.read().select(F.sum("n")).first()[0] == 2
+
+
+MEMORIES = "doc_id long, text string, vector array<double>, importance double, category string, scope string, ts long, metadata string"
+
+
+@pytest.fixture
+def memories(spark, tmp_path):
+    rows = [(1, "a\nb", [1.0, 0.0], 0.2, "fact", "global", 5, None), (2, "B\nc", [1.0, 0.01], 0.9, "other", "global", 6, None), (3, "d", [0.0, 1.0], 0.5, "fact", "global", 7, None), (4, "e", [1.0, 0.0], 0.1, "fact", "global", 99, None), (5, "f", [1.0, 0.0], 0.1, "fact", "agent:x", 6, None), (6, "g", [], 0.1, "fact", "global", 6, None)]
+    t = Versions(spark, f"file://{tmp_path}/m")
+    t.create(spark.createDataFrame(rows, MEMORIES), buckets=4)
+    return t
+
+
+def test_compaction_is_one_transaction(spark, memories):
+    planned = compaction.compact(memories, 2, 50, ["global"], dry_run=True)
+    assert (planned.scanned, planned.clusters, planned.deleted, planned.created, planned.version) == (3, 1, 0, 0, None) and memories.history() == [1]
+    done = compaction.compact(memories, 2, 50, ["global"])
+    assert (done.scanned, done.clusters, done.deleted, done.created, done.version) == (3, 1, 2, 1, 2)
+    have = {r["doc_id"]: r for r in memories.read().collect()}
+    new = next(r for i, r in have.items() if i not in range(7))
+    assert set(have) - {new["doc_id"]} == {3, 4, 5, 6} and new["text"] == "B\nc\na" and (new["importance"], new["category"], new["scope"]) == (0.9, "other", "global")
+    assert new["metadata"] == '{"compacted":true,"sourceCount":2,"compactedAt":50}' and new["vector"] == pytest.approx([1.0, 0.005], abs=1e-4)
+    assert compaction.compact(memories, 2, 50, ["global"]).version is None and memories.read(1).count() == 6
+
+
+def test_compaction_sees_what_others_wrote_meanwhile(spark, memories):
+    """A member is changed while a run plans: the run is made anew and takes the change over."""
+    plain, seen = memories.read, []
+
+    def read(*a):
+        seen.append(1)
+        rows = plain(*a)
+        if len(seen) == 1:
+            Versions(spark, memories.root).update(spark.createDataFrame([(1, "changed")], "doc_id long, text string"))
+        return rows
+
+    memories.read = read
+    done = compaction.compact(memories, 2, 50, ["global"])
+    assert len(seen) == 2 and done.version == 3
+    memories.read = plain
+    assert [r["text"] for r in memories.read().where("metadata IS NOT NULL").collect()] == ["B\nc\nchanged"]
