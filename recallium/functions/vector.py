@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Callable, Iterator
 
@@ -111,12 +112,27 @@ def nearest_other(corpus: DataFrame, queries: DataFrame) -> DataFrame:
     return out.groupBy("qid").agg(F.max("cos").alias("cos"))
 
 
-def near_pairs(rows: DataFrame, threshold: float, tables: int = 40, bits: int = 16, seed: int = 5) -> DataFrame:
-    """a, b, cos of all pairs of rows (id, vector) with a cosine of at least threshold. Rows meet in buckets of `bits` signs of random
-    directions; a pair at 0.95 shares a bucket of the 40 with probability 0.9997. Vectors must differ from each other: equal ones
-    would meet in every bucket."""
+#: Rows of a bucket that are aimed at, rows of a bucket that are compared by one task, chance to find a pair at the threshold.
+PER_BUCKET, MOST_IN_BUCKET, RECALL = 64, 2048, 0.999
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def bucket_plan(n: int, threshold: float, recall: float = RECALL) -> tuple[int, int]:
+    """(bits, tables) for n vectors: so many signs that a bucket holds about PER_BUCKET of n vectors without order, and so many tables
+    that a pair at the threshold, whose signs agree one by one with the chance 1 - angle / pi, shares a bucket with the given chance."""
+    bits = min(24, max(4, math.ceil(math.log2(max(2, n / PER_BUCKET)))))
+    together = (1 - math.acos(min(1.0, threshold)) / math.pi) ** bits
+    return bits, max(1, math.ceil(math.log(1 - recall) / math.log(1 - together))) if together < 1 else 1
+
+
+def near_pairs(rows: DataFrame, threshold: float, recall: float = RECALL, seed: int = 5, most: int = MOST_IN_BUCKET) -> DataFrame:
+    """a, b, cos of all pairs of rows (id, vector) with a cosine of at least threshold, but for those that no bucket brings together: at
+    the threshold a share of 1 - recall, above it less. Rows meet in buckets of signs of random directions, whose number follows the number
+    of rows. They are compared where they meet, so only pairs that are near leave a task; a bucket of more than `most` rows is cut into
+    blocks, of which every two are compared by a task of their own. Vectors must differ from each other: equal ones would meet in every
+    bucket."""
+    bits, tables = bucket_plan(rows.count(), threshold, recall)
+
+    def signs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes, powers = None, 1 << np.arange(bits, dtype=np.int64)
         for batch in batches:
             sizes = np.array(batch.column("vector").value_lengths().fill_null(0))
@@ -126,12 +142,46 @@ def near_pairs(rows: DataFrame, threshold: float, tables: int = 40, bits: int =
                     planes = np.random.default_rng([seed, dim]).standard_normal((dim, tables * bits))
                 x, _ = _matrix(part.column("vector"), dim)
                 keys = ((x @ planes > 0).reshape(len(x), tables, bits) @ powers) + (np.arange(tables, dtype=np.int64) << bits) + (dim << 40)
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(list(keys), pa.list_(pa.int64()))], ["id", "keys"])
-
-    found = rows.select("id", "vector").mapInArrow(run, "id long, keys array<long>").select("id", F.explode("keys").alias("key"))
-    pairs = found.select(F.col("id").alias("a"), "key").join(found.select(F.col("id").alias("b"), "key"), "key").where("a < b").select("a", "b").distinct()
-    left, right = rows.select(F.col("id").alias("a"), F.col("vector").alias("x")), rows.select(F.col("id").alias("b"), F.col("vector").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", cosine(F.col("x"), F.col("y")).alias("cos")).where(F.col("cos") >= threshold)
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(list(x), pa.list_(pa.float64())), pa.array(list(keys), pa.list_(pa.int64()))], ["id", "x", "keys"])
+
+    found = rows.select("id", "vector").mapInArrow(signs, "id long, x array<double>, keys array<long>")
+    large = found.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most)
+    large = F.broadcast(large.select("key", F.ceil(F.col("n") / most).cast("int").alias("blocks")))  # at most rows * tables / most
+    placed = found.select("id", "x", F.explode("keys").alias("key")).join(large, "key", "left").withColumn("block", F.when(F.col("blocks").isNull(), 0).otherwise(F.pmod(F.xxhash64("id"), F.col("blocks"))).cast("int"))
+    others = F.when(F.col("blocks").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))
+    dealt = placed.withColumn("other", F.explode(others)).select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "id", "x")
+
+    def near(part: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        ids, block = part.column("id").to_numpy(), part.column("block").to_numpy()
+        x = np.array(part.column("x").combine_chunks().flatten()).reshape(len(ids), -1)
+        left, right = (np.flatnonzero(block == part.column(c)[0].as_py()) for c in ("lo", "hi"))
+        out = []
+        for at in range(0, len(left), 512):
+            some = left[at : at + 512]
+            cos = x[some] @ x[right].T
+            i, j = np.nonzero(cos >= threshold)
+            a, b = ids[some[i]], ids[right[j]]
+            keep = a < b if part.column("lo")[0] == part.column("hi")[0] else a != b
+            out.append((np.minimum(a, b)[keep], np.maximum(a, b)[keep], cos[i, j][keep]))
+        return tuple(np.concatenate(z) for z in zip(*out, strict=True))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in itertools.chain(batches, [None]):
+            if batch is not None:
+                held = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+            if held is None or not held.num_rows:
+                continue
+            names = np.stack([held.column(c).to_numpy().astype(np.int64) for c in ("key", "lo", "hi")], 1)
+            cuts = [0, *(np.flatnonzero((names[1:] != names[:-1]).any(1)) + 1).tolist(), held.num_rows]
+            whole = len(cuts) - 1 if batch is None else len(cuts) - 2  # the last group may go on in the next batch
+            pairs = [near(held.slice(a, b - a)) for a, b in zip(cuts[:whole], cuts[1 : whole + 1], strict=True) if b - a > 1]
+            held = held.slice(cuts[whole])
+            if pairs:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*pairs, strict=True)], ["a", "b", "cos"])
+
+    met = dealt.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(compare, "a long, b long, cos double")
+    return met.groupBy("a", "b").agg(F.max("cos").alias("cos"))
 
 
 def over_blocks(queries: DataFrame, run: Callable[[DataFrame], DataFrame]) -> DataFrame:

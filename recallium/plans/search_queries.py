@@ -9,6 +9,7 @@ from recallium.catalog import query
 from recallium.functions import kernels as K
 from recallium.functions import vector as V
 from recallium.operators import search as S
+from recallium.operators.stored import stored
 from recallium.sources.memories import NOW, USAGE_SQL, VECTORS_SQL, base, scope_filter, table, usage, with_vectors
 
 POOL, LIMIT, LEAST, HARD = 20, 10, 0.1, 0.35
@@ -189,15 +190,15 @@ def _decision(near: float, name: str) -> None:
 
     @query(sql, name)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        rows = with_vectors(spark, sf_dir)
-        key = F.xxhash64("vector").alias("id")
-        firsts = rows.groupBy(key, "category").agg(F.min("doc_id").alias("first"), F.any_value("vector").alias("vector"))
-        different = firsts.groupBy("id").agg(F.any_value("vector").alias("vector"))
-        pairs = V.near_pairs(different, near, tables=40 if near > 0.9 else 200, bits=16 if near > 0.9 else 6)
+        rows = with_vectors(spark, sf_dir).select("doc_id", "category", "vector")
+        different = stored(rows.groupBy("vector").agg(F.min("doc_id").alias("id")))  # a vector is known by its first memory
+        rows = rows.join(different.withColumnRenamed("vector", "_vector"), F.col("vector").eqNullSafe(F.col("_vector")))
+        firsts = rows.groupBy("id", "category").agg(F.min("doc_id").alias("first"))
+        pairs = stored(V.near_pairs(different, near))
         both = pairs.select("a", "b", "cos").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "cos")).unionByName(different.select(F.col("id").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("cos")))
         old = both.join(firsts.select(F.col("id").alias("b"), F.col("category").alias("old_category"), "first"), "b")
         known = _earliest(old)
-        joined = rows.select("doc_id", "category", key).join(known, "id", "left")
+        joined = rows.select("doc_id", "category", "id").join(known, "id", "left")
         same = F.element_at("by", F.col("category"))
         return joined.select("doc_id", F.when(F.col("earliest") < F.col("doc_id"), "duplicate").when((same < F.col("doc_id")) & F.col("category").isin("preference", "entity"), "supersede").otherwise("store").alias("decision"))
 

@@ -12,6 +12,7 @@ from recallium.functions import patterns as P
 from recallium.functions import rules as R
 from recallium.functions import vector as V
 from recallium.operators import search as S
+from recallium.operators.stored import stored
 from recallium.plans.conversation_queries import _C, turns
 from recallium.plans.search_queries import _BM25, _COS, _QT, _QV, POOL, text_queries, vector_queries
 from recallium.plans.statistics_queries import _EVENTS, events
@@ -184,11 +185,12 @@ _RULES = "CASE WHEN best > 0.9 THEN true ELSE false END AS text_rule, coalesce(b
 def duplicate_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which duplicate rules an earlier memory sets off: nearer than 0.90 for captured texts, 0.97 for reflections, 0.95 for imports."""
     rows = with_vectors(spark, sf_dir)
-    firsts = rows.groupBy(F.xxhash64("vector").alias("id")).agg(F.min("doc_id").alias("first"), F.any_value("vector").alias("vector"))
-    pairs = V.near_pairs(firsts, 0.9, tables=60, bits=12)
+    firsts = stored(rows.groupBy("vector").agg(F.min("doc_id").alias("first")).withColumn("id", F.col("first")))  # a vector is known by its first memory
+    pairs = stored(V.near_pairs(firsts, 0.9))
     old = pairs.select("a", "b", "cos").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "cos")).unionByName(firsts.select(F.col("id").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("cos")))
     known = old.join(firsts.select(F.col("id").alias("b"), "first"), "b").groupBy("a").agg(F.collect_list(F.struct("cos", "first")).alias("near"))
-    joined = rows.select("doc_id", F.xxhash64("vector").alias("a")).join(known, "a", "left")
+    ids = firsts.select(F.col("vector").alias("_vector"), F.col("id").alias("a"))
+    joined = rows.join(ids, F.col("vector").eqNullSafe(F.col("_vector"))).select("doc_id", "a").join(known, "a", "left")
     best = F.array_max(F.transform(F.filter("near", lambda x: x["first"] < F.col("doc_id")), lambda x: x["cos"]))
     over = lambda t: F.coalesce(F.col("best") > t, F.lit(False))
     return joined.select("doc_id", best.alias("best")).select("doc_id", over(0.9).alias("text_rule"), over(0.97).alias("reflection_rule"), over(0.95).alias("import_rule"))

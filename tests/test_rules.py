@@ -2,6 +2,7 @@
 
 import datetime
 import json
+import math
 import os
 
 import numpy as np
@@ -144,8 +145,32 @@ def test_sorted_fold_and_pairs(spark):
     unit = x / np.linalg.norm(x, axis=1, keepdims=True)
     want = {(i, j) for i in range(300) for j in range(i + 1, 300) if unit[i] @ unit[j] >= 0.95}
     table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vector array<double>")
-    got = {(r["a"], r["b"]) for r in vector.near_pairs(table, 0.95).collect()}
-    assert got <= want and len(got) >= 0.99 * len(want) and len(want) > 100
+    for most in (vector.MOST_IN_BUCKET, 20):  # whole buckets, and in blocks
+        got = {(r["a"], r["b"]): r["cos"] for r in vector.near_pairs(table, 0.95, most=most).collect()}
+        assert set(got) <= want and len(got) >= 0.99 * len(want) and len(want) > 100 and all(c == pytest.approx(unit[a] @ unit[b]) for (a, b), c in got.items())
+
+
+def test_bucket_plan_follows_the_number_of_rows():
+    plans = [vector.bucket_plan(n, 0.95) for n in (0, 1000, 10**6, 10**9)]
+    assert [b for b, _ in plans] == [4, 4, 14, 24] and sorted(t for _, t in plans) == [t for _, t in plans]
+    for n in (10, 10**5, 10**8):
+        for threshold in (0.6, 0.9, 0.95, 1.0):
+            bits, tables = vector.bucket_plan(n, threshold)
+            assert 1 - (1 - (1 - math.acos(threshold) / math.pi) ** bits) ** tables >= 0.999
+
+
+def test_recall_of_pairs_by_brute_force(spark):
+    """Pairs just above 0.9, the hardest ones, among 3000 vectors: the share that is found."""
+    gen = np.random.default_rng(9)
+    x = gen.standard_normal((3000, 32))
+    away = gen.standard_normal((1500, 32))
+    unit = x[:1500] / np.linalg.norm(x[:1500], axis=1, keepdims=True)
+    away -= (away * unit).sum(1, keepdims=True) * unit
+    away /= np.linalg.norm(away, axis=1, keepdims=True)
+    x[1500:] = 0.905 * unit + math.sqrt(1 - 0.905**2) * away
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vector array<double>")
+    got = vector.near_pairs(table, 0.9).where("b - a = 1500").count()
+    assert got >= 0.99 * 1500
 
 
 def test_metadata_patches(spark):
