@@ -1,4 +1,4 @@
-"""Jobs on the whole table: backups, embedding anew, utility by a model, and which job is due."""
+"""Jobs on the whole table: backups, embedding anew, utility by a model."""
 
 from __future__ import annotations
 
@@ -8,29 +8,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-DAY = 86_400_000
-# The jobs of a background run, in their order, with the milliseconds between two runs of each.
-JOBS = [("sweep", 0), ("consolidate", DAY), ("compact", DAY)]
-
-
-def due(last_runs: dict[str, int], now: int, jobs=JOBS) -> list[str]:
-    """The jobs whose time has come, in order; a job that never ran is due."""
-    return [name for name, apart in jobs if name not in last_runs or now - last_runs[name] >= apart]
-
-
-def run_due(last_runs: dict[str, int], now: int, steps: dict[str, Callable[[], object]]) -> dict[str, int]:
-    """Runs what is due; a job that fails keeps its old time, so that it is due again, and does not stop the others."""
-    after, failed = dict(last_runs), []
-    for name in due(last_runs, now):
-        try:
-            steps[name]()
-            after[name] = now
-        except Exception as e:  # every job gets its turn
-            failed.append((name, e))
-    if failed:
-        after["failed"] = len(failed)
-    return after
-
 
 def backup(rows: DataFrame, folder: str, day: str, keep: int = 7, most: int = 10_000) -> list[str]:
     """Writes the newest rows without vectors below folder/day; the latest `keep` days stay. Returns their names."""

@@ -7,7 +7,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from recallium.catalog import query
+from recallium.operators import metrics
 from recallium.operators.folds import sorted_fold
+from recallium.operators.stored import stored
 from recallium.sources.memories import BASE_SQL, DAY, MILLIS_SQL, NOW, base, millis, table
 
 _EVENTS = f"ev AS (SELECT event_id, user_id, event_type, value, {MILLIS_SQL} AS at_ms, CAST(props->>'$.k' AS BIGINT) AS k FROM events)"
@@ -200,3 +202,26 @@ def cooldown_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     rows = events(spark, sf_dir).select("user_id", "at_ms", "event_id")
     return sorted_fold(rows, ["user_id"], ["at_ms", "event_id"], step, "passed", "boolean").select("event_id", "passed")
+
+
+def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as measurements: the type is the operation, the value its latency, k a score."""
+    score = F.col("k") / 100
+    e = events(spark, sf_dir)
+    return e.select(F.col("event_type").alias("operation"), "event_id", "at_ms", F.col("value").alias("latency"), (F.col("event_id") % 7 == 0).alias("failed"), F.create_map(F.lit("k"), score).alias("features"))
+
+
+@query(f"""WITH {_EVENTS}, r AS (SELECT *, k::DOUBLE / 100 AS score FROM ev), m AS (SELECT event_type AS operation, NULL AS feature, at_ms // 86400000 * 86400000 AS day, event_id, value AS x FROM r UNION ALL SELECT event_type, 'k', at_ms // 86400000 * 86400000, event_id, score FROM r WHERE score IS NOT NULL)
+ SELECT operation, coalesce(feature, 'latency') AS measure, CAST(day AS BIGINT) AS day, count(*) AS n, count(*) FILTER (event_id % 7 = 0) AS failures, round(sum(x), 4) AS total, min(x) AS least, max(x) AS most, true AS p50_in_bounds, true AS p95_in_bounds FROM m GROUP BY ALL""")
+def metric_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Days merged from hours: counts and bounds, and whether the sketches' quantiles stand where the records have them."""
+    records = _records(spark, sf_dir)
+    day = (F.floor(F.col("hour") / metrics.DAY) * metrics.DAY).alias("day")
+    days = stored(metrics.merged(metrics.by_hour(records), "operation", F.coalesce("feature", F.lit("latency")).alias("measure"), day).withColumns({f"p{p}": metrics.quantile(p / 100) for p in (50, 95)}).drop("sketch"))
+    of_day = (F.floor(F.col("at_ms") / metrics.DAY) * metrics.DAY).alias("day")
+    values = records.select("operation", F.lit("latency").alias("measure"), of_day, F.col("latency").alias("x")).unionByName(records.select("operation", of_day, F.explode("features").alias("measure", "x")).select("operation", "measure", "day", "x"))
+    keys = ["operation", "measure", "day"]
+    ranks = values.join(days.select(*keys, "p50", "p95"), keys).groupBy(*keys).agg(*(F.count_if(F.col("x") < F.col(p)).alias(f"{p}_below") for p in ("p50", "p95")), *(F.count_if(F.col("x") <= F.col(p)).alias(f"{p}_up_to") for p in ("p50", "p95")))
+    slack = F.col("n") * metrics.RANK_ERROR + 1
+    inside = lambda p: (F.col(f"p{p}_below") <= p / 100 * F.col("n") + slack) & (F.col(f"p{p}_up_to") >= p / 100 * F.col("n") - slack)
+    return days.join(ranks, keys).select(*keys, "n", "failures", F.round("total", 4).alias("total"), "least", "most", inside(50).alias("p50_in_bounds"), inside(95).alias("p95_in_bounds"))

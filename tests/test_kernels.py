@@ -84,16 +84,6 @@ def test_health_and_recovery(spark):
     assert sorted(map(tuple, L.recovered(df, 0.9).collect())) == [(2, "confirmed", "core"), (3, "confirmed", "working")]
 
 
-def test_judged_collection_against_published_figures(spark):
-    """All published means but two are met; the text score of the published run is another engine's, so the order of a few answers differs
-    (published: NDCG 0.955, best answer first 0.933)."""
-    from recallium import registry
-
-    r = registry.queries()["judged_summary"](spark, "").first()
-    assert (r["questions"], r["precision_at_5"], r["recall_at_5"], r["reciprocal_rank"], r["passed"]) == (15, 0.32, 0.956, 1.0, 0.0)
-    assert r["ndcg_at_5"] >= 0.955 and r["ideal_first"] >= 0.7
-
-
 def test_cosine_edges(spark):
     rows = [([1.0, 0.0], [1.0, 0.0], 1.0), ([1.0, 0.0], [0.0, 2.0], 0.0), ([0.0, 0.0], [1.0, 1.0], 0.0), ([1.0], [1.0, 1.0], 0.0), ([], [], 0.0), (None, [1.0], 0.0)]
     df = spark.createDataFrame(rows, "a array<double>, b array<double>, want double")

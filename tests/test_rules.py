@@ -277,10 +277,6 @@ def test_files(spark, tmp_path):
 
 
 def test_maintenance(spark, tmp_path):
-    assert maintenance.due({}, 5) == ["sweep", "consolidate", "compact"] and maintenance.due({"consolidate": 1, "compact": 1 - maintenance.DAY}, 2) == ["sweep", "compact"]
-    ran = []
-    after = maintenance.run_due({}, 7, {"sweep": lambda: ran.append(1), "consolidate": lambda: 1 / 0, "compact": lambda: ran.append(2)})
-    assert ran == [1, 2] and after == {"sweep": 7, "compact": 7, "failed": 1}
     rows = spark.createDataFrame([(i, str(i), f"t{i % 2}", i, [0.0]) for i in range(6)], "doc_id long, id string, text string, ts long, vector array<float>")
     for day in range(10, 19):
         kept = maintenance.backup(rows, str(tmp_path / "backups"), f"2024-01-{day}", most=4)
