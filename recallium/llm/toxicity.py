@@ -44,13 +44,14 @@ _TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
 class Settings:
     """The bounds of what is learned from. labelled_toxic and labelled_clean: about so many labelled training documents, those
     of the lowest hashes of their ids, are read for the lexicon (all, if there are fewer). sample_toxic and sample_clean: so
-    many of their texts, chosen by a hash of the text, are fitted on, the field on segments of so many tokens, the document
-    score on whole texts."""
+    many of their texts of up to `longest` characters, chosen by a hash of the text, are fitted on, the field on segments of so many
+    tokens, the document score on whole texts; so what comes to the driver is bounded. Longer labelled texts count in the lexicon."""
 
     labelled_toxic: int = 10_000
     labelled_clean: int = 20_000
     sample_toxic: int = 2000
     sample_clean: int = 2000
+    longest: int = 20_000
     least_texts: int = 4
     epochs: int = 45
     segment: int = 100
@@ -319,7 +320,7 @@ def train(docs: DataFrame, labels: DataFrame, held_out, s: Settings = Settings()
     marks = lexicon(rows, s, weight)
     sample = []
     for toxic, most in ((1, s.sample_toxic), (0, s.sample_clean)):
-        part = rows.where((F.col("toxic") == toxic) & (F.length("text") <= 20_000))
+        part = rows.where((F.col("toxic") == toxic) & (F.length("text") <= s.longest))
         keys = [r["key"] for r in part.select("key").orderBy("key").limit(most).collect()]
         if keys:
             sample += [(r["text"].encode(), toxic) for r in part.where(F.col("key") <= keys[-1]).orderBy("key").select("text").collect()]
