@@ -75,6 +75,21 @@ def smart(m: Column, text: Column, category: Column, ts: Column) -> dict[str, Co
     }
 
 
+#: Names of the known fields in the JSON text, where they differ.
+WRITTEN_AS = {"temporal_type": "memory_temporal_type"}
+
+
+def built(raw: Column, patch: Column, text: Column, category: Column, ts: Column) -> Column:
+    """The metadata as JSON after a patch: every known field in its normal form, those without a value left out, and every key that is not
+    known as it was, whatever it holds. Building again changes nothing."""
+    after = patched(raw, patch)
+    fields = {WRITTEN_AS.get(n, n): c for n, c in smart(parsed(after), text, category, ts).items() if n != "legacy"}
+    kind = "map<string,variant>"
+    known = F.try_variant_get(F.try_parse_json(F.to_json(F.struct(*(c.alias(n) for n, c in fields.items())))), "$", kind)
+    others = F.map_filter(F.try_variant_get(F.try_parse_json(after), "$", kind), lambda k, _: ~k.isin(list(fields)))
+    return F.to_json(F.map_concat(others, known))
+
+
 def patched(raw: Column, patch: Column) -> Column:
     """The object with the patch's keys in place, as JSON; null values of a patch count too."""
     kind = "map<string,variant>"

@@ -152,3 +152,18 @@ def migrate_legacy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("id", F.coalesce("scope", F.lit("global")).alias("scope"), F.coalesce("importance", F.lit(0.7)).alias("importance"), F.coalesce("createdAt", F.lit(NOW)).alias("timestamp"))
 
 
+_KNOWN = [M.WRITTEN_AS.get(f, f) for f in FIELDS if f != "legacy"]
+
+
+@query(f"""WITH {_SMART} SELECT doc_id, CAST(len(list_filter(coalesce(json_keys(m), CAST([] AS VARCHAR[])), lambda k: NOT list_contains({_KNOWN}, k))) + {' + '.join(f'CAST({f} IS NOT NULL AS INT)' for f in FIELDS if f != 'legacy')} AS BIGINT) AS fields,
+ m->>'$.type' AS type, tier, access_count, confidence, fact_key, temporal_type, CAST(m->>'$.admission_control.evaluated_at' AS BIGINT) AS evaluated_at FROM smart""")
+def built_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metadata built anew from what each row holds: known fields in normal form, unknown keys kept."""
+    raw = F.when(F.col("m").isNotNull(), F.col("metadata"))
+    new = rows(spark, sf_dir).select("doc_id", M.built(raw, F.lit("{}"), F.col("text"), F.col("category"), F.col("ts")).alias("built"))
+    b = F.parse_json("built")
+    get = lambda p, t: F.try_variant_get(b, p, t)
+    return new.select(
+        "doc_id", F.size(F.map_keys(get("$", "map<string,variant>"))).cast("long").alias("fields"), get("$.type", "string").alias("type"), get("$.tier", "string").alias("tier"), get("$.access_count", "long").alias("access_count"),
+        get("$.confidence", "double").alias("confidence"), get("$.fact_key", "string").alias("fact_key"), get("$.memory_temporal_type", "string").alias("temporal_type"), get("$.admission_control.evaluated_at", "long").alias("evaluated_at"),
+    )

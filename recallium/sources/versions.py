@@ -151,9 +151,10 @@ class Versions(Log):
         return F.pmod(F.xxhash64(F.col(self.key)), F.lit(n)).cast("int")
 
     def _write(self, df: DataFrame, kind: str, n: int) -> dict[int, str]:
-        """Bucket -> number of this write, for the buckets that got rows. Each bucket is dealt to one task per output file."""
+        """Bucket -> number of this write, for the buckets that got rows. Rows are rebalanced by bucket, so small buckets share tasks and large ones
+        are cut into several files."""
         commit = uuid.uuid4().hex
-        dealt = df.withColumns({"_commit": F.lit(commit), "bucket": self._bucket(n)}).repartition("bucket")
+        dealt = df.withColumns({"_commit": F.lit(commit), "bucket": self._bucket(n)}).hint("rebalance", "bucket")
         dealt.write.partitionBy("bucket").parquet(f"{self.root}/{kind}/{commit}")
         return {int(c.split("=")[1]): commit for c in self.files.children(f"{self.root}/{kind}/{commit}") if c.startswith("bucket=")}
 
