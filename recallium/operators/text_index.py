@@ -24,6 +24,8 @@ from recallium.operators.search import B, K1, tokens
 from recallium.operators.stored import shared_folder, stored
 from recallium.sources.versions import ConcurrentWrite, Log
 
+#: Of the stored form; an index of another form is made anew.
+FORM = 2
 #: Ids of one posting row, partitions by token hash, spans of a query that are scored for a first threshold.
 SPAN, SLOTS, FIRST = 1024, 64, 4
 #: The tables of a segment: those of added rows, and those of removed ones.
@@ -204,7 +206,7 @@ def index_of(spark: SparkSession, path: str) -> TextIndex:
     files = Log(spark, path).files
     p, fs = files.path(path)
     listed = sorted(f"{s.getPath().getName()} {s.getLen()} {s.getModificationTime()}" for s in (fs.listStatus(p) if fs.exists(p) else []))
-    name = hashlib.sha256("\n".join([path, str(SPAN), str(SLOTS), *listed]).encode()).hexdigest()[:32]
+    name = hashlib.sha256("\n".join([path, str(FORM), str(SPAN), str(SLOTS), *listed]).encode()).hexdigest()[:32]
     index = TextIndex(spark, f"{shared_folder(spark).rstrip('/')}/recallium/text-index-{name}")
     if not index.exists():
         index.create(spark.read.parquet(path).select("doc_id", "text"))
