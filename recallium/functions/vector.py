@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Queries of one block; their matrix is what a task gets broadcast.
 QUERY_BLOCK = 4096
+#: Queries, and rows of a batch, that are compared at once: what a task holds of their cosines.
+TILE, ROWS = 256, 1024
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -56,21 +58,41 @@ def _matrix(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
     return x / np.where(norms > 0, norms, 1), fit
 
 
-def _broadcast_blocks(queries: DataFrame) -> Iterator[list[tuple]]:
-    """(qid, vector) of the queries, so many at a time."""
+def _packed(block: list[tuple]) -> tuple[list, np.ndarray]:
+    """The first values and the vectors (the second ones) of a block, as a matrix."""
+    return [r[0] for r in block], np.array([r[1] for r in block], float).reshape(len(block), -1 if block else 0)
+
+
+def _unit(m: np.ndarray) -> np.ndarray:
+    return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows, at most ROWS at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS):
+            yield batch.slice(at, ROWS)
+
+
+def _tiles(n: int) -> Iterator[slice]:
+    return (slice(at, at + TILE) for at in range(0, n, TILE))
+
+
+def _broadcast_blocks(queries: DataFrame) -> Iterator[tuple[list, np.ndarray]]:
+    """qids and vectors of the queries, so many at a time; nothing where there are none."""
     for block in _blocks(queries.select("qid", "vector")):
-        yield [(q, list(v)) for q, v in block]
+        if block:
+            yield _packed(block)
 
 
 def best_of(corpus: DataFrame, queries: DataFrame, id_column: str = "doc_id") -> DataFrame:
     """id, cos: each row's greatest cosine to any of the queries."""
     rows, out = corpus.select(F.col(id_column).alias("id"), "vector"), None
     for block in _broadcast_blocks(queries):
-        shared = corpus.sparkSession.sparkContext.broadcast([v for _, v in block])
+        shared = corpus.sparkSession.sparkContext.broadcast(block[1])
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            m = np.array(shared.value, float)
-            m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
+            m = _unit(shared.value)
             for batch in batches:
                 x, _ = _matrix(batch.column("vector"), m.shape[1])
                 yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array((x @ m.T).max(1))], ["id", "cos"])
@@ -88,21 +110,21 @@ def nearest_other(corpus: DataFrame, queries: DataFrame) -> DataFrame:
         shared = corpus.sparkSession.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            qids, raw = [q for q, _ in shared.value], np.array([v for _, v in shared.value], float)
-            m, best = raw / np.maximum(np.linalg.norm(raw, axis=1, keepdims=True), 1e-300), np.full(len(qids), -np.inf)
-            of = {v.tobytes(): [] for v in raw}
+            qids, raw = shared.value
+            m, best, of = _unit(raw), np.full(len(qids), -np.inf), {}
             for i, v in enumerate(raw):
-                of[v.tobytes()].append(i)
-            for batch in batches:
+                of.setdefault(v.tobytes(), []).append(i)
+            for batch in _slices(batches):
                 column = batch.column("vector")
                 x, fit = _matrix(column, raw.shape[1])
-                cos = m @ x.T
-                same = column.filter(pa.array(fit)).flatten().to_numpy(zero_copy_only=False).reshape(-1, raw.shape[1]).astype(float)
-                for j, v in zip(np.flatnonzero(fit), same, strict=True):
-                    if v.tobytes() in of:
-                        cos[of[v.tobytes()], j] = -np.inf
-                if cos.shape[1]:
-                    best = np.maximum(best, cos.max(1))
+                values = column.filter(pa.array(fit)).flatten().to_numpy(zero_copy_only=False).reshape(-1, raw.shape[1]).astype(float)
+                same = [(i, j) for j, v in zip(np.flatnonzero(fit), values, strict=True) for i in of.get(v.tobytes(), ())]
+                i, j = np.array(same, np.int64).reshape(-1, 2).T
+                for tile in _tiles(len(m)):
+                    cos = m[tile] @ x.T
+                    here = (i >= tile.start) & (i < tile.stop)
+                    cos[i[here] - tile.start, j[here]] = -np.inf
+                    best[tile] = np.maximum(best[tile], cos.max(1))
             found = np.flatnonzero(best > -np.inf)
             yield pa.RecordBatch.from_arrays([pa.array([qids[i] for i in found], pa.int64()), pa.array(best[found])], ["qid", "cos"])
 
@@ -193,10 +215,6 @@ def over_blocks(queries: DataFrame, run: Callable[[DataFrame], DataFrame]) -> Da
     return out
 
 
-#: Queries that are compared with a batch at once.
-TILE = 256
-
-
 def _knn_block(corpus: DataFrame, block: list[tuple], k: int) -> DataFrame:
     """qid, id, cos: the best k rows of each task for each query of the block (qid, vector, group)."""
     shared = corpus.sparkSession.sparkContext.broadcast(block)
