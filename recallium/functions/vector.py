@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import itertools
 import math
 from collections.abc import Callable, Iterator
@@ -93,9 +94,10 @@ def best_of(corpus: DataFrame, queries: DataFrame, id_column: str = "doc_id") ->
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             m = _unit(shared.value)
-            for batch in batches:
+            for batch in _slices(batches):
                 x, _ = _matrix(batch.column("vector"), m.shape[1])
-                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array((x @ m.T).max(1))], ["id", "cos"])
+                best = functools.reduce(np.maximum, ((x @ m[tile].T).max(1) for tile in _tiles(len(m))))
+                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(best)], ["id", "cos"])
 
         part = rows.mapInArrow(run, "id long, cos double")
         out = part if out is None else out.unionByName(part)
