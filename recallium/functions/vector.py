@@ -219,21 +219,18 @@ def over_blocks(queries: DataFrame, run: Callable[[DataFrame], DataFrame]) -> Da
 
 def _knn_block(corpus: DataFrame, block: list[tuple], k: int) -> DataFrame:
     """qid, id, cos: the best k rows of each task for each query of the block (qid, vector, group)."""
-    shared = corpus.sparkSession.sparkContext.broadcast(block)
+    shared = corpus.sparkSession.sparkContext.broadcast((*_packed(block), [g for _, _, g in block]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        asked = shared.value
+        asked, vectors, wanted = shared.value
         if not asked or not k:
             return
-        m = np.array([v for _, v, _ in asked], float).reshape(len(asked), -1)
-        m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
-        codes = {g: i for i, g in enumerate(dict.fromkeys(g for _, _, g in asked))}
-        own = np.array([codes[g] for _, _, g in asked])
+        m = _unit(vectors)
+        codes = {g: i for i, g in enumerate(dict.fromkeys(wanted))}
+        own = np.array([codes[g] for g in wanted])
         best = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)) for _ in range(0, len(asked), TILE)]  # query, id, cos of each tile
         least = np.full(len(asked), -np.inf)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in _slices(batches):
             ids = np.array(batch.column("id").to_pylist(), np.int64)
             x, _ = _matrix(batch.column("vector"), m.shape[1])
             groups = np.array([codes.get(g, -1) for g in batch.column("grp").to_pylist()])
@@ -255,7 +252,7 @@ def _knn_block(corpus: DataFrame, block: list[tuple], k: int) -> DataFrame:
                 full = keep & (place == k - 1)
                 least[of[full]] = c[full]
         for of, id_, c in best:
-            yield pa.RecordBatch.from_arrays([pa.array([asked[i][0] for i in of.tolist()], pa.int64()), pa.array(id_), pa.array(c)], ["qid", "id", "cos"])
+            yield pa.RecordBatch.from_arrays([pa.array([asked[i] for i in of.tolist()], pa.int64()), pa.array(id_), pa.array(c)], ["qid", "id", "cos"])
 
     return corpus.mapInArrow(run, "qid long, id long, cos double")
 

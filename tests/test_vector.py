@@ -13,6 +13,7 @@ from recallium.functions import vector
 RUNS = {
     "nearest_other": lambda corpus: vector.nearest_other(corpus, MagicMock()),
     "best_of": lambda corpus: vector.best_of(corpus, MagicMock()),
+    "knn": lambda corpus: vector.knn(corpus, MagicMock(), 20),
 }
 
 
