@@ -29,16 +29,21 @@ def postings(corpus: DataFrame, vocabulary: DataFrame) -> DataFrame:
     return every.join(F.broadcast(asked) if few else asked, "token", "left_semi").groupBy("doc_id", "len", "token").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def bm25(corpus: DataFrame, queries: DataFrame, limit: int) -> DataFrame:
+def bm25(corpus: DataFrame, queries: DataFrame, limit: int, among: DataFrame | None = None) -> DataFrame:
     """qid, doc_id, bm25 (raw), rank: the best `limit` rows a query, ties by id. corpus: doc_id, text; queries: qid, text.
 
-    Texts are split once; lengths, totals and frequencies come from the postings of the queries' tokens, which are stored."""
+    Texts are split once; lengths, totals and frequencies come from the postings of the queries' tokens, which are stored. They are dealt by
+    row, so the hits of a row are added up where they are made. With among (doc_id) only its rows count, which postings are joined with,
+    not texts."""
     asked = queries.select("qid", F.explode(F.array_distinct(tokens(F.col("text")))).alias("token"))
-    kept = stored(postings(corpus, asked))
+    found = postings(corpus, asked)
+    kept = stored(found if among is None else found.join(among.select("doc_id"), "doc_id", "left_semi"))
     total = kept.where("token = ''").agg(F.count(F.lit(1)).alias("n_docs"), F.avg("len").alias("avg_len"))
     tf = kept.where("token <> ''")
     df = tf.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    scored = tf.join(df, "token").join(asked, "token").crossJoin(total)  # total is one row
+    wanted = df.join(asked, "token")
+    few = asked.limit(MOST_TOKENS + 1).count() <= MOST_TOKENS
+    scored = tf.repartition("doc_id").join(F.broadcast(wanted) if few else wanted, "token").crossJoin(total)  # total is one row
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
     sums = scored.groupBy("qid", "doc_id").agg(F.round(F.sum(part), 9).alias("bm25"))

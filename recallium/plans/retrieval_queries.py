@@ -20,6 +20,10 @@ def memories(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.usage(spark, sf_dir).crossJoin(n).withColumn("vec_id", F.col("doc_id") % F.col("n")).join(vectors, "vec_id").drop("n", "vec_id")  # n is one row
 
 
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", "text", F.length("text").cast("double").alias("len"))
+
+
 def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
     n = vectors.agg(F.count(F.lit(1)).alias("n"))
@@ -69,16 +73,16 @@ PLAIN, DECAYED, NARROW = Options(), Options(decay=True, limit=8), Options(scopes
 @query(path_sql(PLAIN))
 def retrieve_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recency, importance and time decay."""
-    return retrieve(memories(spark, sf_dir), asked(spark, sf_dir), PLAIN)
+    return retrieve(memories(spark, sf_dir), asked(spark, sf_dir), PLAIN, texts=texts(spark, sf_dir))
 
 
 @query(path_sql(DECAYED))
 def retrieve_path_with_decay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The decay engine's boost in place of recency, importance and time decay."""
-    return retrieve(memories(spark, sf_dir), asked(spark, sf_dir), DECAYED)
+    return retrieve(memories(spark, sf_dir), asked(spark, sf_dir), DECAYED, texts=texts(spark, sf_dir))
 
 
 @query(path_sql(NARROW))
 def retrieve_path_in_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two scopes and one category."""
-    return retrieve(memories(spark, sf_dir), asked(spark, sf_dir), NARROW)
+    return retrieve(memories(spark, sf_dir), asked(spark, sf_dir), NARROW, texts=texts(spark, sf_dir))
